@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavegrade.llm import bpe_count, line_rules, quality_rff
+from wavegrade.llm import bpe_count, curve_pack, fm_decontaminate, line_rules, pii_semicrf, quality_rff, simhash_bk
 from wavegrade.llm.common import folded, table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii_semicrf.find(docs, pii_semicrf.fit(docs))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_model(spark, sf_dir, docs)
@@ -30,8 +35,20 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_bk.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_pack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_classifier, op3_quality_rules, op4_token_counts)}
+    return {f.__name__: f for f in (op1_pii, op2_quality_classifier, op3_quality_rules, op4_token_counts, op6_simhash_near_dedup, op9_benchmark_decontamination, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
