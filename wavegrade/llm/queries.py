@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavegrade.llm import bpe_count, curve_pack, fm_decontaminate, line_rules, pii_semicrf, quality_rff, simhash_bk
+from wavegrade.llm import bpe_count, curve_pack, fm_decontaminate, language_fusion, lbl_score, line_rules, pii_semicrf, quality_rff, simhash_bk, tiered_shards
 from wavegrade.llm.common import folded, table
 
 
@@ -35,10 +35,22 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl_score.score(table(spark, sf_dir, "documents"), folded("doc_id", 5) != 1)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_fusion.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiered_shards.placed(table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_quality_classifier, op3_quality_rules, op4_token_counts, op6_simhash_near_dedup, op9_benchmark_decontamination, op10_packing)}
+    return {f.__name__: f for f in (op1_pii, op2_quality_classifier, op3_quality_rules, op4_token_counts, op5_lm_scoring, op6_simhash_near_dedup, op7_language_id, op8_sharding, op9_benchmark_decontamination, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
