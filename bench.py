@@ -2,6 +2,7 @@
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -16,11 +17,12 @@ def main() -> None:
     spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     took = {}
+    catalog.frame(spark, sf_dir, "A28_stream_counts").collect()  # starts the executors and compiles
     for name in HEADLINE:
-        for _ in range(2):  # the second run counts: code is compiled by then
-            began = time.time()
-            catalog.frame(spark, sf_dir, name).write.format("noop").mode("overwrite").save()
-            took[name] = round(time.time() - began, 3)
+        began = time.time()
+        catalog.frame(spark, sf_dir, name).write.format("noop").mode("overwrite").save()
+        took[name] = round(time.time() - began, 3)
+        print(name, took[name], file=sys.stderr)
     print(json.dumps({"metric": "headline queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf_dir.rsplit("sf", 1)[-1]}))
 
 

@@ -92,9 +92,8 @@ select coalesce(s.session_id, a.session_id) as session_id, coalesce(s.wave, a.wa
        coalesce(responded, 0) as responded, coalesce(accepted, 0) as accepted, coalesce(rejected, 0) as rejected, coalesce(fills, 0) as fills
 from (select session_id, wave, count(*) as offered, count(*) filter (where timed_out) as timed_out from sent_waves group by session_id, wave) s
 full outer join (
-  select l.session_id, l.wave, count(f.order_id) as responded, count(f.order_id) filter (where l.exec_type <> '8') as accepted, count(f.order_id) filter (where l.exec_type = '8') as rejected, count(*) filter (where is_fill) as fills
+  select l.session_id, l.wave, count(*) filter (where nth = 1) as responded, count(*) filter (where nth = 1 and exec_type <> '8') as accepted, count(*) filter (where nth = 1 and exec_type = '8') as rejected, count(*) filter (where is_fill) as fills
   from (select l.*, row_number() over (partition by session_id, order_id order by t7, exec_type, fill_qty, fill_price, liquidity_ind) as nth from live_acks l) l
-  left join (select session_id, order_id from first_acks) f on f.session_id = l.session_id and f.order_id = l.order_id and l.nth = 1
   group by l.session_id, l.wave) a on a.session_id = s.session_id and a.wave = s.wave""",
     "metrics": """
 select c.session_id, c.wave, p50, p99, responded as tps_20s, offered, timed_out + rejected as errors, case when offered > 0 then cast(timed_out + rejected as double) / offered else 0.0 end as error_rate
