@@ -6,8 +6,8 @@ index, exactly. The rest is sorted into a suffix array, whose Burrows-Wheeler tr
 matrix. All windows are searched backwards at once by ranks; the rows found are walked to the next sampled
 suffix position, and the spans they cover are merged per document.
 
-The benchmark is the only broadcast: its windows are counted first, and beyond WINDOWS of them it is searched
-in several passes of bounded size whose spans are merged.
+The benchmark is the only broadcast and does not grow with the corpus. Its words are counted while it is
+read, and more than LIMIT_WORDS are refused with an error; a larger benchmark has to be given in parts.
 
 Edge cases: null, empty and word-less texts have no words and no hits; items without a word have no window;
 items of fewer than 13 words are one window; repeated items each count by their id, items with a null id
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from wavegrade.llm.common import blocks, raw_texts
 
 WIDTH, SAMPLE = 13, 8
-#: Windows that one broadcast index pattern set may hold.
-WINDOWS = 2_000_000
+#: Words of a benchmark at most; its windows and their index take about 200 bytes a word in each task.
+LIMIT_WORDS = 2_000_000
 
 
 def word_table() -> bytes:
@@ -199,31 +199,15 @@ class Benchmark:
         return n_words, spans, items
 
 
-def load(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: int = WINDOWS) -> list[Benchmark]:
-    """The benchmark in parts of about `limit` words at most each, so that what a task is sent stays bounded."""
-    parts, now, size = [], [], 0
+def load(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: int = LIMIT_WORDS) -> Benchmark:
+    """The benchmark's windows; an error beyond `limit` words."""
+    items, size = [], 0
     for row in benchmark.select(id_col, text_col).toLocalIterator():
-        words = words_of((row[1] or "").encode())
-        if now and size + len(words) > limit:
-            parts, now, size = [*parts, Benchmark(now)], [], 0
-        now.append((row[0], words))
-        size += len(words)
-    return [*parts, Benchmark(now)]
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-def judged(parts: list[Benchmark], texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
-    found = [p.hits(texts) for p in parts]
-    return [(int(found[0][0][i]), merged([s for f in found for s in f[1][i]]), set().union(*(f[2][i] for f in found))) for i in range(len(texts))]
+        items.append((row[0], words_of((row[1] or "").encode())))
+        size += len(items[-1][1])
+        if size > limit:
+            raise ValueError(f"the benchmark has over {limit} words; give it in parts")
+    return Benchmark(items)
 
 
 def is_contaminated(n_words: int, n_hit: int) -> bool:
@@ -236,7 +220,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, text_col):
-            got = judged(sent.value, raw_texts(batch, text_col))
+            got = list(zip(*sent.value.hits(raw_texts(batch, text_col)), strict=True))
             n_hit = [sum(b - a for a, b in x[1]) for x in got]
             yield pa.RecordBatch.from_pydict({
                 id_col: batch.column(id_col), "n_words": pa.array([x[0] for x in got], pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "n_items": pa.array([len(x[2]) for x in got], pa.int64()),
@@ -254,7 +238,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, text_col):
-            got = judged(sent.value, raw_texts(batch, text_col))
+            got = list(zip(*sent.value.hits(raw_texts(batch, text_col)), strict=True))
             yield batch.filter(pa.array([not is_contaminated(x[0], sum(b - a for a, b in x[1])) for x in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
