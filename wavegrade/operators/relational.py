@@ -38,7 +38,7 @@ QUERIES = {
     "J14_active_groups": "select distinct run_group_id from runs where run_group_id in (select run_group_id from runs where status not in ('completed', 'failed'))",
     "J15_run_detail": "select r.session_id, r.status, c.scenario_id, c.duration_s, m.waves from runs r join scenarios c on c.scenario_id = r.scenario_id left join (select session_id, count(*) as waves from metrics group by session_id) m on m.session_id = r.session_id",
     "J17_wave_load": "select scenario, wave, offered_orders from wave_load",
-    "J18_schedule_check": "select r.session_id, l.wave, l.offered_orders, m.p99, m.session_id is not null and m.error_rate <= 0.5 as ok from runs r join wave_load l on l.scenario = r.scenario_id left join metrics m on m.session_id = r.session_id and m.wave = l.wave",
+    "J18_schedule_check": "select r.session_id, l.wave, l.offered_orders, m.p99, m.session_id is not null and m.error_rate <= 0.01 and m.p99 <= 1000000 as ok from runs r join wave_load l on l.scenario = r.scenario_id left join metrics m on m.session_id = r.session_id and m.wave = l.wave",
     "J20_active_sessions": "select session_id, contestant_id from runs where status not in ('completed', 'failed') and contestant_id <> ''",
     "J25_contestant_mismatch": "select a.session_id, count(*) as n from orders_acked a join runs r on r.session_id = a.session_id where a.contestant_id <> r.contestant_id group by a.session_id",
     # Aggregations
@@ -52,8 +52,8 @@ QUERIES = {
     "A11_wave_input": "select wave, max(p99) as max_p99, max(error_rate) as max_error, max(tps_20s) as max_tps from metrics group by wave",
     "A12_upper_median": "select wave, n, p99 as median_p99 from (select wave, p99, row_number() over (partition by wave order by p99, session_id) as nth, count(*) over (partition by wave) as n from metrics) q where nth = (n - n % 2) / 2 + 1",
     "A13_group_correctness": "select r.run_group_id, least(cast(sum(least(filled, qty)) as double) / greatest(cast(sum(filled) as bigint), 1), 1.0) as total_correctness from runs r join outcomes o on o.session_id = r.session_id where r.scenario_id = 'correctness' group by r.run_group_id",
-    "A15_coverage_gate": "select run_group_id, min_by(session_id, sort_order) as first_failing from (select r.run_group_id, r.session_id, c.sort_order, count(*) as sent, count(*) filter (where outcome = 'matched') as matched from runs r join scenarios c on c.scenario_id = r.scenario_id join outcomes o on o.session_id = r.session_id group by r.run_group_id, r.session_id, c.sort_order) q where sent > 0 and cast(matched as double) / sent < 0.99 group by run_group_id",
-    "A16_peak_climb": "select session_id, first_fail, max(wave) filter (where ok) as last_pass, max_by(offered, wave) filter (where ok) as peak from (select m.*, error_rate <= 0.36 as ok, min(case when error_rate > 0.36 then wave end) over (partition by session_id) as first_fail from metrics m where wave >= 1) q where first_fail is null or wave <= first_fail group by session_id, first_fail",
+    "A15_coverage_gate": "select run_group_id, min_by(session_id, sort_order) as first_failing from (select r.run_group_id, r.session_id, c.sort_order, count(*) as sent, count(*) filter (where outcome = 'matched') as matched from runs r join scenarios c on c.scenario_id = r.scenario_id join outcomes o on o.session_id = r.session_id group by r.run_group_id, r.session_id, c.sort_order) q where sent > 0 and cast(matched as double) / sent < 0.90 group by run_group_id",
+    "A16_peak_climb": "select session_id, first_fail, max(wave) filter (where ok) as last_pass, max_by(offered, wave) filter (where ok) as peak from (select m.*, error_rate <= 0.01 and p99 <= 1000000 as ok, min(case when error_rate > 0.01 or p99 > 1000000 then wave end) over (partition by session_id) as first_fail from metrics m where wave >= 1) q where first_fail is null or wave <= first_fail group by session_id, first_fail",
     "A17_max_rate": "select session_id, max(tps_20s) as peak from metrics group by session_id",
     "A18_spike_recovery": f"select session_id, baseline, peak_wave, case when peak <= threshold or baseline = 0 then 0 else (coalesce(min(case when wave > peak_wave and p99 <= threshold then wave end), max(wave) + 1) - peak_wave) * {WAVE_NS} end as recovery_ns from (select q.*, min(case when p99 = peak then wave end) over (partition by session_id) as peak_wave, cast(floor(baseline * 1.1) as bigint) as threshold from (select session_id, wave, p99, max(p99) over (partition by session_id) as peak, first_value(p99) over (partition by session_id order by wave) as baseline from metrics) q) z group by session_id, baseline, peak, peak_wave, threshold",
     "A21_classes": "select session_id, count(*) filter (where filled > qty) as overfill, count(*) filter (where outcome = 'lost' and payload_type <> 'CANCEL') as lost_order, count(*) filter (where outcome = 'lost' and payload_type = 'CANCEL') as lost_cancel from outcomes group by session_id",
