@@ -7,8 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavegrade.operators.relational import QUERIES
-from wavegrade.sources.views import VIEWS
+from wavegrade.operators import grading, relational
+from wavegrade.sources import views
+
+QUERIES = relational.QUERIES | grading.QUERIES
+VIEWS = views.VIEWS | grading.VIEWS
 
 TABLES = ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier")
 
@@ -45,4 +48,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: statement(sql) for name, sql in QUERIES.items()}
+    return {name: statement(grading.ORACLES.get(name, sql)) for name, sql in QUERIES.items()}
