@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     aside = calibrate if calibrate is not None else F.pmod(F.xxhash64(F.lit("calibrate"), id_col), F.lit(4)) == 0
     # The chosen labels are bounded by `sample`, so this side may be sent to every task.
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.col("_y"), aside.alias("_aside"), F.col(text_col).alias("_text"))
-    rows = checkpointed(measured(rows, ["_y", "_aside"], "_text").repartition(TASKS, "_y", "x"))
+    rows = checkpointed(measured(rows, ["_y", "_aside"], "_text").repartition(TASKS))
     of = F.posexplode("x").alias("i", "v")
     moments = rows.select(of).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.count("v").alias("n")).orderBy("i").collect()
     if not moments:
