@@ -13,6 +13,7 @@ the id and text columns are read.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,26 +38,22 @@ class Encoder:
     """Token ids of texts; white-space chunks are looked up, as the vocabulary's rules never look across white space."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would only wait for it
         self.library, self.cache = Tokenizer.from_file(path), TwoGenerations()
         self.library.no_truncation()
         self.library.no_padding()
 
     def encode(self, text: bytes, close: int) -> bytes:
-        get, out, missing = self.cache.get, [], []
         chunks = text.split()
-        for c in chunks:
-            ids = get(c)
-            if ids is None:
-                missing.append(len(out))
-            out.append(ids)
-        if missing:
-            new = list(dict.fromkeys(chunks[i] for i in missing))
-            made = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch([c.decode() for c in new], add_special_tokens=False)), strict=True))
+        out = list(map(self.cache.young.get, chunks))
+        if None in out:
+            out = [self.cache.get(c) if ids is None else ids for c, ids in zip(chunks, out, strict=True)]
+            new = list(dict.fromkeys(c for c, ids in zip(chunks, out, strict=True) if ids is None))
+            made = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)), strict=True))
+            out = [made[c] if ids is None else ids for c, ids in zip(chunks, out, strict=True)]
             for c, ids in made.items():
                 if len(c) <= CACHED_BYTES:
                     self.cache.put(c, ids)
-            for i in missing:
-                out[i] = made[chunks[i]]
         out.append(np.array([close], "<u4").tobytes())
         return b"".join(out)
 
