@@ -36,7 +36,12 @@ def statement(sql: str) -> str:
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = statement(QUERIES[name])
+    return run(spark, sf_dir, QUERIES[name])
+
+
+def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A statement over the views and tables."""
+    sql = statement(sql)
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in named(sql, TABLES)}
     for t in tables:
         sql = re.sub(rf"\b(from|join)(\s+){t}\b", rf"\1\2{{{t}}}", sql)
