@@ -1,0 +1,206 @@
+"""Near copies by exact similarity: texts whose sets of five-word shingles have a Jaccard index of 0.8 or more.
+
+Words are those of the fingerprints (ASCII lower case, words without ASCII white space). A set's shingles are put
+in one order for all texts, shingles that a sample shows to be common last; the order decides speed only. Two sets
+of 0.8 or more must share one of the first fifth (and one more) of each, so the sets are dealt by these shingles
+and meet there. Sizes and the places of the shared shingle rule out pairs, then a sketch of each set: the parity of its
+shingles in 512 cells. Sketches differ in no more cells than the sets in shingles, and sets of 0.8 or more differ in
+at most a ninth of both sizes' sum. The pairs that are left are compared in full.
+In a group of over CROWD sets each is first compared with one set of about its size; when that has
+joined the near copies to components, pairs of different components are compared, so that no link is missed and a
+large family is not squared.
+
+Edge cases: null, empty and blank texts have the empty set and are copies of one another; under five words the
+whole sequence is the only shingle; of each component the row with the smallest id stays, null ids coming last; rows
+that share an id but not a text are rows of their own; of rows equal in id and text one stays; an empty table gives
+an empty one; all columns pass as they are.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from wavegrade.llm.common import blocks, raw_texts, written
+from wavegrade.llm.simhash_bk import SEED, components, shingle_hashes
+
+WIDTH, CROWD = 5, 256
+SKETCH = [f"s{k}" for k in range(8)]
+#: Texts sampled for the order, and common shingles that are sent to the tasks, at most.
+SAMPLE, COMMON = 20_000, 50_000
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """The set of shingles as sorted numbers."""
+    return np.unique(np.array(shingle_hashes(text, WIDTH), np.uint64)).view(np.int64)
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
+
+
+def common_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
+    """Shingles that several texts of a sample hold, the most frequent last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, text_col):
+            found = [shingles(t) for t in raw_texts(batch, text_col)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["shingle"])
+
+    share = int(1_000_000 * min(1.0, SAMPLE / max(docs.count(), 1)))
+    chosen = docs.where(F.pmod("_row", F.lit(1_000_000)) < share).select(text_col).distinct()
+    rows = chosen.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
+    return np.array([r["shingle"] for r in reversed(rows)], np.int64)
+
+
+def with_prefixes(docs: DataFrame, common: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """Per row: the id, _row, node (a number for the set), the set's size, its sketch and its first shingles."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((np.sort(common), np.argsort(common)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = sent.value
+        for batch in blocks(batches, text_col):
+            nodes, sizes, sketches, firsts = [], [], [], []
+            for t in raw_texts(batch, text_col):
+                s = shingles(t)
+                n = len(s)
+                nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
+                sizes.append(n)
+                sketches.append(np.packbits((np.bincount(s & 511, minlength=512) & 1).astype(np.uint8)).view(np.int64))
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    late = known[at] == s
+                    s = np.concatenate([s[~late], s[late][np.argsort(rank[at[late]])]])
+                firsts.append(s[: n - (4 * n + 4) // 5 + 1])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate(firsts)))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_row"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), *map(pa.array, np.array(sketches).T.copy()), lists], names=[id_col, "_row", "node", "size", *SKETCH, "firsts"])
+
+    return docs.select(id_col, "_row", text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, _row long, node long, size int, {', '.join(f'{k} long' for k in SKETCH)}, firsts array<long>")
+
+
+def may_match(size: np.ndarray, pos: np.ndarray, size2: np.ndarray, pos2: np.ndarray) -> np.ndarray:
+    """Whether sets whose first common shingle has these places may share 4/9 of both sizes' sum, which is a Jaccard index of 0.8."""
+    return (5 * np.minimum(size, size2) >= 4 * np.maximum(size, size2)) & (9 * np.minimum(size - pos, size2 - pos2) >= 4 * (size + size2))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns in stretches that end with a group of equal first column."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        cols = [batch.column(n).to_numpy().astype(np.int64) for n in names]
+        cuts = np.flatnonzero(np.diff(cols[0])) + 1
+        if len(cols[0]) and held and held[-1][0][-1] != cols[0][0]:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
+        if len(cuts):
+            yield [np.concatenate(x) for x in zip(*held, [c[: cuts[-1]] for c in cols], strict=True)]
+            held = [[c[cuts[-1] :] for c in cols]]
+        elif len(cols[0]):
+            held.append(cols)
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
+    return starts, np.append(starts[1:], len(key))
+
+
+def meetings(dealt: DataFrame, crowd: int) -> DataFrame:
+    """Pairs (u, v) to compare: all of groups up to crowd; of others one partner for each set, and the group's shingle as crowded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, size, pos, node in whole_groups(batches, ["shingle", "size", "pos", "node"]):
+            starts, ends = bounds(key)
+            u, v, big = [], [], []
+            for a, b in zip(starts[ends - starts > crowd], ends[ends - starts > crowd], strict=True):
+                big.append(key[a])
+                while a < b:  # sizes ascend
+                    end = a + int(np.searchsorted(size[a:b], size[a] * 5 // 4, side="right"))
+                    i = np.arange(a + 1, end)
+                    i = i[may_match(size[i], pos[i], size[a], pos[a])]
+                    u.append(node[i])
+                    v.append(np.full(len(i), node[a]))
+                    a = end
+            small = np.repeat(ends - starts, ends - starts) <= crowd
+            key, size, pos, node = key[small], size[small], pos[small], node[small]
+            for d in range(1, crowd):
+                i = np.flatnonzero(key[d:] == key[:-d])
+                if not len(i):
+                    break
+                i = i[may_match(size[i], pos[i], size[i + d], pos[i + d])]
+                u.append(node[i + d])
+                v.append(node[i])
+            pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1) if u else np.empty((2, 0), np.int64)
+            n, m = pairs.shape[1], len(big)
+            if n + m:
+                yield pa.RecordBatch.from_arrays([pa.array([*pairs[0], *[0] * m], pa.int64()), pa.array([*pairs[1], *[0] * m], pa.int64()), pa.array([*[None] * n, *big], pa.int64())], names=["u", "v", "crowded"])
+
+    return dealt.repartition("shingle").sortWithinPartitions("shingle", "size", "pos", "node").mapInArrow(run, "u long, v long, crowded long")
+
+
+def strangers(dealt: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different roots in a group that may match."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, size, pos, node, root in whole_groups(batches, ["shingle", "size", "pos", "node", "root"]):
+            for a, b in zip(*bounds(key), strict=True):
+                s, p, x, r = size[a:b], pos[a:b], node[a:b], root[a:b]
+                names, n = np.unique(r, return_counts=True)
+                for i in np.flatnonzero(r != names[np.argmax(n)]):
+                    j = np.flatnonzero((r != r[i]) & may_match(s, p, s[i], p[i]))
+                    if len(j):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x[j], x[i])), pa.array(np.minimum(x[j], x[i]))], names=["u", "v"])
+
+    return dealt.repartition("shingle").sortWithinPartitions("shingle", "size", "pos", "node").mapInArrow(run, "u long, v long").distinct()
+
+
+def likely(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs (u, v) that sketches do not rule out."""
+    sketches = prints.select("node", "size", *SKETCH).distinct()
+    both = pairs.join(sketches.toDF("v", "size_v", *(f"{k}_v" for k in SKETCH)), "v").join(sketches.toDF("u", "size_u", *(f"{k}_u" for k in SKETCH)), "u")
+    differ = sum((F.bit_count(F.col(f"{k}_u").bitwiseXOR(F.col(f"{k}_v"))) for k in SKETCH), F.lit(0))
+    return both.where(9 * differ <= F.col("size_u") + F.col("size_v")).select("u", "v")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, prints: DataFrame, text_col: str) -> DataFrame:
+    """The pairs (u, v) whose sets have a Jaccard index of 0.8 or more."""
+    pairs = written(likely(pairs, prints), "likely")
+    rows = prints.groupBy("node").agg(F.min("_row").alias("_row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, text_col):
+            found = [shingles(t) for t in raw_texts(batch, text_col)]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "set"])
+
+    needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct().join(rows, "node")
+    texts = docs.select("_row", text_col).join(needed, "_row").select("node", text_col).dropDuplicates(["node"])
+    sets = written(texts.mapInArrow(run, "node long, set array<long>"), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u")
+    return written(both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v"), "confirmed")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+    """Of each component of near copies the row with the smallest id, all columns as they are."""
+    keyed = docs.withColumn("_row", row_key(id_col, text_col))
+    prints = written(with_prefixes(keyed, common_shingles(keyed, text_col), id_col, text_col), "prefixes")
+    dealt = prints.select("node", "size", "firsts").dropDuplicates(["node"]).select("node", "size", F.posexplode("firsts").alias("pos", "shingle"))
+    met = written(meetings(dealt, crowd), "meetings")
+    links = confirmed(met.where("crowded is null").select("u", "v").distinct(), keyed, prints, text_col)
+    roots = components(links)
+    crowded = met.where("crowded is not null").select(F.col("crowded").alias("shingle")).distinct()
+    if crowded.take(1):
+        apart = dealt.join(crowded, "shingle").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        more = written(strangers(apart), "strangers")
+        if more.take(1):
+            roots = components(links.unionByName(confirmed(more, keyed, prints, text_col)))
+    named = prints.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keep = named.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), id_col, "_row")).alias("first")).select("first._row")
+    return keyed.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")

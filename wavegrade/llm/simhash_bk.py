@@ -30,20 +30,20 @@ from wavegrade.llm.common import blocks, checkpointed, raw_texts, written
 RADIUS, BLOCKS, SEED = 2, 4, 42
 
 
-def shingle_hashes(text: bytes) -> list[int]:
-    """XXH64 of each three-word shingle, repeats included."""
+def shingle_hashes(text: bytes, width: int = 3) -> list[int]:
+    """XXH64 of each shingle of width words, repeats included."""
     words = text.lower().split()
     if not words:
         return []
     joined = b" ".join(words)
-    if len(words) < 3:
+    if len(words) < width:
         return [xxhash.xxh64_intdigest(joined, SEED)]
     begins, at = [], 0
     for w in words:
         begins.append(at)
         at += len(w) + 1
     digest = xxhash.xxh64_intdigest
-    return [digest(joined[a:b], SEED) for a, b in zip(begins, [x - 1 for x in begins[3:]] + [len(joined)], strict=False)]
+    return [digest(joined[a:b], SEED) for a, b in zip(begins, [x - 1 for x in begins[width:]] + [len(joined)], strict=False)]
 
 
 def fingerprints(texts: list[bytes]) -> np.ndarray:
