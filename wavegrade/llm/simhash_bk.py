@@ -182,11 +182,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = named.join(lowest, "root").select("fp", "component_id")
     return prints.join(by_fp, "fp", "left").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that carry their component's smallest id, all columns as they are; of rows that repeat an id, one."""
-    classes = near_duplicates(docs, id_col, text_col, radius)
-    keep = classes.where((F.col(id_col) == F.col("component_id")) | F.col("component_id").isNull()).select(id_col).distinct()
-    kept = docs.alias("d").join(keep.alias("k"), F.col(f"d.{id_col}").eqNullSafe(F.col(f"k.{id_col}")), "left_semi")
-    return kept.dropDuplicates([id_col])
