@@ -85,18 +85,32 @@ def merges(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     return done
 
 
-class Counter:
-    """Counts the tokens of texts by the rules in one vocabulary file."""
+class Rules:
+    """How one vocabulary file cuts a text into words."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            self.spec = spec = json.load(f)
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
         if kinds != ["NFC", "Replace", "Lowercase"] or spec["model"]["type"] != "BPE":
-            raise ValueError(f"{path}: this counter knows lower-casing byte-level BPE only, not {kinds}")
+            raise ValueError(f"{path}: only lower-casing byte-level BPE is known here, not {kinds}")
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.words = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}"))
+        self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}"))
         self.special = regex.compile("|".join(regex.escape(x["content"]) for x in spec["added_tokens"]))
+
+    def words(self, piece: str) -> list[str]:
+        """The words of a text without special strings and without white space that ASCII has."""
+        if not piece.isascii():
+            piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")  # no final-sigma rule
+        return self.pattern.findall(piece.lower())
+
+
+class Counter(Rules):
+    """Counts the tokens of texts by the rules in one vocabulary file."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        spec = self.spec
         self.end, self.symbol = spec["model"]["end_of_word_suffix"] or "", byte_symbols()
         pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in spec["model"]["merges"]]
         self.ranks = {p: i for i, p in enumerate(pairs)}
@@ -123,9 +137,7 @@ class Counter:
         else:
             pieces = (text,)
         for piece in pieces:
-            if not piece.isascii():
-                piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")  # no final-sigma rule
-            n += sum(map(self.word, self.words.findall(piece.lower())))
+            n += sum(map(self.word, self.words(piece)))
         if len(chunk) <= CACHED_BYTES:
             self.by_chunk.put(chunk, n)
         return n

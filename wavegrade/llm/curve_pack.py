@@ -14,6 +14,7 @@ the id and text columns are read.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wavegrade.llm.bpe_count import CACHED_BYTES, TwoGenerations
+from wavegrade.llm.bpe_count import CACHED_BYTES, Rules, TwoGenerations, byte_symbols
 from wavegrade.llm.common import blocks, raw_texts, sums, written
 
 LENGTH, CLOSE = 4096, 2
@@ -34,27 +35,59 @@ HASHED, DIMS, BITS, TIE_BITS = 4096, 3, 10, 20
 RANGE_TOKENS = 2_000_000
 
 
-class Encoder:
-    """Token ids of texts; white-space chunks are looked up, as the vocabulary's rules never look across white space."""
+#: ASCII marks that end a word; a run of them is a word of its own.
+TAIL = b".,;:!?"
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Encoder(Rules):
+    """Token ids of texts. White-space chunks are looked up, then their words; only a new word reaches the library's model."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would only wait for it
-        self.library, self.cache = Tokenizer.from_file(path), TwoGenerations()
+        super().__init__(path)
+        self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model, self.by_word, self.by_chunk = self.library.model, TwoGenerations(), TwoGenerations()
+        self.symbols = dict(enumerate(byte_symbols()))
+
+    def word(self, word: str) -> bytes:
+        found = self.by_word.young.get(word) or self.by_word.get(word)
+        if found is None:
+            shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.symbols)
+            found = pack_ids([t.id for t in self.model.tokenize(shown)])
+            if len(word) <= CACHED_BYTES:
+                self.by_word.put(word, found)
+        return found
+
+    def chunk(self, chunk: bytes) -> bytes:
+        """The ids of a text without white space that ASCII has."""
+        found = self.by_chunk.get(chunk)
+        if found is not None:
+            return found
+        core = chunk.rstrip(TAIL)
+        if core.isalpha():
+            found = self.word(core.lower().decode())
+            if len(core) < len(chunk):
+                found += self.word(chunk[len(core) :].decode())
+        elif b"<|" in chunk:  # special strings
+            found = pack_ids(self.library.encode(chunk.decode(), add_special_tokens=False).ids)
+        else:
+            found = b"".join(map(self.word, self.words(chunk.decode())))
+        if len(chunk) <= CACHED_BYTES:
+            self.by_chunk.put(chunk, found)
+        return found
 
     def encode(self, text: bytes, close: int) -> bytes:
         chunks = text.split()
-        out = list(map(self.cache.young.get, chunks))
+        out = list(map(self.by_chunk.young.get, chunks))
         if None in out:
-            out = [self.cache.get(c) if ids is None else ids for c, ids in zip(chunks, out, strict=True)]
-            new = list(dict.fromkeys(c for c, ids in zip(chunks, out, strict=True) if ids is None))
-            made = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)), strict=True))
-            out = [made[c] if ids is None else ids for c, ids in zip(chunks, out, strict=True)]
-            for c, ids in made.items():
-                if len(c) <= CACHED_BYTES:
-                    self.cache.put(c, ids)
-        out.append(np.array([close], "<u4").tobytes())
+            out = [self.chunk(c) if ids is None else ids for c, ids in zip(chunks, out, strict=True)]
+        out.append(close.to_bytes(4, "little"))
         return b"".join(out)
 
 
