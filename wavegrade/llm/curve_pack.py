@@ -1,10 +1,11 @@
 """Packing along a space-filling curve.
 
 Each document's token counts are hashed into a vector, projected to DIMS numbers and placed on a Hilbert
-curve. The documents are dealt into ranges of the curve (boundaries from approximate quantiles; documents at
-one point are told apart by a hash, so copies never share a range by force), and each range lays its
-documents end to end in curve order. A range starts where the ranges before it end, so the pieces, cut at
-multiples of the sequence length, form one gapless stream: only the last sequence is not full.
+curve. The documents are dealt into as many ranges of the curve as the session has shuffle partitions (bounds
+from a sample of the places; documents at one point are told apart by a hash, so copies never share a range by
+force), and each range lays its documents end to end in curve order. A range starts where the ranges before it
+end, so the pieces, cut at multiples of the sequence length, form one gapless stream: only the last sequence is
+not full. What the driver holds, bounds and sizes, has an entry for each range.
 
 Edge cases: null and empty texts are one token, the closing one; a text longer than a sequence is cut into
 several pieces; repeated rows are packed each; an empty table gives an empty one; a null id stays null; only
@@ -31,8 +32,8 @@ from wavegrade.llm.common import blocks, raw_texts, sums, written
 
 LENGTH, CLOSE = 4096, 2
 HASHED, DIMS, BITS, TIE_BITS = 4096, 3, 10, 20
-#: Tokens that one range of the curve holds, about.
-RANGE_TOKENS = 2_000_000
+#: Rows that are sampled for each range of the curve to find its bounds.
+SAMPLED = 50
 
 
 #: ASCII marks that end a word; a run of them is a word of its own.
@@ -152,26 +153,37 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, close:
             place = key << TIE_BITS | batch.column("_tie").to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(place), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "place", "n", "ids"])
 
-    tie = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("tie")), F.lit(1 << TIE_BITS))
+    tie = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.monotonically_increasing_id()), F.lit(1 << TIE_BITS))
     return docs.select(id_col, text_col, tie.alias("_tie")).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, place long, n long, ids binary")
 
 
+def bounds(tokens: DataFrame, ranges: int) -> list[float]:
+    """Places that part the tokens into about equal ranges, from a sample of SAMPLED rows a range; they only decide how even the tasks are."""
+    rows = tokens.count()
+    if ranges < 2 or rows < 2:
+        return []
+    found = tokens.select("place", "n").sample(min(1.0, SAMPLED * ranges / rows), 17).toPandas().sort_values("place")
+    if found.empty:
+        return []
+    share = np.cumsum(found["n"].to_numpy()) / found["n"].sum()
+    return sorted({float(found["place"].iloc[min(int(np.searchsorted(share, i / ranges)), len(found) - 1)]) for i in range(1, ranges)})
+
+
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, close: int = CLOSE) -> DataFrame:
     """A row per piece: the id, start, length, ids_crc32, doc_tokens, sequence_id, offset and ids (binary)."""
     tokens = written(encoded(docs, vocabulary, id_col, text_col, close), "tokens")
-    total = tokens.agg(F.sum("n")).first()[0] or 0
-    ranges = max(1, -(-total // RANGE_TOKENS))
-    # Quantiles are bounded by the number of ranges, as are the sums below.
-    cuts = sorted(set(tokens.approxQuantile(["place"], [i / ranges for i in range(1, ranges)], 0.2 / ranges)[0])) if ranges > 1 else []
-    dealt = tokens
-    if cuts:
-        dealt = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_at", outputCol="_b").transform(tokens.withColumn("_at", F.col("place").cast("double"))).withColumn("range", F.col("_b").cast("int")).drop("_at", "_b")
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    splits = [-float("inf"), *bounds(tokens, ranges), float("inf")]
+    if len(splits) > 2:
+        at = tokens.withColumn("_at", F.col("place").cast("double"))
+        dealt = Bucketizer(splits=splits, inputCol="_at", outputCol="_b").transform(at).withColumn("range", F.col("_b").cast("int")).drop("_at", "_b")
     else:
         dealt = tokens.withColumn("range", F.lit(0))
-    first, at = {}, 0
-    for r in dealt.groupBy("range").agg(F.sum("n").alias("n")).orderBy("range").collect():
-        first[r["range"]], at = at, at + r["n"]
-    dealt = dealt.repartition(max(1, len(first)), "range").sortWithinPartitions("range", "place", id_col, "n", F.crc32("ids"))
+    sizes = np.zeros(len(splits) - 1, np.int64)
+    for r in dealt.groupBy("range").agg(F.sum("n").alias("n")).collect():  # a row for each range
+        sizes[r["range"]] = r["n"]
+    sent = docs.sparkSession.sparkContext.broadcast(np.concatenate(([0], np.cumsum(sizes))))
+    dealt = dealt.repartitionById(len(sizes), F.col("range")).sortWithinPartitions("range", "place", id_col, "n")
     of_id = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +192,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             rows, out = [], []
             for i, (r, n, ids) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("range", "n", "ids")), strict=True)):
                 if r != now:
-                    now, at = r, first[r]
+                    now, at = r, int(sent.value[r])
                 start = 0
                 while start < n:
                     size = min(n - start, length - at % length)
