@@ -1,27 +1,33 @@
 """Personal data by a semi-Markov conditional random field.
 
-Candidate segments are whole spans: runs around an @ or an "at" written out, digit groups with their
-separators, and dotted numbers. Each (segment, type) pair is scored by features of the whole span (shape,
-digit count, dots, checks such as Luhn, words before it); dynamic programming over a text's candidates
-jointly chooses boundaries and types, text between entities being free and an entity no longer than
-MAX_SPAN characters unless the base rules found it. Spans by the base rules always stay; the field adds
-spans that none of those overlaps.
-
-Weights are fitted in numpy by gradient steps on the likelihood of the best segmentation: candidates of a
-bounded, hash-chosen sample of texts (SAMPLE), labelled by the base rules where these agree with the check of
-their kind, once as found and once with the mark of their kind written another way.
+A text is cut into tokens (letters, digits, white space, single marks). A segmentation is a row of segments:
+free tokens, one each, and entities of up to MAX_TOKENS tokens. Every stretch of tokens that can_be_entity
+allows is a candidate of every type, so candidates overlap on purpose. An entity is scored by features of its
+whole span (digits, groups, separators, checks such as Luhn, what stands before and after) with weights for
+each type, and by its type after the type before it. Dynamic programming over (end, length, type) chooses
+boundaries and types jointly. As an entity holds a digit, an @ or an "at" with a dot, only the text within
+REACH characters of these is cut into tokens; the rest is free for certain, so nothing is lost.
+
+Weights maximise the likelihood of whole segmentations: expected features by the forward and backward sums
+over all segmentations of a window, gradient steps in numpy. Windows are gathered from every text around the
+spans of the base rules and around plain numbers, grouped by shape and counted by Spark; the SHAPES most
+frequent shapes of each sort are the training set, each as found and rewritten (disguised marks and
+separators, other cues, one digit wrong). A fifth type, secret, learns from key-like strings after a cue.
 
 Base kinds, found leftmost and without overlap per kind, failing matches dropped: email, ip (parts up to
-255), card (16 to 19 digits, Luhn), phone (a + and 8 to 15 digits). Offsets are code points.
+255), card (16 to 19 digits, Luhn), phone (a + and 8 to 15 digits). Offsets are code points. Spans by the
+base rules always stay; the field adds spans that none of those overlaps.
 
 Edge cases: null and empty texts have no spans; equal spans of two kinds are both kept; repeated rows are
-judged each; very long texts are read whole, candidates being independent once free text parts them; an
-empty table gives an empty one; only the id and text columns are read by find; other columns pass redact.
+judged each; very long texts are read whole, in stretches of tokens; without any base span in the table the
+field is empty and adds nothing; an empty table gives an empty one; only the id and text columns are read by
+find; other columns pass redact unless its length_col names one of them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,19 +36,31 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavegrade.llm.common import blocks, raw_texts
+from wavegrade.llm.common import blocks, raw_texts, written
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, MAX_SPAN, EPOCHS, STEP = 4000, 80, 60, 0.5
+NOTHING = hashlib.sha256(b"").hexdigest()
+TYPES = (*KINDS, "secret")
+FREE = len(TYPES)
+#: Tokens and characters of an entity at most, characters around a mark that are cut into tokens, tokens that one step of the search holds.
+MAX_TOKENS, MAX_CHARS, REACH, STRETCH = 28, 72, 72, 4096
+#: Shapes that training takes of each sort, steps and step size, and weight decay.
+SHAPES, EPOCHS, STEP, DECAY = 24, 35, 0.8, 1e-3
 
 # The look-behind of ip only saves time: a match ends with its digits, so another can't start among them.
 _email = regex.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _ip = regex.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _card = regex.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = regex.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_written = regex.compile(r"[A-Za-z0-9._%+-]{2,64}\s?[\[({]\s?at\s?[\])}]\s?[A-Za-z0-9-]{2,63}(?:\s?[\[({]\s?dot\s?[\])}]\s?[A-Za-z]{2,24}|\.[A-Za-z]{2,24})+", regex.I)
-_digits = regex.compile(r"(?<![0-9+.,-])\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,4}(?![0-9.,-])")
-_cue = regex.compile(r"(?:call|tel|phone|mobile|fax|whatsapp)[\x20.:]{0,3}$", regex.I)
+_digit = re.compile(r"[0-9]")
+#: What an entity must hold: a digit run with others near, an @, or an "at" with a dot after it.
+_mark = regex.compile(r"[0-9](?:[^0-9\n]{0,8}[0-9]){3,}|@|(?<![A-Za-z])at(?![A-Za-z])[^\n]{1,24}?(?:(?<![A-Za-z])dot(?![A-Za-z])|\.[A-Za-z])", regex.I)
+_token = regex.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,64}(?![A-Za-z0-9])|[^\W\d_]+|[0-9]+|\s+|.", regex.S)
+#: Texts in which neither of these is found hold no mark.
+_plain_mark, _dotted = re.compile(r"[0-9@]"), re.compile(r"\.[A-Za-z]|(?<![A-Za-z])[dD][oO][tT](?![A-Za-z])")
+# Words before a number or key that say what follows.
+PHONE_CUES = frozenset(("call", "cell", "fax", "mobile", "phone", "ring", "tel", "telephone", "whatsapp"))
+SECRET_CUES = frozenset(("apikey", "key", "passwd", "password", "pwd", "secret", "token"))
 
 
 def luhn(digits: str) -> bool:
@@ -62,6 +80,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     if "@" in text:
         out += [("email", *m.span()) for m in _email.finditer(text)]
+    if not _digit.search(text):
+        return out
     out += [("ip", *m.span()) for m in _ip.finditer(text) if all(int(p[-4:]) <= 255 and len(p.lstrip("0")) <= 3 for p in m.group().split("."))]
     for m in _card.finditer(text):
         d = only_digits(m.group())
@@ -72,133 +92,401 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Segments that the field may call an entity, by end."""
-    found = set()
-    lower = text.lower()
-    if "at" in lower and any(c in text for c in "[({"):
-        found.update(m.span() for m in _written.finditer(text))
-    found.update(m.span() for m in _digits.finditer(text))
-    return sorted((s for s in found if s[1] - s[0] <= MAX_SPAN), key=lambda s: (s[1], s[0]))
-
-
-NAMES = ("bias", "at_mark", "dot_mark", "digits_8_15", "digits_16_19", "luhn", "four_parts", "plus", "cue", "bracket", "grouped", "letters")
+def windows(text: str) -> list[tuple[int, int]]:
+    """Merged stretches of the text within REACH characters of a mark."""
+    out: list[tuple[int, int]] = []
+    if not _plain_mark.search(text) and not _dotted.search(text):
+        return out
+    for m in _mark.finditer(text):
+        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
 
 
-def features(text: str, a: int, b: int) -> np.ndarray:
-    """What the whole span says, and the word before it."""
-    s = text[a:b]
-    d = only_digits(s)
-    parts = s.split(".")
-    return np.array([
-        1, "@" in s or bool(regex.search(r"[\[({]\s?at\s?[\])}]", s, regex.I)), bool(regex.search(r"[\[({]\s?dot\s?[\])}]|[a-z]\.[a-z]", s, regex.I)), 8 <= len(d) <= 15, 16 <= len(d) <= 19, len(d) >= 16 and luhn(d),
-        len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) <= 255 for p in parts), s[0] == "+", bool(_cue.search(text[max(0, a - 12) : a])), "(" in s[:2], sum(c in " -." for c in s) >= 2, any(c.isalpha() for c in s),
-    ], float)
+LETTERS, DIGITS, SPACE, MARK = range(4)
+
+
+class Tokens:
+    """A window's tokens: where they begin and end, and running sums of what the features count."""
+
+    def __init__(self, text: str):
+        self.text = text
+        found = [(m.start(), m.end()) for m in _token.finditer(text)]
+        self.start, self.end = np.array(found, np.int64).reshape(-1, 2).T
+        words = self.words = [text[a:b] for a, b in found]
+        self.n = n = len(words)
+        keys = np.array([len(w) > 15 and w.isalnum() and not w.isalpha() and not w.isdecimal() for w in words], bool)
+        self.kind = np.array([LETTERS if key or w.isalpha() else DIGITS if "0" <= w[0] <= "9" else SPACE if w.isspace() else MARK for w, key in zip(words, keys, strict=True)], np.int8)
+        low = [w.lower() for w in words]
+        near = lambda i: words[i] if 0 <= i < n else ""
+        at = np.array([w == "at" for w in low], bool)
+        sealed = np.array([near(i - 1) in "[({<" and near(i + 1) in "])}>" and near(i - 1) != "" and near(i + 1) != "" for i in range(n)], bool)
+        dot_word = np.array([w == "dot" for w in low], bool)
+        is_ = lambda c: np.array([w == c for w in words], bool)
+        dots = is_(".")
+        inner_dot = dots & np.array([near(i + 1)[:1].isalnum() and near(i - 1)[-1:].isalnum() or bool(sealed[i]) for i in range(n)], bool)
+        self.columns = {
+            "keys": keys, "hinges": at | dot_word, "digits": np.where(self.kind == DIGITS, self.end - self.start, np.array([len(only_digits(w)) if key else 0 for w, key in zip(words, keys, strict=True)], np.int64)), "groups": self.kind == DIGITS, "letters": self.kind == LETTERS, "spaces": self.kind == SPACE,
+            "strong_at": is_("@") | at & sealed, "weak_at": at & ~sealed, "dots": dots | dot_word, "inner_dots": inner_dot | dot_word, "dashes": is_("-"), "pluses": is_("+"),
+            "brackets": is_("(") | is_(")"), "seals": np.array([w in "[]{}<>" for w in words], bool), "odd": np.array([k == MARK and w not in ".@-+()[]{}<>_%" for k, w in zip(self.kind, words, strict=True)], bool),
+            "breaks": np.array(["\n" in w for w in words], bool), "capitals": np.array([w.isupper() for w in words], bool), "wide": np.array([k == SPACE and len(w) > 1 for k, w in zip(self.kind, words, strict=True)], bool),
+        }
+        self.sums = {k: np.concatenate(([0], np.cumsum(v))) for k, v in self.columns.items()}
+        cue = lambda names: np.array([any(x in names for x in low[max(0, i - 5) : i]) for i in range(n)], bool)
+        self.phone_cue, self.secret_cue = cue(PHONE_CUES), cue(SECRET_CUES)
+        self.zero = np.array([w[0] == "0" for w in words], bool)
+        self.tail = np.array([k == LETTERS and 2 <= len(w) <= 6 for k, w in zip(self.kind, words, strict=True)], bool)
+        self.hex = np.concatenate(([0], np.cumsum([k in (LETTERS, DIGITS) and any(c not in "0123456789abcdefABCDEF" for c in w) for k, w in zip(self.kind, words, strict=True)])))
+
+    def count(self, name: str, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return self.sums[name][j] - self.sums[name][i]
+
+
+def candidates(t: Tokens, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Token ranges [i, j) with low < j <= high that may be an entity."""
+    j = np.repeat(np.arange(low + 1, high + 1), MAX_TOKENS)
+    i = j - np.tile(np.arange(1, MAX_TOKENS + 1), high - low)
+    keep = i >= 0
+    i, j = i[keep], j[keep]
+    return i[ok := can_be_entity(t, i, j)], j[ok]
+
+
+def can_be_entity(t: Tokens, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Entities start with a letter, a digit, + or (, end with a letter, a digit or ), both no lone at or dot, stay on a line, and hold seven digits, four groups of digits, or an at and a dot."""
+    first, last = t.kind[i], t.kind[j - 1]
+    opens = (first == LETTERS) | (first == DIGITS) | (t.columns["pluses"][i] | t.columns["brackets"][i]) & (first == MARK)
+    closes = (last == LETTERS) | (last == DIGITS) | t.columns["brackets"][j - 1]
+    digits, at = t.count("digits", i, j), t.count("strong_at", i, j) + t.count("weak_at", i, j)
+    holds = (digits >= 7) | (t.count("groups", i, j) >= 4) | (t.count("keys", i, j) > 0) | (at > 0) & (t.count("inner_dots", i, j) > 0)
+    hinged = t.columns["hinges"][i] | t.columns["hinges"][j - 1]
+    return opens & closes & ~hinged & holds & (t.count("breaks", i, j) == 0) & (t.count("wide", i, j) == 0) & (t.end[j - 1] - t.start[i] <= MAX_CHARS)
+
+
+NAMES = (
+    "bias", "digits_8_15", "digits_16_19", "digits_over_19", "luhn", "one_group", "two_groups", "four_groups", "five_groups", "four_parts", "plus_first", "plus_inside", "bracket", "zero_first", "spaced", "dashed", "dotted", "mixed_separators",
+    "letters", "no_letters", "many_letters", "strong_at", "weak_at", "two_ats", "dot_after", "name_last", "odd_mark", "seals", "glued_left", "glued_right", "phone_cue", "secret_cue", "key_like", "hex", "capitals", "after_equals", "long", "digit_left", "digit_right",
+)
+
+
+def features(t: Tokens, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A row of NAMES for each token range."""
+    digits, groups, spaces, dashes, dots = (t.count(k, i, j) for k in ("digits", "groups", "spaces", "dashes", "dots"))
+    letters, odd, pluses = (t.count(k, i, j) for k in ("letters", "odd", "pluses"))
+    strong, weak = t.count("strong_at", i, j), t.count("weak_at", i, j)
+    plain = letters == 0
+    luhns, parts = np.zeros(len(i), bool), np.zeros(len(i), bool)
+    for k in np.flatnonzero((digits >= 16) & (digits <= 19) & plain):
+        luhns[k] = luhn(only_digits(t.text[t.start[i[k]] : t.end[j[k] - 1]]))
+    for k in np.flatnonzero((groups == 4) & (dots == 3) & (odd == 0) & (dashes + pluses == 0)):
+        found = [w for w in t.words[i[k] : j[k]] if w[0].isdigit()]
+        parts[k] = all(len(w) < 4 and int(w) <= 255 for w in found)
+    before, after = np.maximum(i - 1, 0), np.minimum(j, t.n - 1)
+    has_before, has_after = i > 0, j < t.n
+    word = (t.kind == LETTERS) | (t.kind == DIGITS)
+    glued_mark = np.array([w in "@_+-./" for w in t.words], bool)
+    beyond = np.minimum(j + 1, t.n - 1)
+    left = has_before & (word[before] | glued_mark[before])
+    right = has_after & (word[after] | glued_mark[after] & (j + 1 < t.n) & word[beyond])
+    size = t.end[j - 1] - t.start[i]
+    mixed_key = (size >= 16) & (t.count("keys", i, j) > 0) & (j - i == 1)
+    equals = np.array([w in "=:\"'" for w in t.words], bool)
+    return np.column_stack([
+        np.ones(len(i)), (digits >= 8) & (digits <= 15), (digits >= 16) & (digits <= 19), digits > 19, luhns, groups == 1, groups == 2, groups == 4, groups >= 5, parts,
+        t.columns["pluses"][i], pluses > t.columns["pluses"][i], t.count("brackets", i, j) > 0, t.zero[i], spaces > 0, dashes > 0, dots > 0, (spaces > 0).astype(int) + (dashes > 0) + (dots > 0) > 1,
+        letters > 0, plain, letters > 8, strong > 0, weak > 0, strong + weak > 1, t.count("inner_dots", i, j) > 0, t.tail[j - 1] & (letters > 1), odd > 0, t.count("seals", i, j) > 0, left, right,
+        t.phone_cue[i], t.secret_cue[i], mixed_key, mixed_key & (t.hex[j] == t.hex[i]), mixed_key & (t.count("capitals", i, j) == letters), has_before & equals[before], j - i > 12,
+        has_before & (t.kind[before] == SPACE) & (i > 1) & (t.kind[np.maximum(i - 2, 0)] == DIGITS), has_after & (t.kind[after] == SPACE) & (t.kind[beyond] == DIGITS) & (j + 1 < t.n),
+    ]).astype(float)
 
 
 class Field:
-    """weights: a row for each kind and a last one for free text, over NAMES."""
-
-    def __init__(self, weights: np.ndarray | None = None):
-        self.weights = np.zeros((len(KINDS) + 1, len(NAMES))) if weights is None else weights
+    """weights: a row for each type over NAMES; follows: the score of a type (or FREE, last) after another."""
+
+    def __init__(self, weights: np.ndarray | None = None, follows: np.ndarray | None = None):
+        self.empty = weights is None
+        self.weights = np.zeros((len(TYPES), len(NAMES))) if weights is None else weights
+        self.follows = np.zeros((FREE + 1, FREE + 1)) if follows is None else follows
+
+    def segments(self, t: Tokens, low: int, high: int, blocked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Candidates that end in (low, high] and hold no blocked token, and their score for each type."""
+        i, j = candidates(t, low, high)
+        free = blocked[j] == blocked[i]
+        i, j = i[free], j[free]
+        return i, j, features(t, i, j) @ self.weights.T if len(i) else np.zeros((0, FREE))
+
+    def best(self, t: Tokens, blocked: np.ndarray) -> list[tuple[int, int, int]]:
+        """(type, i, j) of the entities in the best segmentation of all tokens; blocked: running counts of tokens that must be free."""
+        k, n = FREE + 1, t.n
+        ring = np.full((MAX_TOKENS + 1, k), -np.inf)  # best score of the last ends, as it enters each type
+        entered = np.zeros((MAX_TOKENS + 1, k), np.int8)
+        ring[0] = self.follows[FREE]
+        entered[0] = FREE
+        back_length, back_type = np.ones((n + 1, k), np.int8), np.zeros((n + 1, k), np.int8)
+        final = np.full(k, -np.inf)
+        final[FREE] = 0.0
+        for low in range(0, n, STRETCH):
+            high = min(n, low + STRETCH)
+            i, j, scores = self.segments(t, low, high, blocked)
+            cut = np.searchsorted(j, np.arange(low + 1, high + 2))
+            for e in range(low + 1, high + 1):
+                final = np.full(k, -np.inf)
+                last = (e - 1) % (MAX_TOKENS + 1)
+                final[FREE] = ring[last, FREE]
+                back_type[e, FREE] = entered[last, FREE]
+                a, b = cut[e - low - 1], cut[e - low]
+                if b > a:
+                    at = i[a:b] % (MAX_TOKENS + 1)
+                    total = ring[at, :FREE] + scores[a:b]
+                    pick = total.argmax(0)
+                    final[:FREE] = total[pick, np.arange(FREE)]
+                    back_length[e, :FREE] = e - i[a:b][pick]
+                    back_type[e, :FREE] = entered[at[pick], np.arange(FREE)]
+                into = final[:, None] + self.follows
+                here = e % (MAX_TOKENS + 1)
+                entered[here] = into.argmax(0)
+                ring[here] = into.max(0)
+        out, y, e = [], int(final.argmax()), n
+        while e > 0:
+            size = int(back_length[e, y]) if y != FREE else 1
+            if y != FREE:
+                out.append((y, e - size, e))
+            y, e = int(back_type[e, y]), e - size
+        return out[::-1]
 
     def decode(self, text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        """The best segmentation's entities among candidates that no taken span overlaps."""
-        held = sorted((a, b) for _, a, b in taken)
-        segments, best = [], []
-        for a, b in candidates(text):
-            if any(x < b and a < y for x, y in held):
-                continue
-            s = self.weights @ features(text, a, b)
-            k = int(np.argmax(s[:-1]))
-            segments.append((a, b, KINDS[k], float(s[k] - s[-1])))
-        # best[i]: score and choice over the first i segments, by end; a choice reaches back to the last end at or before its start.
-        ends, best = [x[1] for x in segments], [(0.0, None)]
-        for i, (a, _, _, gain) in enumerate(segments):
-            j = int(np.searchsorted(ends[:i], a, side="right"))
-            take = best[j][0] + gain
-            best.append((take, j) if take > best[i][0] else (best[i][0], None))
-        out, i = [], len(segments)
-        while i:
-            if best[i][1] is None:
-                i -= 1
-            else:
-                out.append((segments[i - 1][2], segments[i - 1][0], segments[i - 1][1]))
-                i = best[i][1]
-        return out[::-1]
+        """The best segmentation's entities where no taken span lies."""
+        out = []
+        if self.empty:
+            return out
+        for a, b in windows(text):
+            t = Tokens(text[a:b])
+            held = np.zeros(t.n, bool)
+            for _, x, y in taken:
+                held |= (t.start + a < y) & (t.end + a > x)
+            blocked = np.concatenate(([0], np.cumsum(held)))
+            out += [(TYPES[y], a + int(t.start[i]), a + int(t.end[j - 1])) for y, i, j in self.best(t, blocked)]
+        return out
 
     def spans(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
         """Base spans, and all spans by kind and start."""
         base = base_spans(text)
         more = self.decode(text, base)
-        return base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1], s[2])) if more else base
+        return base, sorted(base + more, key=lambda s: (TYPES.index(s[0]), s[1], s[2])) if more else base
+
+
+# Training
+
+
+def lse(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis, keepdims=True)
+    top = np.where(np.isfinite(top), top, 0.0)
+    with np.errstate(divide="ignore"):
+        return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
+
+
+class Lattice:
+    """The candidates of many windows, aligned by end, for the sums over all segmentations."""
+
+    def __init__(self, items: list[tuple[Tokens, list[tuple[int, int, int]]]]):
+        self.tokens = np.array([t.n for t, _ in items])
+        self.n = int(self.tokens.max())
+        w, i, j, rows, gold = [], [], [], [], []
+        self.pairs = np.zeros((FREE + 1, FREE + 1))
+        self.pair_of = []
+        for b, (t, entities) in enumerate(items):
+            p, q = candidates(t, 0, t.n)
+            w.append(np.full(len(p), b))
+            i.append(p)
+            j.append(q)
+            rows.append(features(t, p, q))
+            named = {(x, y): k for k, x, y in entities}
+            gold.append(np.array([named.get((x, y), -1) for x, y in zip(p.tolist(), q.tolist(), strict=True)], np.int64))
+            order, at = [FREE], 0
+            for k, x, y in sorted(entities, key=lambda s: s[1]):
+                order += [FREE] * (x - at) + [k]
+                at = y
+            order += [FREE] * (t.n - at)
+            m = np.zeros((FREE + 1, FREE + 1))
+            np.add.at(m, (order[:-1], order[1:]), 1)
+            self.pair_of.append(m)
+        self.w, self.i, self.j, self.rows, self.gold = (np.concatenate(x) for x in (w, i, j, rows, gold))
+
+    def expected(self, weights: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each window the log of the sum over segmentations; each candidate's probability as each type; the expected number of each type after another, by window."""
+        size, k, n = len(self.tokens), FREE + 1, self.n
+        score = np.full((size, n + 1, MAX_TOKENS + 1, FREE), -np.inf)
+        score[self.w, self.j, self.j - self.i] = self.rows @ weights.T
+        ahead = np.full((size, n + 1, k), -np.inf)
+        ahead[:, 0, FREE] = 0.0
+        into = np.full((size, n + 1, k), -np.inf)
+        into[:, 0] = follows[FREE]
+        for e in range(1, n + 1):
+            ahead[:, e, FREE] = into[:, e - 1, FREE]
+            longest = min(e, MAX_TOKENS)
+            ahead[:, e, :FREE] = lse(into[:, e - longest : e, :FREE] + score[:, e, longest:0:-1], 1)
+            into[:, e] = lse(ahead[:, e, :, None] + follows, 1)
+        each = np.arange(size)
+        total = lse(ahead[each, self.tokens], 1)
+        # behind[e, y]: all that can follow a segment of type y that ends at e; start[e, y]: all from a segment of type y that starts at e.
+        behind = np.full((size, n + 1, k), -np.inf)
+        behind[each, self.tokens] = 0.0
+        start = np.full((size, n + 2, k), -np.inf)
+        for e in range(n, -1, -1):
+            if e < n:
+                start[:, e, FREE] = behind[:, e + 1, FREE]
+                longest = min(n - e, MAX_TOKENS)
+                ends = np.arange(e + 1, e + longest + 1)
+                start[:, e, :FREE] = lse(behind[:, e + 1 : e + longest + 1, :FREE] + score[:, ends, ends - e], 1)
+                here = lse(start[:, e, None, :] + follows, 2)
+                behind[:, e] = np.where((self.tokens == e)[:, None], 0.0, here)
+        chance = np.exp(into[self.w, self.i, :FREE] + score[self.w, self.j, self.j - self.i] + behind[self.w, self.j, :FREE] - total[self.w, None])
+        pairs = np.exp(ahead[:, :n, :, None] + follows + start[:, :n, None, :] - total[:, None, None, None]).sum(1)
+        return total, chance, pairs
+
+
+def learn(items: list[tuple[Tokens, list[tuple[int, int, int]]]], times: np.ndarray, epochs: int = EPOCHS) -> Field:
+    """Weights of the greatest likelihood of the given segmentations, by adaptive gradient steps. times: how much each window weighs."""
+    if not items:
+        return Field()
+    lattice = Lattice(items)
+    weights, follows = np.zeros((len(TYPES), len(NAMES))), np.zeros((FREE + 1, FREE + 1))
+    named = lattice.gold >= 0
+    seen = np.zeros((len(named), FREE))
+    seen[np.flatnonzero(named), lattice.gold[named]] = 1.0
+    times = times / times.sum()
+    seen_pairs = (np.array(lattice.pair_of) * times[:, None, None]).sum(0)
+    square_w, square_f = np.full_like(weights, 1e-6), np.full_like(follows, 1e-6)
+    for step in range(epochs):
+        _, chance, pairs = lattice.expected(weights, follows)
+        up = ((seen - chance) * times[lattice.w, None]).T @ lattice.rows - DECAY * weights
+        up_f = seen_pairs - (pairs * times[:, None, None]).sum(0) - DECAY * follows
+        square_w += up * up
+        square_f += up_f * up_f
+        rate = STEP * (1 - step / (2 * epochs))
+        weights += rate * up / np.sqrt(square_w)
+        follows += rate * up_f / np.sqrt(square_f)
+    return Field(weights, follows)
+
+
+_plain = regex.compile(r"[^\W\d_]+")
+
+
+def shape(text: str) -> str:
+    """The text with its digits as 9 and its words as one letter, but for those that the features know."""
+    known = PHONE_CUES | SECRET_CUES | {"at", "dot"}
+    short = _plain.sub(lambda m: m.group() if m.group().lower() in known else "A" if m.group().isupper() else "a", text)
+    return regex.sub(r"(?:a[ ,.]*)*a(?=\W|$)", "a", regex.sub(r"[0-9]", "9", short)).strip()
+
 
+_key = regex.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,64}(?![A-Za-z0-9_-])")
 
-def rewritten(kind: str, span: str) -> str:
-    """The span with its kind's mark written another way."""
+
+def secret_spans(text: str) -> list[tuple[str, int, int]]:
+    """Key-like strings (16 to 64 characters, letters and digits) after a cue word or of capitals and digits only: what the type secret learns from."""
+    out = []
+    for m in _key.finditer(text):
+        s = m.group()
+        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
+            before = text[max(0, m.start() - 24) : m.start()].lower()
+            if s.upper() == s or any(w in SECRET_CUES for w in _plain.findall(before)[-2:]):
+                out.append(("secret", *m.span()))
+    return out
+
+
+def examples(text: str) -> list[tuple[str, str, str]]:
+    """(sort, shape, window with its spans as kind:start:end) around each base span, secret and number of a text."""
+    gold = base_spans(text) + secret_spans(text)
+    out = []
+    for a, b in windows(text):
+        inside = [(k, x, y) for k, x, y in gold if a <= x and y <= b]
+        for kind, x, y in inside or [("none", a + REACH, min(b, a + REACH + 24))]:
+            p, q = max(0, x - 24), min(len(text), y + 24)
+            here = [(k, u - p, v - p) for k, u, v in inside if p <= u and v <= q]
+            if not any(u < y2 and x2 < v for n, (_, u, v) in enumerate(here) for _, x2, y2 in here[n + 1 :]):
+                out.append((kind, shape(text[p:q]), text[p:q] + "\n\n" + ",".join(f"{k}:{u}:{v}" for k, u, v in here)))
+    return out
+
+
+def rewritten(kind: str, span: str, rng: np.random.Generator) -> list[tuple[str, str, bool]]:
+    """(text before, span, whether it still is an entity) of ways to write the span's kind otherwise."""
+    pick = lambda *x: x[rng.integers(len(x))]
     if kind == "email":
-        return span.replace("@", " [at] ").replace(".", " [dot] ")
-    return "call " + span[1:] if kind == "phone" else span
-
-
-def examples(text: str) -> tuple[list[np.ndarray], list[int]]:
-    """Feature rows and kinds of base spans, plain and rewritten, and of segments and cut-off spans that are none."""
-    x, y = [], []
-    base = base_spans(text)
-    for kind, a, b in base:
-        x.append(features(text, a, b))
-        y.append(KINDS.index(kind))
-        other = rewritten(kind, text[a:b])
-        skip = 5 if other.startswith("call ") else 0
-        x.append(features(other, skip, len(other)))
-        y.append(KINDS.index(kind))
-        if kind == "phone":  # the same digits with nothing that says phone are free text
-            x.append(features(other[5:], 0, len(other) - 5))
-            y.append(len(KINDS))
-        if kind == "card" and b - a > 2:
-            wrong = text[a : b - 1] + str((int(text[b - 1]) + 1) % 10)
-            x.append(features(wrong, 0, len(wrong)))
-            y.append(len(KINDS))
-    for a, b in candidates(text):
-        if not any(p < b and a < q for _, p, q in base):
-            x.append(features(text, a, b))
-            y.append(len(KINDS))
-    return x, y
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field:
-    """Weights from at most about `sample` texts that hold a digit run or an @, chosen by hash of the id."""
-    total = docs.count()
-    if not total:
-        return Field()
+        out = []
+        bare = regex.sub(r"[0-9]+", "", span)
+        for s in (span, bare if _email.fullmatch(bare) else span, bare.split(".", bare.count(".") - 1)[-1] if bare.partition("@")[2].count(".") > 1 else bare):
+            name, _, host = s.rpartition("@")
+            name = name or "jo"
+            at, dot = pick(" [at] ", " (at) ", "[at]", " at ", " {at} "), pick(" [dot] ", " dot ", ".", " (dot) ")
+            out += [("", name + at + host.replace(".", dot), True), ("", name + "@" + host, True)]
+        return [*out, ("", name.strip(".") + " at noon." + host.partition(".")[0].capitalize(), False)]
+    d = only_digits(span)
+    if kind == "ip":
+        return [("", span.replace(".", pick("[.]", " dot ", "(.)", " . ")), True), ("", ".".join(["9" + p for p in span.split(".")]) if len(d) > 9 else span + "0000", False)]
+    if kind == "card":
+        ends = np.cumsum(pick([4, 4, 4], [4, 6], [4, 4]))
+        parts = [d[a:b] for a, b in zip([0, *ends], [*ends, len(d)], strict=True)]
+        wrong = d[:-1] + str((int(d[-1]) + 1) % 10)
+        return [("", pick(".", "/", " - ").join(parts), True), ("", wrong, False), ("", " ".join(wrong[k : k + 4] for k in range(0, len(wrong), 4)), False)]
+    if kind == "phone":
+        d = d[-int(rng.integers(8, 12)) :]
+        sep = pick(" ", "-", ".", " ")
+        cut = pick([3, 3], [4, 3], [3, 4], [2, 4], [2, 2, 2])
+        ends = np.cumsum(cut)
+        parts = [x for x in (d[a:b] for a, b in zip([0, *ends], [*ends, len(d)], strict=True)) if x]
+        local = sep.join(parts)
+        cue = pick("call ", "phone ", "tel: ", "mobile ", "ring ", "fax ")
+        return [(cue, local, True), (cue, "(" + parts[0] + ") " + sep.join(parts[1:]), True), (cue, d, True), ("", "00" + sep + local, True), ("", d, False), ("", local.replace(sep, pick(",", "/")), False)]
+    return []
+
+
+def training_set(rows: list[tuple[str, str, int]], seed: int = 5) -> tuple[list[tuple[Tokens, list[tuple[int, int, int]]]], np.ndarray]:
+    """Windows with their entities, as found and rewritten, and how much each weighs. rows: (sort, example, times seen)."""
+    rng = np.random.default_rng(seed)
+    items, times = [], []
+
+    def add(text: str, spans: list[tuple[str, int, int]], n: float) -> None:
+        t = Tokens(text)
+        begins, ends = {int(a): i for i, a in enumerate(t.start)}, {int(b): i + 1 for i, b in enumerate(t.end)}
+        entities = [(TYPES.index(k), begins.get(a, -1), ends.get(b, -1)) for k, a, b in spans]
+        i, j = (np.array([e[x] for e in entities], np.int64) for x in (1, 2))
+        if 0 < t.n <= 72 and all(e[1] >= 0 and 0 < e[2] - e[1] <= MAX_TOKENS for e in entities) and (not len(i) or can_be_entity(t, i, j).all()):
+            items.append((t, entities))
+            times.append(n)
+
+    for kind, example, n in rows:
+        text, _, listed = example.rpartition("\n\n")
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in listed.split(",") if s)]
+        weight = 1 + np.log(n)
+        add(text, spans, weight)
+        first = next(((k, a, b) for k, a, b in spans if k == kind), None)
+        if first and len(spans) == 1:
+            _, a, b = first
+            for before, other, still in rewritten(kind, text[a:b], rng):
+                tail = str(rng.choice(["", ".", ",", " "])) + " " if b == len(text) or text[b].isspace() else ""
+                head = text[:a] + before
+                new = head + other + tail + text[b:]
+                add(new, [(kind, len(head), len(head) + len(other))] if still else [], weight / 4)
+    return items, np.array(times)
+
+
+def fit(docs: DataFrame, text_col: str = "text", shapes: int = SHAPES) -> Field:
+    """Weights from the windows of all texts, grouped by shape; the driver gets `shapes` of each sort at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, text_col):
-            x, y = [], []
-            for t in raw_texts(batch, text_col):
-                more = examples(t.decode())
-                x, y = x + more[0], y + more[1]
-            if y:
-                keys, n = np.unique(np.column_stack([y, np.array(x)]).astype(np.int64), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.tolist(), pa.list_(pa.int64())), pa.array(n, pa.int64())], names=["row", "n"])
-
-    share = min(1.0, sample / total)
-    chosen = docs.select(id_col, text_col).where(F.pmod(F.xxhash64(F.lit("pii"), id_col), F.lit(1_000_000)) < int(1_000_000 * share))
-    # Features are yes or no, so distinct rows are few whatever the corpus.
-    rows = chosen.mapInArrow(run, "row array<long>, n long").groupBy("row").agg(F.sum("n").alias("n")).orderBy("row").collect()
-    if not rows:
-        return Field()
-    data = np.array([r["row"] for r in rows], float)
-    x, y, n = data[:, 1:], data[:, 0].astype(int), np.sqrt(np.array([r["n"] for r in rows], float))
-    w = np.zeros((len(KINDS) + 1, len(NAMES)))
-    w[-1, 0] = 1.0
-    gold = np.eye(len(KINDS) + 1)[y]
-    for _ in range(EPOCHS * 10):
-        s = x @ w.T
-        p = np.exp(s - s.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        w += STEP * ((gold - p) * n[:, None]).T @ x / n.sum() - 1e-4 * w
-    return Field(w)
+            got = [e for t in raw_texts(batch, text_col) for e in examples(t.decode())]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*got, strict=True)], names=["sort", "shape", "example"])
+
+    # The filter is what every window holds; it runs before the texts leave the JVM.
+    marked = docs.select(text_col).where(F.col(text_col).rlike(r"@|[0-9]|(?i)\bat\b.{1,24}?(\bdot\b|\.[a-z])"))
+    counted = marked.mapInArrow(run, "sort string, shape string, example string").groupBy("sort", "shape").agg(F.count("*").alias("n"), F.min("example").alias("example"))
+    counted = written(counted, "pii-shapes")
+    rows = [(sort, r["example"], r["n"]) for sort in (*TYPES, "none") for r in counted.where(F.col("sort") == sort).orderBy(F.desc("n"), "shape").limit(shapes).collect()]
+    return learn(*training_set(rows)) if any(r[0] in KINDS for r in rows) else Field()
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -212,7 +500,7 @@ def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
         for batch in blocks(batches, text_col):
             got = [field.spans(t.decode()) for t in raw_texts(batch, text_col)]
             counts = [pa.array([sum(s[0] == k for s in g[0]) for g in got], pa.int64()) for k in KINDS]
-            digests = pa.array([hashlib.sha256(joined(g[0]).encode()).hexdigest() for g in got], pa.string())
+            digests = pa.array([hashlib.sha256(joined(g[0]).encode()).hexdigest() if g[0] else NOTHING for g in got], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *counts, digests, pa.array([joined(g[1]) for g in got], pa.string())], names=[id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, " + "".join(f"n_{k} long, " for k in KINDS) + "base_sha256 string, spans string")
@@ -228,17 +516,17 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, field: Field, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """The rows of docs with spans masked; a column that holds the text's length is set anew, all others stay."""
+def redact(docs: DataFrame, field: Field, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """The rows of docs with spans masked; length_col names an integer column that holds the text's length and is set anew in changed rows, all other columns stay."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, text_col):
             texts = batch.column(text_col).to_pylist()
-            new = [t if t is None else masked(t, field.spans(t)[1]) for t in texts]
+            new = [t if not t else masked(t, field.spans(t)[1]) for t in texts]
             cols = list(batch.columns)
             cols[names.index(text_col)] = pa.array(new, cols[names.index(text_col)].type)
-            if length_col in names:
+            if length_col is not None:
                 old = cols[names.index(length_col)].to_pylist()
                 cols[names.index(length_col)] = pa.array([o if n == t else len(n) for o, n, t in zip(old, new, texts, strict=True)], cols[names.index(length_col)].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
