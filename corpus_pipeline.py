@@ -27,7 +27,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data masked."""
-    return pii_semicrf.redact(docs, pii_semicrf.fit(docs))
+    return pii_semicrf.redact(docs, pii_semicrf.fit(docs), length_col="n_chars")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
