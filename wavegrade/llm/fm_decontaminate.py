@@ -6,8 +6,10 @@ index, exactly. The rest is sorted into a suffix array, whose Burrows-Wheeler tr
 matrix. All windows are searched backwards at once by ranks; the rows found are walked to the next sampled
 suffix position, and the spans they cover are merged per document.
 
-The benchmark is the only broadcast and does not grow with the corpus. Its words are counted while it is
-read, and more than LIMIT_WORDS are refused with an error; a larger benchmark has to be given in parts.
+The benchmark is the only broadcast. Its items are cut into stretches of STRETCH words that overlap by a
+window less one word, so that each window lies in one; stretches are dealt into parts of about PART_WORDS
+words, and only one part is sent at a time. With several parts each one's hits go to a written table, and the
+spans and items of a document are merged from all of them, so the result does not depend on the parts.
 
 Edge cases: null, empty and word-less texts have no words and no hits; items without a word have no window;
 items of fewer than 13 words are one window; repeated items each count by their id, items with a null id
@@ -19,16 +21,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from wavegrade.llm.common import blocks, raw_texts
+from wavegrade.llm.common import blocks, raw_texts, written
 
 WIDTH, SAMPLE = 13, 8
-#: Words of a benchmark at most; its windows and their index take about 200 bytes a word in each task.
-LIMIT_WORDS = 2_000_000
+#: Words of a benchmark that are sent at a time, about (their windows and index take some 200 bytes a word in each task), and of a stretch of an item.
+PART_WORDS, STRETCH = 2_000_000, 4096
 
 
 def word_table() -> bytes:
@@ -199,42 +203,134 @@ class Benchmark:
         return n_words, spans, items
 
 
-def load(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: int = LIMIT_WORDS) -> Benchmark:
-    """The benchmark's windows; an error beyond `limit` words."""
-    items, size = [], 0
-    for row in benchmark.select(id_col, text_col).toLocalIterator():
-        items.append((row[0], words_of((row[1] or "").encode())))
-        size += len(items[-1][1])
-        if size > limit:
-            raise ValueError(f"the benchmark has over {limit} words; give it in parts")
-    return Benchmark(items)
+def stretches(benchmark: DataFrame, id_col: str, text_col: str, size: int = STRETCH) -> DataFrame:
+    """(item, n, words): the items' words in runs of size that overlap by a window less one word, joined by spaces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, text_col):
+            item, n, words = [], [], []
+            for row, (i, text) in enumerate(zip(batch.column(id_col).cast(pa.string()).to_pylist(), raw_texts(batch, text_col), strict=True)):
+                w = words_of(text)
+                for k in range(0, max(1, len(w) - WIDTH + 1), size) if w else ():
+                    part = w[k : k + size + WIDTH - 1]
+                    item.append(i)
+                    n.append(len(part))
+                    words.append(b" ".join(part))
+            yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(n, pa.int64()), pa.array(words, pa.binary())], names=["item", "n", "words"])
+
+    return benchmark.select(id_col, text_col).mapInArrow(run, "item string, n long, words binary")
+
+
+def parts(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[Benchmark]:
+    """The benchmark's windows, a part of about limit words at a time; one empty part if there are no words."""
+    rows = stretches(benchmark, id_col, text_col)
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    n = -(-total // limit) or 1
+    if n > 1:
+        rows = written(rows.withColumn("part", F.pmod(F.xxhash64("words"), F.lit(n)).cast("int")), "benchmark")
+    for k in range(n):
+        own = rows.where(F.col("part") == k) if n > 1 else rows
+        yield Benchmark([(r["item"], bytes(r["words"]).split()) for r in own.select("item", "words").toLocalIterator()])
 
 
 def is_contaminated(n_words: int, n_hit: int) -> bool:
     return n_hit > 0 and 20 * n_hit >= n_words
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def spread(spans: list[tuple[int, int]]) -> str:
+    return ",".join(f"{a}:{b}" for a, b in spans)
+
+
+def merged(found: list[str]) -> list[tuple[int, int]]:
+    """The union of spans given as start:end lists; neighbours that touch stay apart only where no part joins them."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(tuple(map(int, s.split(":"))) for x in found for s in x.split(",") if s):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string"
+
+
+def results(ids: pa.Array, id_col: str, n_words: list[int], spans: list[list[tuple[int, int]]], items: list[set[str]]) -> pa.RecordBatch:
+    n_hit = [sum(b - a for a, b in s) for s in spans]
+    return pa.RecordBatch.from_pydict({
+        id_col: ids, "n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "n_items": pa.array([len(x) for x in items], pa.int64()),
+        "items_sha256": pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items], pa.string()),
+        "contaminated": pa.array([is_contaminated(n, h) for n, h in zip(n_words, n_hit, strict=True)], pa.bool_()),
+        "spans": pa.array([spread(s) for s in spans], pa.string()),
+    })
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """Tells rows apart that differ in id or text; equal rows have equal results."""
+    return F.concat_ws(":", F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col)), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_words: int = PART_WORDS) -> DataFrame:
     """Per row: the id, n_words, n_hit, n_items, items_sha256, contaminated, and spans, the merged hit word spans as start:end."""
-    sent = docs.sparkSession.sparkContext.broadcast(load(benchmark))
+    spark, of_id = docs.sparkSession, dict(docs.dtypes)[id_col]
+    todo = parts(benchmark, item_col, item_text_col, part_words)
+    first = next(todo)
+    second = next(todo, None)
+    if second is None:
+        sent = spark.sparkContext.broadcast(first)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in blocks(batches, text_col):
+                n_words, spans, items = sent.value.hits(raw_texts(batch, text_col))
+                yield results(batch.column(id_col), id_col, n_words.tolist(), spans, items)
+
+        return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {of_id}, {RESULT}")
+    keyed = docs.select(row_key(id_col, text_col).alias("_key"), id_col, text_col)
+    hits = None
+    for part in chain((first, second), todo):
+        sent = spark.sparkContext.broadcast(part)
+        found = written(keyed.select("_key", text_col).mapInArrow(hit_rows(sent, text_col), "_key string, spans string, items array<string>"), "hits")
+        sent.unpersist()
+        hits = found if hits is None else hits.unionByName(found)
+    hits = hits.groupBy("_key").agg(F.collect_set("spans").alias("_spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("_items"))  # parts x 1 at most for each document
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [merged(x or []) for x in batch.column("_spans").to_pylist()]
+            yield results(batch.column(id_col), id_col, batch.column("_n").to_pylist(), spans, [set(x or []) for x in batch.column("_items").to_pylist()])
+
+    counted = keyed.mapInArrow(word_counts(id_col, text_col), f"_key string, `{id_col}` {of_id}, _n long")
+    return counted.join(hits, "_key", "left").select(id_col, "_n", "_spans", "_items").mapInArrow(merge, f"`{id_col}` {of_id}, {RESULT}")
+
+
+def hit_rows(sent, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, text_col):
+            _, spans, items = sent.value.hits(raw_texts(batch, text_col))
+            hit = [i for i, s in enumerate(spans) if s]
+            yield pa.RecordBatch.from_arrays([batch.column("_key").take(pa.array(hit, pa.int64())), pa.array([spread(spans[i]) for i in hit], pa.string()), pa.array([sorted(items[i]) for i in hit], pa.list_(pa.string()))], names=["_key", "spans", "items"])
+
+    return run
 
+
+def word_counts(id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, text_col):
-            got = list(zip(*sent.value.hits(raw_texts(batch, text_col)), strict=True))
-            n_hit = [sum(b - a for a, b in x[1]) for x in got]
-            yield pa.RecordBatch.from_pydict({
-                id_col: batch.column(id_col), "n_words": pa.array([x[0] for x in got], pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "n_items": pa.array([len(x[2]) for x in got], pa.int64()),
-                "items_sha256": [hashlib.sha256(",".join(sorted(x[2])).encode()).hexdigest() for x in got],
-                "contaminated": pa.array([is_contaminated(x[0], h) for x, h in zip(got, n_hit, strict=True)], pa.bool_()),
-                "spans": [",".join(f"{a}:{b}" for a, b in x[1]) for x in got],
-            })
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column(id_col), pa.array([len(words_of(t)) for t in raw_texts(batch, text_col)], pa.int64())], names=["_key", id_col, "_n"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string")
+    return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not contaminated, all columns as they are."""
-    sent = docs.sparkSession.sparkContext.broadcast(load(benchmark))
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_words: int = PART_WORDS) -> DataFrame:
+    """The rows of docs that are not contaminated, all columns as they are; rows equal in id and text are judged alike, a null text or id like any other."""
+    todo = parts(benchmark, "item_id", "text", part_words)
+    first = next(todo)
+    second = next(todo, None)
+    if second is not None:
+        keyed = docs.withColumn("_key", row_key(id_col, text_col))
+        bad = find_contamination(keyed.select("_key", text_col).dropDuplicates(["_key"]), benchmark, "_key", text_col, part_words=part_words).where("contaminated")
+        return keyed.join(bad.select("_key"), "_key", "left_anti").drop("_key")
+    sent = docs.sparkSession.sparkContext.broadcast(first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, text_col):

@@ -133,7 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     total = known.count()
     if not total:
         return Model()
-    chosen = known.where(F.pmod(F.xxhash64(F.lit("fit"), id_col), F.lit(1_000_000)) < int(1_000_000 * min(1, sample / total)))
+    # A threshold on the whole 64-bit hash, so that the share never rounds to nothing.
+    chosen = known.where(F.xxhash64(F.lit("fit"), id_col) <= min(-(1 << 63) + (sample << 64) // total, (1 << 63) - 1))
     aside = calibrate if calibrate is not None else F.pmod(F.xxhash64(F.lit("calibrate"), id_col), F.lit(4)) == 0
     # The chosen labels are bounded by `sample`, so this side may be sent to every task.
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.col("_y"), aside.alias("_aside"), F.col(text_col).alias("_text"))
