@@ -1,26 +1,34 @@
 """Sharding by size-tiered compaction.
 
 Arrivals are appended as small immutable Parquet shards. Shards of a like size (a tier is a power of FANOUT
-times the smallest size) are merged FANOUT or more at a time into shards of at most the target size, until no
-tier holds that many. Every change writes new files, then commits a new manifest version by renaming a
-finished file to a name that must not exist yet; readers take the newest version and its files only, so a
-lost executor or a failed merge leaves nothing half done.
+times the smallest size) are merged when a tier holds FANOUT or more: whole files are packed into runs whose
+bytes sum to at most the target, and each run becomes one new file, read and written by one task without a
+shuffle. Every change writes new files, then commits a new manifest version by creating a file that must not
+exist yet; readers take the newest version and its files only, so a lost executor or a failed merge leaves
+nothing half done. vacuum removes files that no kept version names, once they are older than a grace time.
 
 Edge cases: null ids and texts and repeated rows are kept as they are; one row larger than the target makes
-a shard of its own; an empty table commits a manifest without shards; columns of any name pass unchanged.
+a shard of its own; an empty table commits a manifest without shards; columns of any name pass unchanged; of
+two writers that commit the same version one wins, and the other gets an error and may start again.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections import Counter
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavegrade.llm.common import shared_folder
 
 TARGET_BYTES, ARRIVAL_ROWS, FANOUT, SMALLEST = 128 << 20, 20_000, 4, 1 << 20
+#: Runs that one job merges.
+MERGED_AT_ONCE = 64
 
 
 class ShardStore:
@@ -39,21 +47,23 @@ class ShardStore:
 
     def manifest(self) -> tuple[int, list[dict]]:
         """The newest version and its shards: path, bytes and tier."""
-        found = self.versions()
-        if not found:
-            return 0, []
-        lines = self.spark.read.text(f"{self.root}/manifests/v{found[-1]:08d}.json", wholetext=True).first()
-        return found[-1], json.loads(lines[0])
+        for version in reversed(self.versions()):
+            text = self.spark.read.text(f"{self.root}/manifests/v{version:08d}.json", wholetext=True).first()
+            if text and text[0].endswith("\n"):  # else its writer has not closed it yet
+                return version, json.loads(text[0])
+        return 0, []
 
     def commit(self, seen: int, shards: list[dict]) -> int:
-        """Write version seen + 1; fails if somebody else has."""
-        temporary = self._path(f"{self.root}/manifests/_{uuid.uuid4().hex}")
-        out = self._fs.create(temporary)
-        out.write(json.dumps(sorted(shards, key=lambda s: s["path"])).encode())
-        out.close()
+        """Write version seen + 1; fails if somebody else has. The file is created under its final name, which only one writer can do."""
         final = self._path(f"{self.root}/manifests/v{seen + 1:08d}.json")
-        if self._fs.exists(final) or not self._fs.rename(temporary, final):
-            raise RuntimeError(f"version {seen + 1} was committed meanwhile")
+        try:
+            out = self._fs.create(final, False)
+        except Py4JJavaError as error:
+            if "exist" in str(error.java_exception).lower():
+                raise RuntimeError(f"version {seen + 1} was committed meanwhile") from error
+            raise
+        out.write(json.dumps(sorted(shards, key=lambda s: s["path"])).encode() + b"\n")
+        out.close()
         return seen + 1
 
     def tier(self, size: int) -> int:
@@ -78,21 +88,45 @@ class ShardStore:
         seen, shards = self.manifest()
         return self.commit(seen, shards + self._write(df, rows))
 
+    def runs(self, shards: list[dict]) -> list[list[dict]]:
+        """The shards packed into runs of at most the target's bytes, the largest first into the first run with room."""
+        out: list[list] = []
+        for s in sorted(shards, key=lambda s: (-s["bytes"], s["path"])):
+            room = next((r for r in out if r[0] + s["bytes"] <= self.target), None)
+            if room is None:
+                out.append([s["bytes"], s])
+            else:
+                room[0] += s["bytes"]
+                room.append(s)
+        return [r[1:] for r in out]
+
     def compact(self, schema) -> int:
         """One merge over all tiers that hold FANOUT shards or more; the version after it, or the same one if none does."""
         seen, shards = self.manifest()
         small = [s for s in shards if 2 * s["bytes"] <= self.target]
-        crowded = {t for t in {s["tier"] for s in small} if sum(s["tier"] == t for s in small) >= FANOUT}
-        merge = [s for s in small if s["tier"] in crowded]
+        tiers = Counter(s["tier"] for s in small)
+        merge = [r for t in sorted(tiers) if tiers[t] >= FANOUT for r in self.runs([s for s in small if s["tier"] == t]) if len(r) > 1]
         if not merge:
             return seen
         made = []
-        for t in sorted(crowded):
-            run = [s for s in merge if s["tier"] == t]
-            files = max(1, -(-sum(s["bytes"] for s in run) // self.target))
-            files = min(files, len(run) // 2)
-            made += self._write(self.spark.read.schema(schema).parquet(*(s["path"] for s in run)).repartition(files))
-        return self.commit(seen, [s for s in shards if s not in merge] + made)
+        for k in range(0, len(merge), MERGED_AT_ONCE):
+            each = [self.spark.read.schema(schema).parquet(*(s["path"] for s in r)).coalesce(1) for r in merge[k : k + MERGED_AT_ONCE]]
+            made += self._write(reduce(DataFrame.unionAll, each))
+        gone = {s["path"] for r in merge for s in r}
+        return self.commit(seen, [s for s in shards if s["path"] not in gone] + made)
+
+    def vacuum(self, keep: int = 1, grace_s: float = 86_400) -> int:
+        """Remove shard files that none of the newest `keep` versions names and that are older than the grace time (a commit may be under way); how many went."""
+        named = set()
+        for version in self.versions()[-keep:]:
+            named |= {s["path"] for s in json.loads(self.spark.read.text(f"{self.root}/manifests/v{version:08d}.json", wholetext=True).first()[0])}
+        top, gone = self._path(f"{self.root}/shards"), 0
+        for folder in self._fs.listStatus(top) if self._fs.exists(top) else []:
+            for x in self._fs.listStatus(folder.getPath()):
+                old = x.getModificationTime() / 1000 <= time.time() - grace_s
+                if x.getPath().getName().endswith(".parquet") and x.getPath().toString() not in named and old:
+                    gone += bool(self._fs.delete(x.getPath(), False))
+        return gone
 
     def read(self, schema) -> DataFrame:
         shards = self.manifest()[1]
