@@ -6,7 +6,7 @@ import re
 import corpus_pipeline
 import pytest
 
-from wavegrade.llm import jaccard_join
+from wavegrade.llm import simhash_copies
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,9 +67,9 @@ def test_stage_drops_copies_that_differ_in_a_few_words(spark):
 @pytest.mark.parametrize("crowd", [4, 256])
 def test_stage_equals_all_pairs(spark, crowd):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + planted(random.Random(4)) + EDGE
-    got = jaccard_join.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd)
+    got = simhash_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd)
     assert sorted(repr(r["doc_id"]) for r in got.collect()) == brute_kept(rows)
 
 
 def test_stage_on_an_empty_table(spark):
-    assert jaccard_join.drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert simhash_copies.drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -46,18 +46,20 @@ def shingle_hashes(text: bytes, width: int = 3) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(begins, [x - 1 for x in begins[width:]] + [len(joined)], strict=False)]
 
 
+_weights = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
+
+
+def bits_over_half(hashes: np.ndarray) -> np.uint64:
+    """The fingerprint: each bit that is set in over half of the hashes; zero without any."""
+    h, ones = hashes.astype(">u8"), np.zeros(64, np.int64)
+    for k in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return _weights[2 * ones > len(h)].sum(dtype=np.uint64)
+
+
 def fingerprints(texts: list[bytes]) -> np.ndarray:
     """One unsigned 64-bit fingerprint for each text."""
-    out = np.zeros(len(texts), np.uint64)
-    weights = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
-    for i, text in enumerate(texts):
-        h = np.array(shingle_hashes(text), dtype=">u8")
-        if len(h):
-            ones = np.zeros(64, np.int64)
-            for k in range(0, len(h), 1 << 16):
-                ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-            out[i] = weights[2 * ones > len(h)].sum(dtype=np.uint64)
-    return out
+    return np.array([bits_over_half(np.array(shingle_hashes(t), np.uint64)) for t in texts], np.uint64)
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

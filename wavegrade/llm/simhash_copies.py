@@ -1,14 +1,17 @@
-"""Near copies by exact similarity: texts whose sets of five-word shingles have a Jaccard index of 0.8 or more.
-
-Words are those of the fingerprints (ASCII lower case, words without ASCII white space). A set's shingles are put
-in one order for all texts, shingles that a sample shows to be common last; the order decides speed only. Two sets
-of 0.8 or more must share one of the first fifth (and one more) of each, so the sets are dealt by these shingles
-and meet there. Sizes and the places of the shared shingle rule out pairs, then a sketch of each set: the parity of its
-shingles in 512 cells. Sketches differ in no more cells than the sets in shingles, and sets of 0.8 or more differ in
-at most a ninth of both sizes' sum. The pairs that are left are compared in full.
-In a group of over CROWD sets each is first compared with one set of about its size; when that has
-joined the near copies to components, pairs of different components are compared, so that no link is missed and a
-large family is not squared.
+"""Near copies by SimHash: the mode of the SimHash operator for a similarity of 0.8 on five-word shingles.
+
+Words are those of the fingerprints (ASCII lower case, words without ASCII white space); a text is its set of
+five-word shingles, and texts are linked if their sets have a Jaccard index of 0.8 or more. Each set has a 64-bit
+fingerprint (a bit is 1 if set in over half the shingles' hashes). At an index of 0.8 fingerprints differ in some
+10 bits, far too many for blocks of equal bits to deal them. So sets are dealt by shingles: two sets of 0.8 or
+more share one of the first fifth (and one more) of each in one order for all texts, in which shingles that a
+sample shows to be common come last; the order decides speed only. Within a shingle's group a BK-tree over the
+fingerprints finds the pairs within RADIUS bits (in groups of up to FEW, plain comparison), sizes and the places
+of the shared shingle rule out others, and the pairs that are left are compared in full, shingle by shingle.
+Sets of under SURE shingles, whose fingerprints scatter, are compared whatever their bits.
+
+In a group of over CROWD sets each is first compared with one set of about its size; when that has joined the
+near copies to components, pairs of different components are searched, so that a large family is not squared.
 
 Edge cases: null, empty and blank texts have the empty set and are copies of one another; under five words the
 whole sequence is the only shingle; of each component the row with the smallest id stays, null ids coming last; rows
@@ -27,10 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavegrade.llm.common import blocks, raw_texts, written
-from wavegrade.llm.simhash_bk import SEED, components, shingle_hashes
+from wavegrade.llm.simhash_bk import SEED, BKTree, bits_over_half, components, shingle_hashes
 
-WIDTH, CROWD = 5, 256
-SKETCH = [f"s{k}" for k in range(8)]
+WIDTH, CROWD, FEW = 5, 256, 16
+#: Bits that fingerprints of near copies differ in at most (10 are expected at an index of 0.8, 22 are over four deviations more), and the size from which that holds.
+RADIUS, SURE = 22, 32
 #: Texts sampled for the order, and common shingles that are sent to the tasks, at most.
 SAMPLE, COMMON = 20_000, 50_000
 
@@ -52,36 +56,35 @@ def common_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
             found = [shingles(t) for t in raw_texts(batch, text_col)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["shingle"])
 
-    share = int(1_000_000 * min(1.0, SAMPLE / max(docs.count(), 1)))
-    chosen = docs.where(F.pmod("_row", F.lit(1_000_000)) < share).select(text_col).distinct()
+    chosen = docs.where(F.col("_row") <= min(-(1 << 63) + (SAMPLE << 64) // max(docs.count(), 1), (1 << 63) - 1)).select(text_col).distinct()
     rows = chosen.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
     return np.array([r["shingle"] for r in reversed(rows)], np.int64)
 
 
 def with_prefixes(docs: DataFrame, common: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """Per row: the id, _row, node (a number for the set), the set's size, its sketch and its first shingles."""
+    """Per row: the id, _row, node (a number for the set), the set's size, its fingerprint fp and its first shingles."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((np.sort(common), np.argsort(common)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = sent.value
         for batch in blocks(batches, text_col):
-            nodes, sizes, sketches, firsts = [], [], [], []
+            nodes, sizes, prints, firsts = [], [], [], []
             for t in raw_texts(batch, text_col):
                 s = shingles(t)
                 n = len(s)
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                 sizes.append(n)
-                sketches.append(np.packbits((np.bincount(s & 511, minlength=512) & 1).astype(np.uint8)).view(np.int64))
+                prints.append(bits_over_half(s.view(np.uint64)))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     late = known[at] == s
                     s = np.concatenate([s[~late], s[late][np.argsort(rank[at[late]])]])
                 firsts.append(s[: n - (4 * n + 4) // 5 + 1])
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate(firsts)))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_row"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), *map(pa.array, np.array(sketches).T.copy()), lists], names=[id_col, "_row", "node", "size", *SKETCH, "firsts"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_row"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), lists], names=[id_col, "_row", "node", "size", "fp", "firsts"])
 
-    return docs.select(id_col, "_row", text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, _row long, node long, size int, {', '.join(f'{k} long' for k in SKETCH)}, firsts array<long>")
+    return docs.select(id_col, "_row", text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, _row long, node long, size int, fp long, firsts array<long>")
 
 
 def may_match(size: np.ndarray, pos: np.ndarray, size2: np.ndarray, pos2: np.ndarray) -> np.ndarray:
@@ -89,6 +92,24 @@ def may_match(size: np.ndarray, pos: np.ndarray, size2: np.ndarray, pos2: np.nda
     return (5 * np.minimum(size, size2) >= 4 * np.maximum(size, size2)) & (9 * np.minimum(size - pos, size2 - pos2) >= 4 * (size + size2))
 
 
+def alike(size: np.ndarray, fp: np.ndarray, size2: np.ndarray, fp2: np.ndarray) -> np.ndarray:
+    """Whether fingerprints lie within the radius, or a set is too small for them to tell."""
+    return (np.bitwise_count((fp ^ fp2).view(np.uint64)) <= RADIUS) | (np.minimum(size, size2) < SURE)
+
+
+def tree_pairs(size: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (later, earlier) of a group's sets within the radius, by a BK-tree; small sets meet all."""
+    values = fp.view(np.uint64).tolist()
+    tree, later, earlier = BKTree(), [], []
+    small = np.flatnonzero(size < SURE).tolist()
+    for i, v in enumerate(values):
+        found = set(range(i)) if size[i] < SURE else {*tree.within(v, RADIUS), *(k for k in small if k < i)}
+        later += [i] * len(found)
+        earlier += found
+        tree.add(v)
+    return np.array(later, np.int64), np.array(earlier, np.int64)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
     """The columns in stretches that end with a group of equal first column."""
     held: list[list[np.ndarray]] = []
@@ -116,7 +137,7 @@ def meetings(dealt: DataFrame, crowd: int) -> DataFrame:
     """Pairs (u, v) to compare: all of groups up to crowd; of others one partner for each set, and the group's shingle as crowded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, size, pos, node in whole_groups(batches, ["shingle", "size", "pos", "node"]):
+        for key, size, pos, node, fp in whole_groups(batches, ["shingle", "size", "pos", "node", "fp"]):
             starts, ends = bounds(key)
             u, v, big = [], [], []
             for a, b in zip(starts[ends - starts > crowd], ends[ends - starts > crowd], strict=True):
@@ -124,17 +145,23 @@ def meetings(dealt: DataFrame, crowd: int) -> DataFrame:
                 while a < b:  # sizes ascend
                     end = a + int(np.searchsorted(size[a:b], size[a] * 5 // 4, side="right"))
                     i = np.arange(a + 1, end)
-                    i = i[may_match(size[i], pos[i], size[a], pos[a])]
+                    i = i[may_match(size[i], pos[i], size[a], pos[a]) & alike(size[i], fp[i], size[a], fp[a])]
                     u.append(node[i])
                     v.append(np.full(len(i), node[a]))
                     a = end
-            small = np.repeat(ends - starts, ends - starts) <= crowd
-            key, size, pos, node = key[small], size[small], pos[small], node[small]
-            for d in range(1, crowd):
+            for a, b in zip(starts, ends, strict=True):
+                if FEW < b - a <= crowd:
+                    i, j = tree_pairs(size[a:b], fp[a:b])
+                    ok = may_match(size[a + i], pos[a + i], size[a + j], pos[a + j])
+                    u.append(node[a + i[ok]])
+                    v.append(node[a + j[ok]])
+            small = np.repeat(ends - starts, ends - starts) <= min(FEW, crowd)
+            key, size, pos, node, fp = key[small], size[small], pos[small], node[small], fp[small]
+            for d in range(1, FEW):
                 i = np.flatnonzero(key[d:] == key[:-d])
                 if not len(i):
                     break
-                i = i[may_match(size[i], pos[i], size[i + d], pos[i + d])]
+                i = i[may_match(size[i], pos[i], size[i + d], pos[i + d]) & alike(size[i], fp[i], size[i + d], fp[i + d])]
                 u.append(node[i + d])
                 v.append(node[i])
             pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1) if u else np.empty((2, 0), np.int64)
@@ -149,29 +176,21 @@ def strangers(dealt: DataFrame) -> DataFrame:
     """Pairs (u, v) of different roots in a group that may match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, size, pos, node, root in whole_groups(batches, ["shingle", "size", "pos", "node", "root"]):
+        for key, size, pos, node, fp, root in whole_groups(batches, ["shingle", "size", "pos", "node", "fp", "root"]):
             for a, b in zip(*bounds(key), strict=True):
-                s, p, x, r = size[a:b], pos[a:b], node[a:b], root[a:b]
+                s, p, x, f, r = size[a:b], pos[a:b], node[a:b], fp[a:b], root[a:b]
                 names, n = np.unique(r, return_counts=True)
                 for i in np.flatnonzero(r != names[np.argmax(n)]):
-                    j = np.flatnonzero((r != r[i]) & may_match(s, p, s[i], p[i]))
+                    j = np.flatnonzero((r != r[i]) & may_match(s, p, s[i], p[i]) & alike(s, f, s[i], f[i]))
                     if len(j):
                         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x[j], x[i])), pa.array(np.minimum(x[j], x[i]))], names=["u", "v"])
 
     return dealt.repartition("shingle").sortWithinPartitions("shingle", "size", "pos", "node").mapInArrow(run, "u long, v long").distinct()
 
 
-def likely(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """The pairs (u, v) that sketches do not rule out."""
-    sketches = prints.select("node", "size", *SKETCH).distinct()
-    both = pairs.join(sketches.toDF("v", "size_v", *(f"{k}_v" for k in SKETCH)), "v").join(sketches.toDF("u", "size_u", *(f"{k}_u" for k in SKETCH)), "u")
-    differ = sum((F.bit_count(F.col(f"{k}_u").bitwiseXOR(F.col(f"{k}_v"))) for k in SKETCH), F.lit(0))
-    return both.where(9 * differ <= F.col("size_u") + F.col("size_v")).select("u", "v")
-
-
 def confirmed(pairs: DataFrame, docs: DataFrame, prints: DataFrame, text_col: str) -> DataFrame:
     """The pairs (u, v) whose sets have a Jaccard index of 0.8 or more."""
-    pairs = written(likely(pairs, prints), "likely")
+    pairs = written(pairs, "likely")
     rows = prints.groupBy("node").agg(F.min("_row").alias("_row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +210,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Of each component of near copies the row with the smallest id, all columns as they are."""
     keyed = docs.withColumn("_row", row_key(id_col, text_col))
     prints = written(with_prefixes(keyed, common_shingles(keyed, text_col), id_col, text_col), "prefixes")
-    dealt = prints.select("node", "size", "firsts").dropDuplicates(["node"]).select("node", "size", F.posexplode("firsts").alias("pos", "shingle"))
+    dealt = prints.select("node", "size", "fp", "firsts").dropDuplicates(["node"]).select("node", "size", "fp", F.posexplode("firsts").alias("pos", "shingle"))
     met = written(meetings(dealt, crowd), "meetings")
     links = confirmed(met.where("crowded is null").select("u", "v").distinct(), keyed, prints, text_col)
     roots = components(links)
