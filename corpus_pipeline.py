@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wavegrade.llm import curve_pack, fm_decontaminate, jaccard_join, pii_semicrf, quality_rff
+from wavegrade.llm import curve_pack, fm_decontaminate, simhash_copies, pii_semicrf, quality_rff
 from wavegrade.llm.common import table, written
 from wavegrade.llm.queries import quality_model
 
@@ -17,7 +17,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, Jaccard index 0.8 or more) the document with the smallest id."""
-    return jaccard_join.drop_near_copies(docs)
+    return simhash_copies.drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
