@@ -47,12 +47,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, removed when the driver ends."""
+    """df as a Parquet table in the shared folder, removed by release or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove written tables that nothing still to be computed reads."""
+    for t in tables:
+        remove(t.sparkSession, t._written)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -64,6 +72,12 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def whole(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by the keys so that each task has whole groups. By a hash of the keys, not the keys themselves: after a join on
+    them Spark would leave the exchange out and may then split a large partition of the join, and its groups with it."""
+    return df.repartition(F.xxhash64(*keys))
+
+
 def fold(doc_id: str | Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string").cast("binary")), F.lit(parts))

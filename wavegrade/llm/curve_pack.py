@@ -36,6 +36,8 @@ HASHED, DIMS, BITS, TIE_BITS = 4096, 3, 10, 20
 SAMPLED = 50
 
 
+#: Words and chunks that a worker keeps the ids of, in each of two generations.
+CACHED_WORDS, CACHED_CHUNKS = 100_000, 150_000
 #: ASCII marks that end a word; a run of them is a word of its own.
 TAIL = b".,;:!?"
 
@@ -53,7 +55,7 @@ class Encoder(Rules):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.model, self.by_word, self.by_chunk = self.library.model, TwoGenerations(), TwoGenerations()
+        self.model, self.by_word, self.by_chunk = self.library.model, TwoGenerations(CACHED_WORDS), TwoGenerations(CACHED_CHUNKS)
         self.symbols = dict(enumerate(byte_symbols()))
 
     def word(self, word: str) -> bytes:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavegrade.llm.common import blocks, checkpointed, raw_texts, written
+from wavegrade.llm.common import blocks, raw_texts, release, whole, written
 
 RADIUS, BLOCKS, SEED = 2, 4, 42
 
@@ -136,7 +136,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, n_blocks: int = BLOCKS) ->
     dealt = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(masks)))).alias("key")).select("fp", "key.choice", "key.part")
     # Fingerprints that are alone in their group need no tree; counting them is a partial aggregate.
     crowded = dealt.groupBy("choice", "part").agg(F.count("*").alias("n")).where("n > 1").select("choice", "part")
-    dealt = dealt.join(crowded, ["choice", "part"]).repartition("choice", "part").sortWithinPartitions("choice", "part", "fp")
+    dealt = whole(dealt.join(crowded, ["choice", "part"]), "choice", "part").sortWithinPartitions("choice", "part", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(values: list[int]) -> pa.RecordBatch:
@@ -159,8 +159,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, n_blocks: int = BLOCKS) ->
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links (u, v): alternating large-star and small-star rounds until nothing moves."""
-    edges = checkpointed(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    """(node, root), a written table, for every node of the links (u, v): alternating large-star and small-star rounds until nothing moves."""
+    edges = written(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -168,11 +168,17 @@ def components(pairs: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        nxt = checkpointed(small)
-        if not nxt.exceptAll(edges).take(1) and not edges.exceptAll(nxt).take(1):
-            break
+        nxt = written(small, "edges")
+        # Rows are distinct on both sides, so equal tables have equal counts and sums of row hashes.
+        same = [t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for t in (nxt, edges)]
+        release(edges)
         edges = nxt
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        if same[0] == same[1]:
+            break
+    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = written(roots, "roots")
+    release(edges)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

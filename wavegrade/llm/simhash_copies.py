@@ -10,8 +10,9 @@ fingerprints finds the pairs within RADIUS bits (in groups of up to FEW, plain c
 of the shared shingle rule out others, and the pairs that are left are compared in full, shingle by shingle.
 Sets of under SURE shingles, whose fingerprints scatter, are compared whatever their bits.
 
-In a group of over CROWD sets each is first compared with one set of about its size; when that has joined the
-near copies to components, pairs of different components are searched, so that a large family is not squared.
+In a group of over CROWD sets each is first compared with one set of about its size and with its neighbours in eight
+orders of the fingerprints; when that has joined the near copies to components, pairs of different components are
+searched, so that a large family is not squared.
 
 Edge cases: null, empty and blank texts have the empty set and are copies of one another; under five words the
 whole sequence is the only shingle; of each component the row with the smallest id stays, null ids coming last; rows
@@ -29,10 +30,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavegrade.llm.common import blocks, raw_texts, written
+from wavegrade.llm.common import blocks, raw_texts, release, whole, written
 from wavegrade.llm.simhash_bk import SEED, BKTree, bits_over_half, components, shingle_hashes
 
-WIDTH, CROWD, FEW = 5, 256, 16
+WIDTH, CROWD, FEW = 5, 32, 16
 #: Bits that fingerprints of near copies differ in at most (10 are expected at an index of 0.8, 22 are over four deviations more), and the size from which that holds.
 RADIUS, SURE = 22, 32
 #: Texts sampled for the order, and common shingles that are sent to the tasks, at most.
@@ -110,6 +111,26 @@ def tree_pairs(size: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.array(later, np.int64), np.array(earlier, np.int64)
 
 
+def neighbours(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places: for each of many fingerprints the three nearest among those next to it in eight orders, each order led by other bits."""
+    f, a, b = fp.view(np.uint64), [], []
+    for turn in range(0, 64, 8):
+        order = np.argsort(f << np.uint64(turn) | f >> np.uint64(64 - turn) if turn else f, kind="stable")
+        for step in (1, 2, 3):
+            a += [order[:-step], order[step:]]
+            b += [order[step:], order[:-step]]
+    a, b = np.concatenate(a), np.concatenate(b)
+    bits = np.bitwise_count(f[a] ^ f[b])
+    order = np.lexsort((b, bits, a))
+    a, b, bits = a[order], b[order], bits[order]
+    fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    a, b, bits = a[fresh], b[fresh], bits[fresh]
+    first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+    nth = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+    keep = (nth < 3) & (bits <= RADIUS)
+    return a[keep], b[keep]
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
     """The columns in stretches that end with a group of equal first column."""
     held: list[list[np.ndarray]] = []
@@ -142,6 +163,11 @@ def meetings(dealt: DataFrame, crowd: int) -> DataFrame:
             u, v, big = [], [], []
             for a, b in zip(starts[ends - starts > crowd], ends[ends - starts > crowd], strict=True):
                 big.append(key[a])
+                i, j = neighbours(fp[a:b])
+                ok = may_match(size[a + i], pos[a + i], size[a + j], pos[a + j])
+                i, j = a + np.maximum(i, j)[ok], a + np.minimum(i, j)[ok]
+                u.append(node[i])
+                v.append(node[j])
                 while a < b:  # sizes ascend
                     end = a + int(np.searchsorted(size[a:b], size[a] * 5 // 4, side="right"))
                     i = np.arange(a + 1, end)
@@ -169,7 +195,7 @@ def meetings(dealt: DataFrame, crowd: int) -> DataFrame:
             if n + m:
                 yield pa.RecordBatch.from_arrays([pa.array([*pairs[0], *[0] * m], pa.int64()), pa.array([*pairs[1], *[0] * m], pa.int64()), pa.array([*[None] * n, *big], pa.int64())], names=["u", "v", "crowded"])
 
-    return dealt.repartition("shingle").sortWithinPartitions("shingle", "size", "pos", "node").mapInArrow(run, "u long, v long, crowded long")
+    return whole(dealt, "shingle").sortWithinPartitions("shingle", "size", "pos", "node").mapInArrow(run, "u long, v long, crowded long")
 
 
 def strangers(dealt: DataFrame) -> DataFrame:
@@ -185,7 +211,7 @@ def strangers(dealt: DataFrame) -> DataFrame:
                     if len(j):
                         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x[j], x[i])), pa.array(np.minimum(x[j], x[i]))], names=["u", "v"])
 
-    return dealt.repartition("shingle").sortWithinPartitions("shingle", "size", "pos", "node").mapInArrow(run, "u long, v long").distinct()
+    return whole(dealt, "shingle").sortWithinPartitions("shingle", "size", "pos", "node").mapInArrow(run, "u long, v long").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, prints: DataFrame, text_col: str) -> DataFrame:
@@ -203,7 +229,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, prints: DataFrame, text_col: st
     texts = docs.select("_row", text_col).join(needed, "_row").select("node", text_col).dropDuplicates(["node"])
     sets = written(texts.mapInArrow(run, "node long, set array<long>"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u")
-    return written(both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v"), "confirmed")
+    out = written(both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v"), "confirmed")
+    release(pairs, sets)
+    return out
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
@@ -214,12 +242,23 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     met = written(meetings(dealt, crowd), "meetings")
     links = confirmed(met.where("crowded is null").select("u", "v").distinct(), keyed, prints, text_col)
     roots = components(links)
+    release(links)
     crowded = met.where("crowded is not null").select(F.col("crowded").alias("shingle")).distinct()
     if crowded.take(1):
         apart = dealt.join(crowded, "shingle").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         more = written(strangers(apart), "strangers")
         if more.take(1):
-            roots = components(links.unionByName(confirmed(more, keyed, prints, text_col)))
+            found = confirmed(more, keyed, prints, text_col)
+            # The new links join whole components, so only these are joined further.
+            of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+            between = found.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
+            higher = components(between)
+            both = roots.unionByName(higher.select("node", F.col("node").alias("root")).join(roots.select("node"), "node", "left_anti"))
+            joined = written(both.join(higher.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+            release(found, higher, roots)
+            roots = joined
+        release(more)
     named = prints.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    keep = named.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), id_col, "_row")).alias("first")).select("first._row")
+    keep = written(named.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), id_col, "_row")).alias("first")).select("first._row"), "kept-rows")
+    release(prints, met, roots)
     return keyed.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
