@@ -27,10 +27,9 @@ select session_id, order_id, 'out' as direction, t7 as at_ns, concat('35=8', chr
 from orders_acked union all
 select session_id, order_id, 'in', t1, concat('35=', case payload_type when 'CANCEL' then 'F' when 'REPLACE' then 'G' else 'D' end, chr(1), '11=', order_id, case when orig_order_id <> '' then concat(chr(1), '41=', orig_order_id) else '' end) from orders_sent""",
     "messages": """
-select session_id, direction, at_ns, regexp_extract(m, '(?:^|.*[|])35=([^|]*)', 1) as msg_type, regexp_extract(m, '(?:^|.*[|])11=([^|]*)', 1) as cl_ord_id, regexp_extract(m, '(?:^|.*[|])41=([^|]*)', 1) as orig_id,
-       coalesce(nullif(regexp_extract(m, '(?:^|.*[|])150=([^|]*)', 1), ''), regexp_extract(m, '(?:^|.*[|])39=([^|]*)', 1)) as exec_type,
-       coalesce(cast(nullif(regexp_extract(m, '(?:^|.*[|])32=([^|]*)', 1), '') as bigint), 0) as fill_qty
-from (select f.*, replace(msg, chr(1), '|') as m from fix_messages f) q""",
+select session_id, direction, at_ns, try_element_at(m, '35') as msg_type, coalesce(try_element_at(m, '11'), '') as cl_ord_id, coalesce(try_element_at(m, '41'), '') as orig_id,
+       coalesce(try_element_at(m, '150'), try_element_at(m, '39'), '') as exec_type, coalesce(cast(try_element_at(m, '32') as bigint), 0) as fill_qty
+from (select f.*, str_to_map(msg, chr(1), '=') as m from fix_messages f) q""",
     "classed": "select m.*, case when msg_type in ('D', 'F', 'G') and direction = 'in' then 'request' when msg_type = '8' and direction = 'out' then 'response' else 'other' end as class from messages m",
     "shard_seconds": f"""
 select session_id, cast(cast(order_id as bigint) % 3 as bigint) as shard, wave, t7 - t7 % {SECOND_NS} as second_ns, ((v >> b) << b) + (cast(1 as bigint) << b) - 1 as bucket_hi, count(*) as n
@@ -118,6 +117,11 @@ QUERIES = {
 
 _md5 = "('0x' || substr(md5(order_id), 1, 15))::bigint"
 
+#: Views whose oracle form is written from the orders, not from the messages.
+ORACLE_VIEWS = {
+    "messages": "select session_id, 'out' as direction, t7 as at_ns, '8' as msg_type, order_id as cl_ord_id, '' as orig_id, exec_type, fill_qty from orders_acked union all select session_id, 'in', t1, case payload_type when 'CANCEL' then 'F' when 'REPLACE' then 'G' else 'D' end, order_id, orig_order_id, '', 0 from orders_sent",
+}
+
 #: Statements for the other engine, over the same views.
 ORACLES = {
     "P12_json_fields": "select order_id, fill_qty, exec_type from orders_acked",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavegrade.operators import grading, relational
+from wavegrade.operators import feeds, grading, relational
 from wavegrade.sources import views
 
 QUERIES = relational.QUERIES | grading.QUERIES
@@ -20,18 +20,18 @@ def named(sql: str, names) -> list[str]:
     return [n for n in names if re.search(rf"\b(?:from|join)\s+{n}\b", sql)]
 
 
-def statement(sql: str) -> str:
+def statement(sql: str, views: dict[str, str] = VIEWS) -> str:
     """The query with the views it needs in front, each after those that it builds on."""
     needed: list[str] = []
 
     def visit(text: str) -> None:
-        for n in named(text, VIEWS):
+        for n in named(text, views):
             if n not in needed:
-                visit(VIEWS[n])
+                visit(views[n])
                 needed.append(n)
 
     visit(sql)
-    head = ",\n".join(f"{n} as ({VIEWS[n].strip()})" for n in needed)
+    head = ",\n".join(f"{n} as ({views[n].strip()})" for n in needed)
     return f"with {head}\n{sql}" if head else sql
 
 
@@ -49,8 +49,9 @@ def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: lambda spark, sf_dir, name=name: frame(spark, sf_dir, name) for name in QUERIES}
+    return {name: lambda spark, sf_dir, name=name: frame(spark, sf_dir, name) for name in QUERIES} | feeds.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: statement(grading.ORACLES.get(name, sql)) for name, sql in QUERIES.items()}
+    views = VIEWS | grading.ORACLE_VIEWS
+    return {name: statement(grading.ORACLES.get(name, sql), views) for name, sql in QUERIES.items()} | {name: statement(sql, views) for name, sql in feeds.ORACLES.items()}
