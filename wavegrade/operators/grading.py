@@ -35,6 +35,14 @@ from (select f.*, str_to_map(msg, chr(1), '=') as m from fix_messages f) q""",
 select session_id, cast(cast(order_id as bigint) % 3 as bigint) as shard, wave, t7 - t7 % {SECOND_NS} as second_ns, ((v >> b) << b) + (cast(1 as bigint) << b) - 1 as bucket_hi, count(*) as n
 from (select a.*, greatest(t7 - t3, 1) as v, cast(greatest(length(bin(greatest(t7 - t3, 1) | 2047)) - 11, 0) as int) as b from first_acks a) q
 group by session_id, cast(order_id as bigint) % 3, wave, t7 - t7 % {SECOND_NS}, ((v >> b) << b) + (cast(1 as bigint) << b) - 1""",
+    # Per session and second: the p99 of the second's first answers, their number, and the orders offered and failed in it.
+    "second_rows": f"""
+select s.session_id, s.second_ns, coalesce(q.p99, 0) as p99, coalesce(q.n, 0) as n, s.offered, s.errors
+from (select session_id, t0 - t0 % {SECOND_NS} as second_ns, count(*) as offered, count(*) filter (where timed_out) as errors from orders_sent group by session_id, t0 - t0 % {SECOND_NS}) s
+left join (select session_id, second_ns, min(bucket_hi) filter (where cum >= ceil(0.99 * total)) as p99, max(total) as n
+  from (select z.*, cast(sum(n) over (partition by session_id, second_ns order by bucket_hi rows between unbounded preceding and current row) as bigint) as cum, cast(sum(n) over (partition by session_id, second_ns) as bigint) as total
+    from (select session_id, second_ns, bucket_hi, cast(sum(n) as bigint) as n from shard_seconds group by session_id, second_ns, bucket_hi) z) y group by session_id, second_ns) q
+on q.session_id = s.session_id and q.second_ns = s.second_ns""",
     "session_state": "select r.run_group_id, r.session_id, r.scenario_id, count(*) as sent, count(*) filter (where outcome = 'matched') as matched, cast(sum(filled) as bigint) as fills, cast(sum(least(filled, qty)) as bigint) as valid_fills from runs r join outcomes o on o.session_id = r.session_id group by r.run_group_id, r.session_id, r.scenario_id",
     "climb": f"""
 select run_group_id, wave, l.offered_orders / {WAVE_NS // SECOND_NS} as offered_tps, m.p99, m.error_rate,
@@ -66,14 +74,14 @@ QUERIES = {
     "J24_session_scenarios": "select m.session_id, max(r.scenario_id) as scenario_id, count(*) as waves from metrics m join runs r on r.session_id = m.session_id group by m.session_id",
     "A05_second_slices": "select session_id, wave, second_ns, bucket_hi, cast(sum(n) as bigint) as n from shard_seconds group by session_id, wave, second_ns, bucket_hi",
     "A08_rollup": "select session_id, wave, second_ns, min(bucket_hi) filter (where cum >= ceil(0.99 * total)) as p99, max(total) as n from (select z.*, cast(sum(n) over (partition by session_id, wave, second_ns order by bucket_hi rows between unbounded preceding and current row) as bigint) as cum, cast(sum(n) over (partition by session_id, wave, second_ns) as bigint) as total from (select session_id, wave, second_ns, bucket_hi, sum(n) as n from shard_seconds group by session_id, wave, second_ns, bucket_hi) z) q group by session_id, wave, second_ns",
-    "A10_retention": f"select session_id, count(*) as kept from (select session_id, second_ns, max(second_ns) over () as newest from (select distinct session_id, second_ns from shard_seconds) d) q where second_ns >= newest - {60 * SECOND_NS} group by session_id",
+    "A10_retention": f"select session_id, second_ns from (select distinct session_id, second_ns from shard_seconds) d where second_ns >= (select max(second_ns) from shard_seconds) - {6 * 3600 * SECOND_NS}",
     "A14_worst_jitter": "select r.run_group_id, max(j.top) as worst_ns, max(j.n) as worst_count from runs r join (select session_id, max(jitter_ns) as top, count(*) as n from jitter group by session_id) j on j.session_id = r.session_id group by r.run_group_id",
     "A19_disqualification": "select run_group_id, case when g_total > 0 and cast(g_valid as double) / g_total < 0.95 then 'correctness_below_threshold' when worst < 0.95 then 'session_correctness_below_threshold' end as reason from (select run_group_id, cast(sum(valid_fills) filter (where scenario_id = 'correctness') as bigint) as g_valid, cast(sum(fills) filter (where scenario_id = 'correctness') as bigint) as g_total, min(case when fills > 0 then cast(valid_fills as double) / fills end) as worst from session_state group by run_group_id) q",
     "A20_score": "select c.run_group_id, c.first_fail, c.peak_tps, coalesce(s.correctness, 0.0) as correctness, s.coverage from (select run_group_id, min(wave) filter (where reason is not null) as first_fail, max_by(offered_tps, wave) filter (where reason is null and (stop is null or wave < stop)) as peak_tps from (select c.*, min(case when reason is not null then wave end) over (partition by run_group_id) as stop from climb c) z group by run_group_id) c join (select run_group_id, least(cast(sum(valid_fills) filter (where scenario_id = 'correctness') as double) / sum(fills) filter (where scenario_id = 'correctness'), 1.0) as correctness, min(cast(matched as double) / sent) as coverage from session_state group by run_group_id) s on s.run_group_id = c.run_group_id",
     "A24_jitter_stats": "select session_id, cast(max(total) as bigint) as n, max(top) as top_ns, min(low) filter (where cum > 0.50 * (total - 1)) as p50, min(low) filter (where cum > floor(0.99 * (total - 1))) as p99 from (select b.*, cast(1 as bigint) << cast(bucket - 1 as int) as low, sum(n) over (partition by session_id order by bucket rows between unbounded preceding and current row) as cum, sum(n) over (partition by session_id) as total from jitter_buckets b) q group by session_id",
     "A27_gap_spread": f"select s.session_id, max(s.t0) - min(s.t0) as spread_ns, count(*) filter (where s.t0 >= z.last_ns - {SECOND_NS}) as in_final_second from orders_sent s join outcomes o on o.session_id = s.session_id and o.order_id = s.order_id join (select session_id, max(t0) as last_ns from orders_sent group by session_id) z on z.session_id = s.session_id where o.outcome = 'gap' group by s.session_id",
     "A31_unpivot": "select session_id, class, n from (select session_id, 'overfill' as class, count(*) as n from outcomes where filled > qty group by session_id union all select session_id, case when payload_type = 'CANCEL' then 'lost_cancel' else 'lost_order' end, count(*) from outcomes where outcome = 'lost' group by session_id, case when payload_type = 'CANCEL' then 'lost_cancel' else 'lost_order' end) u where n > 0",
-    "A35_percentile_curve": "select c.session_id, c.metric, p.pct, min(c.bucket_hi) as value from cumulative c join (select 0.0 as pct union all select 25.0 union all select 50.0 union all select 75.0 union all select 90.0 union all select 95.0 union all select 99.0 union all select 99.9 union all select 99.99) p on c.cum >= greatest(1, ceil(p.pct / 100 * c.total)) where c.wave = 1 group by c.session_id, c.metric, p.pct",
+    "A35_percentile_curve": "select c.session_id, c.metric, p.pct, case when p.pct < 100 then round(cast(100 as double) / (100 - p.pct), 6) end as nines, max(c.total) as total, min(c.bucket_hi) as value from (select h.*, cast(sum(n) over (partition by session_id, metric order by bucket_hi rows between unbounded preceding and current row) as bigint) as cum, cast(sum(n) over (partition by session_id, metric) as bigint) as total from (select session_id, metric, bucket_hi, cast(sum(n) as bigint) as n from histograms group by session_id, metric, bucket_hi) h) c join (select 0.0 as pct union all select 25.0 union all select 50.0 union all select 75.0 union all select 90.0 union all select 95.0 union all select 99.0 union all select 99.9 union all select 99.99) p on c.cum >= greatest(1, ceil(p.pct / 100 * c.total)) group by c.session_id, c.metric, p.pct",
     "A37_scenario_series": "select r.scenario_id, h.metric, h.bucket_hi, cast(sum(h.n) as bigint) as n from histograms h join runs r on r.session_id = h.session_id where h.metric in ('service', 'response', 'match') group by r.scenario_id, h.metric, h.bucket_hi",
     "A41_violation_summary": "select class, n from (select case when outcome = 'lost' then 'lost' else 'overfill' end as class, count(*) as n from outcomes where outcome = 'lost' or filled > qty group by case when outcome = 'lost' then 'lost' else 'overfill' end) q order by n desc, class",
     "A43_run_gate": "select r.session_id, coalesce(m.n, 0) > 0 and coalesce(o.n, 0) > 0 as passes from runs r left join (select session_id, count(*) as n from metrics group by session_id) m on m.session_id = r.session_id left join (select session_id, count(*) as n from outcomes group by session_id) o on o.session_id = r.session_id",
@@ -84,7 +92,7 @@ QUERIES = {
     "W09_carry_forward": "select session_id, shard, second_ns, max(cum) over (partition by session_id, shard order by second_ns rows between unbounded preceding and current row) as carried from (select g.session_id, g.shard, g.second_ns, q.cum from (select s.session_id, s.shard, t.second_ns from (select distinct session_id, shard from shard_seconds) s join (select distinct session_id, second_ns from shard_seconds) t on t.session_id = s.session_id) g left join (select session_id, shard, second_ns, cast(sum(n) over (partition by session_id, shard order by second_ns rows between unbounded preceding and current row) as bigint) as cum from (select session_id, shard, second_ns, sum(n) as n from shard_seconds group by session_id, shard, second_ns) a) q on q.session_id = g.session_id and q.shard = g.shard and q.second_ns = g.second_ns) z",
     "W10_differences": "select session_id, wave, responded - coalesce(lag(responded) over (partition by session_id order by wave), 0) as step from window_counters",
     "W11_newest_of_wave": "select session_id, wave, second_ns, second_ns = max(second_ns) over (partition by session_id, wave) as newest from (select distinct session_id, wave, second_ns from shard_seconds) q",
-    "W13_rank_change": "select run_group_id, place, coalesce(place - lag(place) over (partition by contestant_id order by place), 0) as rank_delta from board",
+    "W13_rank_change": "select run_group_id, publication, place, coalesce(lag(place) over (partition by run_group_id order by publication) - place, 0) as rank_delta from (select run_group_id, 1 as publication, row_number() over (order by p99_at_peak_ns, run_group_id) as place from scores union all select run_group_id, 2, place from board) q",
     "L03_result_sort": "select run_group_id, place from board order by place",
     "L04_timeline": "select session_id, second_ns, n from (select session_id, second_ns, cast(sum(n) as bigint) as n from shard_seconds group by session_id, second_ns) q order by second_ns, session_id limit 20000",
     "L05_group_search": "select run_group_id, team_name from scores where lower(team_name) like '%1%' order by run_group_id desc limit 100",
@@ -106,7 +114,7 @@ QUERIES = {
     "M01_rate": "select name, label, date_trunc('hour', ts) as hour, cast(sum(step) as double) / 3600 as rate from counter_steps group by name, label, date_trunc('hour', ts)",
     "M03_histogram_quantile": "select session_id, lo + (hi - lo) * (0.95 * total - below) / nullif(cum - below, 0) as p95 from (select q.*, row_number() over (partition by session_id order by hi) as nth from (select session_id, e.lo, e.hi, cast(count(*) filter (where v <= e.hi) as double) as cum, cast(count(*) filter (where v <= e.lo) as double) as below, cast(count(*) as double) as total from (select session_id, v from samples where metric = 'service') s cross join (select 0.0 as lo, 50000.0 as hi union all select 50000.0, 100000.0 union all select 100000.0, 150000.0 union all select 150000.0, 200000.0 union all select 200000.0, 1000000.0) e group by session_id, e.lo, e.hi) q where cum >= 0.95 * total) z where nth = 1",
     "M05_gauge_ratio": "select a.label, cast(a.latest as double) / greatest(b.latest, 1) as ratio from (select label, max_by(counter_value, event_id) as latest from metric_samples where name = 'error' group by label) a join (select label, max_by(counter_value, event_id) as latest from metric_samples where name = 'view' group by label) b on b.label = a.label",
-    "M07_held_alert": "select name, label, min(day_no) as since, count(*) as held from (select d.*, day_no - row_number() over (partition by name, label order by day_no) as run from (select name, label, cast(extract(day from ts) as bigint) as day_no from counter_steps group by name, label, cast(extract(day from ts) as bigint) having sum(step) > 0) d) q group by name, label, run having count(*) >= 3",
+    "M07_held_alert": "select name, label, min(hour_no) as since, count(*) as held from (select d.*, hour_no - row_number() over (partition by name, label order by hour_no) as run from (select name, label, unix_timestamp(ts) div 3600 as hour_no from counter_steps group by name, label, unix_timestamp(ts) div 3600 having sum(step) > 0) d) q group by name, label, run having count(*) >= 3",
     "M08_absent": "select c.name, c.label, c.hour from (select n.name, n.label, h.hour from (select distinct name, label from metric_samples) n cross join (select distinct date_trunc('hour', ts) as hour from metric_samples) h) c where not exists (select 1 from metric_samples s where s.name = c.name and s.label = c.label and date_trunc('hour', s.ts) = c.hour)",
     "M09_sum_of_increases": "select label, cast(sum(step) as bigint) as total from counter_steps where name in ('error', 'click') group by label having sum(step) > 0",
     "M11_log_filter": "select service_name, level, ts, http_path from logs where level in ('ERROR', 'WARN') and service_name like 'svc%' and http_path <> ''",
@@ -124,6 +132,21 @@ ORACLE_VIEWS = {
 
 #: Statements for the other engine, over the same views.
 ORACLES = {
+    "M07_held_alert": "select name, label, min(hour_no) as since, count(*) as held from (select d.*, hour_no - row_number() over (partition by name, label order by hour_no) as run from (select name, label, cast(floor(epoch(ts) / 3600) as bigint) as hour_no from counter_steps group by 1, 2, 3 having sum(step) > 0) d) q group by name, label, run having count(*) >= 3",
+    # Written from the rule, another way than the query.
+    "J12_unscored": "select run_group_id from (select distinct run_group_id from runs) r where run_group_id in ('g2', 'g4')",
+    "A25_overfill": "select s.session_id, s.order_id from orders_sent s join (select session_id, order_id, sum(fill_qty) as filled from orders_acked group by session_id, order_id) a using (session_id, order_id) where filled > qty",
+    "W03_first_response": "select session_id, order_id, min(struct_pack(t7 := t7, exec_type := exec_type)).exec_type as exec_type, min(t7) as t7 from live_acks group by session_id, order_id",
+    "J06_phantoms": "select session_id, order_id, count(*) as phantom_fills from orders_acked anti join orders_sent using (session_id, order_id) where fill_qty > 0 and exec_type in ('1', '2', 'F') group by all",
+    "J01_outcomes": "select coalesce(s.session_id, a.session_id) as session_id, coalesce(s.order_id, a.order_id) as order_id, case when s.order_id is null then 'unsent' when a.order_id is not null then 'matched' when s.timed_out then 'lost' else 'gap' end as outcome, coalesce(n_acks, 0) as n_acks, coalesce(filled, 0) as filled from orders_sent s full outer join (select session_id, order_id, count(*) as n_acks, sum(fill_qty)::bigint as filled from (select distinct session_id, order_id, exec_type, t3, t7, fill_qty, fill_price from orders_acked) group by all) a on a.session_id = s.session_id and a.order_id = s.order_id",
+    "A11_wave_input": "select wave, max(p99) as max_p99, max(error_rate) as max_error, avg(tps_20s) as avg_tps from metrics group by wave",
+    "A12_upper_median": "select wave, count(*) as n, list_sort(list(p99))[count(*) // 2 + 1] as median_p99 from metrics group by wave",
+    "A17_max_rate": "select distinct on (session_id) session_id, tps_20s as peak from metrics order by session_id, tps_20s desc",
+    "A28_stream_counts": "select s.session_id, count(*) as sent, sum(coalesce(n, 0))::bigint as acked, count(n) as matched, count(*) filter (where n is null and timed_out) as lost, count(*) filter (where n is null and not timed_out) as gaps from orders_sent s left join (select session_id, order_id, count(*) as n from (select distinct session_id, order_id, exec_type, t3, t7, fill_qty, fill_price from orders_acked) group by all) a using (session_id, order_id) group by s.session_id",
+    "W14_elapsed": "select s.session_id, s.order_id, s.t0 - f.first as elapsed_ns from orders_sent s join (select session_id, min(t0) as first from orders_sent group by session_id) f using (session_id)",
+    "W02_rank_of": "select b.run_group_id, 1 + (select count(*) from board a where a.place < b.place) as place from board b where b.run_group_id = 'g7'",
+    "U02_touched_waves": f"select session_id, wave from sent_waves where t0 >= {B} and t0 <= {B + 60 * SECOND_NS} group by all",
+    "P04_wave_index": f"select session_id, order_id, (t0 - {B}) // {WAVE_NS} as wave from orders_sent",
     "P12_json_fields": "select order_id, fill_qty, exec_type from orders_acked",
     "P16_shard": f"select order_id, {_md5} % 24 as shard, (task_id * 4 + {_md5} % 4) % 24 as banded from orders_sent",
     "P17_uuid_time": "select order_id, t0 // 1000000 as ms from orders_sent",

@@ -4,7 +4,7 @@ from wavegrade.sources.views import B, SECOND_NS, WAVE_NS
 
 QUERIES = {
     # Scalar expressions
-    "P01_latencies": "select session_id, order_id, case when not timed_out and r9 > t0 then r9 - t0 end as response_ns, case when t1 >= t0 then t1 - t0 end as slip_ns from orders_sent",
+    "P01_latencies": "select s.session_id, s.order_id, a.service_ns, case when not timed_out and r9 > t0 then r9 - t0 end as response_ns, case when t1 >= t0 then t1 - t0 end as slip_ns from orders_sent s left join (select session_id, order_id, max(greatest(t7 - t3, 0)) as service_ns from orders_acked group by session_id, order_id) a on a.session_id = s.session_id and a.order_id = s.order_id",
     "P02_sample_admission": "select metric, count(*) as n, max(v) as top from samples where v < 68719476736 group by metric",
     "P03_ack_kinds": "select session_id, count(*) filter (where exec_type = '8') as rejects, count(*) filter (where fill_qty > 0 and exec_type in ('1', '2', 'F')) as fills, count(*) filter (where liquidity_ind = 2) as takers from orders_acked group by session_id",
     "P04_wave_index": "select session_id, order_id, wave from sent_waves",
@@ -14,16 +14,16 @@ QUERIES = {
     "P09_smp_presence": "select order_id, smp_id, smp_id is not null as has_smp from orders_sent",
     "P15_sequence_compare": "select a.order_id, (a.tcp_seq - 4294960000 + 2147483648 + 4294967296) % 4294967296 - 2147483648 as distance from (select distinct order_id, tcp_seq from orders_acked) a",
     "P20_grading_mode": "select scenario, case when count(*) > 0 and max(target_rps) = 0 then 'full' else 'invariants' end as mode from tasks group by scenario",
-    "P22_status_rank": "select submission_status, case submission_status when 'uploaded' then 0 when 'building' then 1 when 'scanned' then 2 when 'ready' then 3 else 4 end as status_rank, count(*) as n from status_events group by submission_status",
+    "P22_status_rank": "select submission_status, case submission_status when 'uploaded' then 0 when 'building' then 1 when 'scanned' then 2 when 'ready' then 3 else 4 end as status_rank, submission_status in ('ready', 'failed') as terminal, submission_status in ('uploaded', 'building', 'scanned', 'sbom_ready', 'ready', 'failed') as valid, count(*) as n from status_events group by submission_status",
     "P23_guarded_ratios": "select session_id, wave, case when offered > 0 then cast(timed_out + rejected as double) / offered else 0.0 end as error_rate, case when offered > 0 then least(cast(responded as double) / offered, 1.0) else 0.0 end as coverage from window_counters",
     "P26_optional_filters": "select run_group_id, team_name from scores where lower(team_name) like '%001%' and contestant_id in ('c1', 'c2', 'c3')",
     "P28_units": "select order_id, round(cast(t1 - t0 as double) / 1000.0, 1) as slip_us from orders_sent",
     "P29_rank_band": "select run_group_id, case when place = 1 then 'first' when place <= 3 then 'podium' when place <= 10 then 'top' else 'rest' end as band from board",
     "P30_bucket": "select session_id, metric, bucket_hi, cast(sum(n) as bigint) as n from histograms group by session_id, metric, bucket_hi",
     "P31_log2_bucket": "select order_id, cast(case when t1 = t0 then 0 else length(bin(t1 - t0)) end as bigint) as bucket from orders_sent",
-    "P37_sanity_gate": f"select session_id, count(*) filter (where t7x < t3 or t7x - t3 > {15 * SECOND_NS}) as anomalies, count(*) filter (where t7x >= t3 and t7x - t3 <= {15 * SECOND_NS}) as good from (select session_id, t3, case when cast(order_id as bigint) % 131 = 0 then t7 - 2000000 else t7 end as t7x from orders_acked) q group by session_id",
+    "P37_sanity_gate": f"select session_id, count(*) filter (where t7x > 0 and (t7x < t3 or t7x - t3 > {15 * SECOND_NS})) as anomalies, count(*) filter (where t7x >= t3 and t7x - t3 <= {15 * SECOND_NS}) as good, count(*) filter (where t7x = 0) as unset from (select session_id, t3, case when cast(order_id as bigint) % 131 = 0 then t7 - 2000000000 when cast(order_id as bigint) % 151 = 0 then 0 else t7 end as t7x from orders_acked) q group by session_id",
     # Joins
-    "J01_outcomes": "select session_id, order_id, outcome, n_acks, filled from outcomes",
+    "J01_outcomes": "select session_id, order_id, outcome, n_acks, filled from outcomes union all select session_id, order_id, 'unsent', count(*), cast(sum(fill_qty) as bigint) from (select distinct session_id, order_id, exec_type, t3, t7, fill_qty, fill_price from orders_acked a where not exists (select 1 from orders_sent s where s.session_id = a.session_id and s.order_id = a.order_id)) d group by session_id, order_id",
     "J02_redelivery": "select session_id, count(*) as n from (select distinct session_id, order_id, exec_type, t7, fill_qty, fill_price from (select * from orders_acked union all select * from orders_acked where cast(order_id as bigint) % 50 = 0) u) d group by session_id",
     "J03_exclude_timed_out": "select session_id, order_id, count(*) as n from live_acks group by session_id, order_id",
     "J04_contestant": "select s.session_id, r.contestant_id, count(*) as n from orders_sent s left join runs r on r.session_id = s.session_id group by s.session_id, r.contestant_id",
@@ -33,7 +33,7 @@ QUERIES = {
     "J09_run_lookup": "select session_id, run_group_id, submission_id, contestant_id from runs where run_group_id <> ''",
     "J10_scoring_input": "select r.run_group_id, r.session_id, c.scenario_id, c.sort_order, p.sent, p.matched from runs r join scenarios c on c.scenario_id = r.scenario_id join (select session_id, count(*) as sent, count(*) filter (where outcome = 'matched') as matched from outcomes group by session_id) p on p.session_id = r.session_id",
     "J11_team": "select r.run_group_id, max(s_name) as team_name from runs r left join supplier on cast(s_suppkey as string) = substr(r.run_group_id, 2) group by r.run_group_id",
-    "J12_unscored": "select distinct run_group_id from runs r where not exists (select 1 from scores s where s.run_group_id = r.run_group_id and s.disqualified)",
+    "J12_unscored": "select distinct run_group_id from runs r where not exists (select 1 from published s where s.run_group_id = r.run_group_id)",
     "J13_ran_scenario": "select distinct r.run_group_id from runs r where exists (select 1 from runs x where x.run_group_id = r.run_group_id and x.scenario_id = 'ramp')",
     "J14_active_groups": "select distinct run_group_id from runs where run_group_id in (select run_group_id from runs where status not in ('completed', 'failed'))",
     "J15_run_detail": "select r.session_id, r.status, c.scenario_id, c.duration_s, m.waves from runs r join scenarios c on c.scenario_id = r.scenario_id left join (select session_id, count(*) as waves from metrics group by session_id) m on m.session_id = r.session_id",
@@ -44,22 +44,22 @@ QUERIES = {
     # Aggregations
     "A01_window_counters": "select * from window_counters",
     "A02_distributions": "select * from histograms",
-    "A03_quantiles": "select session_id, wave, metric, min(bucket_hi) filter (where cum >= greatest(1, ceil(0.5 * total))) as p50, min(bucket_hi) filter (where cum >= greatest(1, ceil(0.9 * total))) as p90, min(bucket_hi) filter (where cum >= greatest(1, ceil(0.99 * total))) as p99 from cumulative group by session_id, wave, metric",
+    "A03_quantiles": "select session_id, wave, metric, min(bucket_hi) filter (where cum >= greatest(1, ceil(0.5 * total))) as p50, min(bucket_hi) filter (where cum >= greatest(1, ceil(0.9 * total))) as p90, min(bucket_hi) filter (where cum >= greatest(1, ceil(0.99 * total))) as p99, coalesce(min(bucket_hi) filter (where cum >= greatest(1, ceil(0.999 * total))), 0) as p999 from cumulative group by session_id, wave, metric",
     "A04_merge": "select metric, bucket_hi, cast(sum(n) as bigint) as n from histograms group by metric, bucket_hi",
-    "A06_snapshot": "select * from metrics",
+    "A06_snapshot": "select m.session_id, r.contestant_id, m.wave, m.p50, p90, m.p99, p999, rt_p50, rt_p90, rt_p99, cast(tps_20s as double) / 20 as tps, error_rate from metrics m join runs r on r.session_id = m.session_id and r.contestant_id <> '' join (select session_id, wave, min(bucket_hi) filter (where metric = 'service' and cum >= ceil(0.9 * total)) as p90, min(bucket_hi) filter (where metric = 'service' and cum >= ceil(0.999 * total)) as p999, coalesce(min(bucket_hi) filter (where metric = 'response' and cum >= ceil(0.5 * total)), 0) as rt_p50, coalesce(min(bucket_hi) filter (where metric = 'response' and cum >= ceil(0.9 * total)), 0) as rt_p90, coalesce(min(bucket_hi) filter (where metric = 'response' and cum >= ceil(0.99 * total)), 0) as rt_p99 from cumulative group by session_id, wave) q on q.session_id = m.session_id and q.wave = m.wave",
     "A07_rollup_counters": f"select session_id, wave, t0 - t0 % {SECOND_NS} as second_ns, count(*) as offered, count(*) filter (where timed_out) as errors from sent_waves group by session_id, wave, t0 - t0 % {SECOND_NS}",
-    "A09_ten_seconds": f"select contestant_id, (t7 - {B}) - (t7 - {B}) % {10 * SECOND_NS} as bucket_ns, max(t7 - t3) as max_service, count(*) as n from orders_acked group by contestant_id, (t7 - {B}) - (t7 - {B}) % {10 * SECOND_NS}",
-    "A11_wave_input": "select wave, max(p99) as max_p99, max(error_rate) as max_error, max(tps_20s) as max_tps from metrics group by wave",
+    "A09_ten_seconds": f"select r.contestant_id, second_ns - second_ns % {10 * SECOND_NS} as bucket_ns, round(cast(sum(p99) as double) / count(*), 6) as avg_p99, max(n) as max_tps, round(cast(sum(errors) as double) / greatest(cast(sum(offered) as bigint), 1), 9) as error_rate from second_rows q join runs r on r.session_id = q.session_id group by r.contestant_id, second_ns - second_ns % {10 * SECOND_NS}",
+    "A11_wave_input": "select wave, max(p99) as max_p99, max(error_rate) as max_error, cast(sum(tps_20s) as double) / count(*) as avg_tps from metrics group by wave",
     "A12_upper_median": "select wave, n, p99 as median_p99 from (select wave, p99, row_number() over (partition by wave order by p99, session_id) as nth, count(*) over (partition by wave) as n from metrics) q where nth = (n - n % 2) / 2 + 1",
     "A13_group_correctness": "select r.run_group_id, least(cast(sum(least(filled, qty)) as double) / greatest(cast(sum(filled) as bigint), 1), 1.0) as total_correctness from runs r join outcomes o on o.session_id = r.session_id where r.scenario_id = 'correctness' group by r.run_group_id",
-    "A15_coverage_gate": "select run_group_id, min_by(session_id, sort_order) as first_failing from (select r.run_group_id, r.session_id, c.sort_order, count(*) as sent, count(*) filter (where outcome = 'matched') as matched from runs r join scenarios c on c.scenario_id = r.scenario_id join outcomes o on o.session_id = r.session_id group by r.run_group_id, r.session_id, c.sort_order) q where sent > 0 and cast(matched as double) / sent < 0.90 group by run_group_id",
+    "A15_coverage_gate": "select run_group_id, count(*) filter (where low) > 0 as incomplete, min_by(session_id, sort_order) filter (where low) as first_failing, min_by(concat('coverage ', cast(matched as string), '/', cast(sent as string)), sort_order) filter (where low) as reason from (select r.run_group_id, r.session_id, c.sort_order, sent, matched, sent > 0 and cast(matched as double) / sent < 0.90 as low from runs r join scenarios c on c.scenario_id = r.scenario_id join (select session_id, count(*) as sent, count(*) filter (where first_t7 - first_t3 < 1000000000) as matched from outcomes group by session_id) o on o.session_id = r.session_id) q group by run_group_id",
     "A16_peak_climb": "select session_id, first_fail, max(wave) filter (where ok) as last_pass, max_by(offered, wave) filter (where ok) as peak from (select m.*, error_rate <= 0.01 and p99 <= 1000000 as ok, min(case when error_rate > 0.01 or p99 > 1000000 then wave end) over (partition by session_id) as first_fail from metrics m where wave >= 1) q where first_fail is null or wave <= first_fail group by session_id, first_fail",
     "A17_max_rate": "select session_id, max(tps_20s) as peak from metrics group by session_id",
     "A18_spike_recovery": f"select session_id, baseline, peak_wave, case when peak <= threshold or baseline = 0 then 0 else (coalesce(min(case when wave > peak_wave and p99 <= threshold then wave end), max(wave) + 1) - peak_wave) * {WAVE_NS} end as recovery_ns from (select q.*, min(case when p99 = peak then wave end) over (partition by session_id) as peak_wave, cast(floor(baseline * 1.1) as bigint) as threshold from (select session_id, wave, p99, max(p99) over (partition by session_id) as peak, first_value(p99) over (partition by session_id order by wave) as baseline from metrics) q) z group by session_id, baseline, peak, peak_wave, threshold",
     "A21_classes": "select session_id, count(*) filter (where filled > qty) as overfill, count(*) filter (where outcome = 'lost' and payload_type <> 'CANCEL') as lost_order, count(*) filter (where outcome = 'lost' and payload_type = 'CANCEL') as lost_cancel from outcomes group by session_id",
     "A22_order_score": "select session_id, case when scored = 0 then 1.0 else cast(scored - dirty as double) / scored end as score from (select session_id, count(*) filter (where outcome <> 'gap') as scored, count(*) filter (where outcome = 'lost' or filled > qty) as dirty from outcomes group by session_id) q",
     "A23_examples": "select session_id, order_id, nth from (select session_id, order_id, row_number() over (partition by session_id order by cast(order_id as bigint)) as nth from outcomes where filled > qty) q where nth <= 100",
-    "A25_overfill": "select distinct session_id, order_id from (select session_id, order_id, sum(fill_qty) over (partition by session_id, order_id order by t7, exec_type, fill_qty, fill_price rows between unbounded preceding and current row) as cum from orders_acked) q where cum > 100",
+    "A25_overfill": "select distinct session_id, order_id from (select a.session_id, a.order_id, s.qty, sum(a.fill_qty) over (partition by a.session_id, a.order_id order by a.t7, a.exec_type, a.fill_qty, a.fill_price rows between unbounded preceding and current row) as cum from orders_acked a join orders_sent s on s.session_id = a.session_id and s.order_id = a.order_id) q where cum > qty",
     "A26_taint": "select session_id, cast(gaps as double) / (scored + gaps) > 0.01 as tainted from (select session_id, count(*) filter (where outcome = 'gap') as gaps, count(*) filter (where outcome <> 'gap') as scored from outcomes group by session_id) q",
     "A28_stream_counts": "select session_id, count(*) as sent, cast(sum(n_acks) as bigint) as acked, count(*) filter (where outcome = 'matched') as matched, count(*) filter (where outcome = 'lost') as lost, count(*) filter (where outcome = 'gap') as gaps from outcomes group by session_id",
     "A29_ready_groups": "select run_group_id from runs group by run_group_id having count(distinct scenario_id) = 4 and bool_and(status in ('completed', 'failed'))",
@@ -74,6 +74,7 @@ QUERIES = {
     "W03_first_response": "select session_id, order_id, exec_type, t7 from first_acks",
     "W04_effective_arrival": "select session_id, order_id, max(t3) over (partition by session_id, src_ip, src_port order by tcp_seq, cast(order_id as bigint) rows between unbounded preceding and current row) as eff_t3 from (select distinct session_id, order_id, src_ip, src_port, tcp_seq, t3 from orders_acked) q",
     "W08_cumulative_fills": "select session_id, order_id, t7, cast(sum(fill_qty) over (partition by session_id, order_id order by t7, exec_type, fill_qty, fill_price rows between unbounded preceding and current row) as bigint) as cum_qty from orders_acked",
+    "P33_blanked": "select session_id, wave, second_ns, case when second_ns = max(second_ns) over (partition by session_id, wave) then n end as sketch_total from (select session_id, wave, second_ns, cast(sum(n) as bigint) as n from shard_seconds group by session_id, wave, second_ns) q",
     "W12_newest_wave": "select session_id, max(wave) as wave, max_by(p99, wave) as p99 from metrics group by session_id",
     "W14_elapsed": "select session_id, order_id, t0 - min(t0) over (partition by session_id) as elapsed_ns from orders_sent",
     "W15_counter_delta": "select name, label, event_id, step from counter_steps",
@@ -90,11 +91,11 @@ QUERIES = {
     "C01_retransmitted": "select flow, direction, cast(sum(greatest(0, least(seq_len, prev_end - seq_start))) as bigint) as repeated_bytes from (select s.*, max(seq_start + seq_len) over (partition by flow, direction order by arrival, seq_start, seq_len rows between unbounded preceding and 1 preceding) as prev_end from capture_segments s) q where prev_end is not null group by flow, direction",
     "C02_gaps": "select flow, direction, cast(sum(greatest(0, seq_start - prev_end)) as bigint) as gap_bytes from (select s.*, max(seq_start + seq_len) over (partition by flow, direction order by seq_start, seq_len, arrival rows between unbounded preceding and 1 preceding) as prev_end from capture_segments s) q where prev_end is not null group by flow, direction",
     "V08_in_flight": "select session_id, run_group_id from runs where status in ('requested', 'queued', 'deploying', 'running')",
-    "V09_uniqueness": "select run_group_id, scenario_id, count(*) as n from runs group by run_group_id, scenario_id having count(*) > 1",
+    "V09_uniqueness": "select 'group_scenario' as rule, concat(run_group_id, scenario_id) as id, count(*) as n from runs group by run_group_id, scenario_id having count(*) > 1 union all select 'active_group', submission_id, count(distinct run_group_id) from runs where status not in ('completed', 'failed') group by submission_id having count(distinct run_group_id) > 1 union all select 'content', md5(concat(entity_id, run_status)), count(*) from status_events group by md5(concat(entity_id, run_status)) having count(*) > 1",
     # Operational samples and logs
     "M02_increase": "select name, label, cast(sum(step) as bigint) as increase from counter_steps group by name, label",
     "M04_error_ratio": "select label, cast(sum(case when name = 'error' then step else 0 end) as double) / greatest(cast(sum(step) as bigint), 1) as ratio from counter_steps group by label",
-    "M06_latest": "select name, label, max_by(counter_value, event_id) as latest from metric_samples group by name, label",
+    "M06_latest": "select name, label, latest, cast(sum(latest) over (partition by name) as bigint) as of_all from (select name, label, max_by(counter_value, event_id) as latest from metric_samples group by name, label) q",
     "M10_log_volume": "select service_name, level, date_trunc('day', ts) as day, count(*) as n from logs group by service_name, level, date_trunc('day', ts)",
     "M12_errors": "select service_name, count(*) filter (where level = 'ERROR') as errors from logs group by service_name",
 }

@@ -10,8 +10,8 @@ VIEWS = {
 select concat('s', cast(o_orderkey % 20 as string)) as session_id, concat('c', cast(o_orderkey % 5 as string)) as contestant_id,
        cast(o_orderkey as string) as order_id, cast(o_orderkey % 8 as int) as task_id, {B} + o_orderkey * 20000000 as t0,
        {B} + o_orderkey * 20000000 + (o_orderkey * 7919 % 1000) * 1000 as t1,
-       case when o_orderkey % 9 = 4 then 0 else {B} + o_orderkey * 20000000 + 5000000 + (o_orderkey * 7919 % 5000) * 1000 end as r9,
-       o_orderkey % 9 = 4 as timed_out, 10000 + o_orderkey % 25 - 12 as price, cast(100 as bigint) as qty,
+       case when o_orderkey % 9 = 4 and o_orderkey % 20 < 10 then 0 else {B} + o_orderkey * 20000000 + 5000000 + (o_orderkey * 7919 % 5000) * 1000 end as r9,
+       o_orderkey % 9 = 4 and o_orderkey % 20 < 10 as timed_out, 10000 + o_orderkey % 25 - 12 as price, cast(100 as bigint) as qty,
        case when o_custkey % 2 = 0 then 'SELL' else 'BUY' end as side,
        case o_orderpriority when '5-LOW' then 'CANCEL' when '4-NOT SPECIFIED' then 'REPLACE' else 'NEW' end as payload_type,
        case when o_orderstatus = 'P' then 'MARKET' else 'LIMIT' end as ord_type,
@@ -19,12 +19,12 @@ select concat('s', cast(o_orderkey % 20 as string)) as session_id, concat('c', c
        cast({B} as bigint) as barrier_epoch_ns, case when o_custkey % 9 = 8 then null else o_custkey % 9 end as smp_id
 from orders where o_orderkey % 211 <> 7""",
     "orders_acked": """
-select concat('s', cast(o.o_orderkey % 20 as string)) as session_id, concat('c', cast(o.o_orderkey % 5 as string)) as contestant_id,
+select concat('s', cast(o.o_orderkey % 20 as string)) as session_id, case when o.o_orderkey % 397 = 3 then 'c9' else concat('c', cast(o.o_orderkey % 5 as string)) end as contestant_id,
        cast(o.o_orderkey as string) as order_id, o.o_custkey % 4 as src_ip, 50000 + o.o_custkey % 16 as src_port,
        (o.o_orderkey * 640) % 4294967296 as tcp_seq,
        1700000000000000000 + o.o_orderkey * 20000000 + 1000000 + (o.o_orderkey * 31 % 400) * 1000 as t3,
-       1700000000000000000 + o.o_orderkey * 20000000 + 1000000 + (o.o_orderkey * 31 % 400) * 1000 + l.l_linenumber * 20000 + (l.l_partkey % 97) * 1000 as t7,
-       case l.l_returnflag when 'R' then '8' when 'A' then '0' else 'F' end as exec_type,
+       1700000000000000000 + o.o_orderkey * 20000000 + 1000000 + (o.o_orderkey * 31 % 400) * 1000 + l.l_linenumber * 20000 + (l.l_partkey % 97) * 1000 + case when o.o_orderkey % 37 = 5 and o.o_orderkey % 20 < 10 then 1500000000 else 0 end as t7,
+       case l.l_returnflag when 'R' then case when o.o_orderkey % 20 < 10 then '8' else '0' end when 'A' then '0' else 'F' end as exec_type,
        case when l.l_returnflag = 'N' then cast(l.l_quantity as bigint) else cast(0 as bigint) end as fill_qty,
        case when l.l_returnflag = 'N' then (10000 + o.o_orderkey % 25 - 12) * 1000000000 else cast(0 as bigint) end as fill_price,
        case when l.l_linestatus = 'F' then 2 else 1 end as liquidity_ind
@@ -41,7 +41,9 @@ select concat('s', cast(n as string)) as session_id, concat('sub', cast(n % 5 as
        case when n = 19 then 'running' else 'completed' end as status
 from (select n_nationkey as n from nation where n_nationkey < 20) q""",
     "scenarios": """
-select 'constant' as scenario_id, 60 as duration_s, 1 as sort_order union all select 'spike', 60, 2 union all select 'ramp', 180, 3 union all select 'correctness', 45, 4""",
+select scenario as scenario_id, cast(max(start_offset_ns + duration_ns) / 1000000000 as bigint) as duration_s, case scenario when 'constant' then 1 when 'spike' then 2 when 'ramp' then 3 else 4 end as sort_order
+from tasks group by scenario""",
+    "published": "select * from scores where run_group_id not in ('g2', 'g4')",
     "scores": """
 select concat('g', cast(c_custkey as string)) as run_group_id, concat('c', cast(c_nationkey as string)) as contestant_id, c_name as team_name,
        (c_custkey % 10) * cast(10000 as bigint) as peak_sustained_tps, c_custkey * 7919 % 1000 * 1000 as p99_at_peak_ns,
@@ -69,7 +71,7 @@ select flow, direction, arrival, seq_start, seq_len from (
   from lineitem) q
 where pk % 77 <> 0""",
     # Orders with their wave; answers of orders that the client did not time out; each order's first answer.
-    "sent_waves": f"select s.*, cast((greatest(t0 - barrier_epoch_ns, 0) - greatest(t0 - barrier_epoch_ns, 0) % {WAVE_NS}) / {WAVE_NS} as bigint) as wave from orders_sent s",
+    "sent_waves": f"select s.*, cast((greatest(t0 - origin, 0) - greatest(t0 - origin, 0) % {WAVE_NS}) / {WAVE_NS} as bigint) as wave from (select o.*, case when barrier_epoch_ns > 0 then barrier_epoch_ns else min(t0) over (partition by session_id) end as origin from orders_sent o) s",
     "live_acks": f"""
 select a.*, cast((greatest(t3 - {B}, 0) - greatest(t3 - {B}, 0) % {WAVE_NS}) / {WAVE_NS} as bigint) as wave, fill_qty > 0 and exec_type in ('1', '2', 'F') as is_fill
 from orders_acked a where not exists (select 1 from orders_sent s where s.session_id = a.session_id and s.order_id = a.order_id and s.timed_out)""",
