@@ -36,6 +36,8 @@ from wavegrade.llm.simhash_bk import SEED, BKTree, bits_over_half, components, s
 WIDTH, CROWD, FEW = 5, 32, 16
 #: Bits that fingerprints of near copies differ in at most (10 are expected at an index of 0.8, 22 are over four deviations more), and the size from which that holds.
 RADIUS, SURE = 22, 32
+#: The parity of a set's shingles in 512 cells; sketches differ in no more cells than the sets in shingles, and near copies in a ninth of both sizes' sum at most.
+SKETCH = [f"s{k}" for k in range(8)]
 #: Texts sampled for the order, and common shingles that are sent to the tasks, at most.
 SAMPLE, COMMON = 20_000, 50_000
 
@@ -70,22 +72,23 @@ def with_prefixes(docs: DataFrame, common: np.ndarray, id_col: str, text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = sent.value
         for batch in blocks(batches, text_col):
-            nodes, sizes, prints, firsts = [], [], [], []
+            nodes, sizes, prints, sketches, firsts = [], [], [], [], []
             for t in raw_texts(batch, text_col):
                 s = shingles(t)
                 n = len(s)
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                 sizes.append(n)
                 prints.append(bits_over_half(s.view(np.uint64)))
+                sketches.append(np.packbits((np.bincount(s & 511, minlength=512) & 1).astype(np.uint8)).view(np.int64))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     late = known[at] == s
                     s = np.concatenate([s[~late], s[late][np.argsort(rank[at[late]])]])
                 firsts.append(s[: n - (4 * n + 4) // 5 + 1])
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate(firsts)))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_row"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), lists], names=[id_col, "_row", "node", "size", "fp", "firsts"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_row"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), *map(pa.array, np.array(sketches).T.copy()), lists], names=[id_col, "_row", "node", "size", "fp", *SKETCH, "firsts"])
 
-    return docs.select(id_col, "_row", text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, _row long, node long, size int, fp long, firsts array<long>")
+    return docs.select(id_col, "_row", text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, _row long, node long, size int, fp long, {', '.join(f'{k} long' for k in SKETCH)}, firsts array<long>")
 
 
 def may_match(size: np.ndarray, pos: np.ndarray, size2: np.ndarray, pos2: np.ndarray) -> np.ndarray:
@@ -202,12 +205,14 @@ def strangers(dealt: DataFrame) -> DataFrame:
     """Pairs (u, v) of different roots in a group that may match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, size, pos, node, fp, root in whole_groups(batches, ["shingle", "size", "pos", "node", "fp", "root"]):
+        for key, size, pos, node, fp, root, *cells in whole_groups(batches, ["shingle", "size", "pos", "node", "fp", "root", *SKETCH]):
+            cells = np.stack(cells, 1).view(np.uint64)
             for a, b in zip(*bounds(key), strict=True):
-                s, p, x, f, r = size[a:b], pos[a:b], node[a:b], fp[a:b], root[a:b]
+                s, p, x, f, r, c = size[a:b], pos[a:b], node[a:b], fp[a:b], root[a:b], cells[a:b]
                 names, n = np.unique(r, return_counts=True)
                 for i in np.flatnonzero(r != names[np.argmax(n)]):
                     j = np.flatnonzero((r != r[i]) & may_match(s, p, s[i], p[i]) & alike(s, f, s[i], f[i]))
+                    j = j[9 * np.bitwise_count(c[j] ^ c[i]).sum(1, dtype=np.int64) <= s[j] + s[i]]
                     if len(j):
                         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x[j], x[i])), pa.array(np.minimum(x[j], x[i]))], names=["u", "v"])
 
@@ -245,7 +250,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     release(links)
     crowded = met.where("crowded is not null").select(F.col("crowded").alias("shingle")).distinct()
     if crowded.take(1):
-        apart = dealt.join(crowded, "shingle").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        sketched = prints.dropDuplicates(["node"]).select("node", "size", "fp", *SKETCH, F.posexplode("firsts").alias("pos", "shingle"))
+        apart = sketched.join(crowded, "shingle").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         more = written(strangers(apart), "strangers")
         if more.take(1):
             found = confirmed(more, keyed, prints, text_col)
