@@ -327,9 +327,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     first = next(todo)
     second = next(todo, None)
     if second is not None:
-        keyed = docs.withColumn("_key", row_key(id_col, text_col))
-        bad = find_contamination(keyed.select("_key", text_col).dropDuplicates(["_key"]), benchmark, "_key", text_col, part_words=part_words).where("contaminated")
-        return keyed.join(bad.select("_key"), "_key", "left_anti").drop("_key")
+        keyed = docs.withColumn("_doc_key", row_key(id_col, text_col))
+        bad = find_contamination(keyed.select("_doc_key", text_col).dropDuplicates(["_doc_key"]), benchmark, "_doc_key", text_col, part_words=part_words).where("contaminated")
+        return keyed.join(bad.select("_doc_key"), "_doc_key", "left_anti").drop("_doc_key")
     sent = docs.sparkSession.sparkContext.broadcast(first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
