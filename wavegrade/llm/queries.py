@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavegrade.llm import bpe_count, curve_pack, fm_decontaminate, language_fusion, lbl_score, line_rules, pii_semicrf, quality_rff, simhash_bk, tiered_shards
+from wavegrade.llm import bpe_count, curve_pack, fm_decontaminate, grid_codes, language_fusion, lbl_score, line_rules, oracles, pii_semicrf, quality_rff, simhash_bk, suffix_dedup, table_means, tiered_shards
 from wavegrade.llm.common import folded, table
 
 
@@ -59,9 +59,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve_pack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_means.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_quality_classifier, op3_quality_rules, op4_token_counts, op5_lm_scoring, op6_simhash_near_dedup, op7_language_id, op8_sharding, op9_benchmark_decontamination, op10_packing)}
+    return {f.__name__: f for f in (op1_pii, op2_quality_classifier, op3_quality_rules, op4_token_counts, op5_lm_scoring, op6_simhash_near_dedup, op7_language_id, op8_sharding, op9_benchmark_decontamination, op10_packing, op11_vector_codes, op12_centroid_clustering, op13_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.SQL
