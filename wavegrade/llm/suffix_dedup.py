@@ -201,49 +201,52 @@ def _answer(batches: Iterator[pa.RecordBatch], n: int, hot_runs: int) -> Iterato
 def _texts_of_runs(batches: Iterator[pa.RecordBatch], n: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Of each block: a row for each bucket with the texts of the runs it has to sort; of equal texts those of the smallest document."""
     for batch in blocks(batches, "z"):
-        found: dict[bytes, list] = {}
-        keys: dict[bytes, int] = {}
-        done = []
-        for row in batch.to_pylist():
-            text = pa.decompress(row["z"], row["n_bytes"], codec="zstd", asbytes=True) if row["n_bytes"] else b""
-            starts = np.frombuffer(b"".join(r["starts"] for r in row["runs"]), "<u4")
-            sizes = np.frombuffer(b"".join(r["sizes"] for r in row["runs"]), np.uint8)
-            hashes = np.frombuffer(b"".join(r["hashes"] for r in row["runs"]), "<u8")
-            anew = np.isin(hashes, hot) if len(hot) else np.zeros(len(hashes), bool)
-            here = [(s, c, k) for s, c, k in zip(starts[~anew].tolist(), sizes[~anew].tolist(), hashes[~anew].tolist(), strict=True)]
-            for s, c in zip(starts[anew].tolist(), sizes[anew].tolist(), strict=True):
-                here += [(s + j, 1, xxhash.xxh64_intdigest(text[s + j : s + j + WIDTH])) for j in range(c)]
-            for s, c, k in set(here):
-                piece = text[s : s + c + WIDTH - 1]
-                keys[piece] = k
-                found.setdefault(piece, []).append((row["doc_id"], row["tag"], s))
-        kept = []
-        for piece, places in found.items():
-            least = min(places)[0]
-            for p in places:
-                if p[0] == least:
-                    kept.append((keys[piece], *p, piece))
-                else:
-                    done.append((p[0], p[1], p[2], p[2] + len(piece)))
+        pieces: dict[bytes, int] = {}
+        columns: list[tuple] = []  # of each document: its place, and the start, hash and piece of each run
+        asked = batch.filter(batch.column("runs").is_valid())
+        ids, tags = asked.column("doc_id").to_numpy(), asked.column("tag").to_numpy()
+        for at, row in enumerate(asked.select(["z", "n_bytes", "runs"]).to_pylist()):
+            text = pa.decompress(row["z"], row["n_bytes"], codec="zstd", asbytes=True)
+            starts, first = np.unique(_blob(row["runs"], "starts", "<u4"), return_index=True)
+            sizes, hashes = _blob(row["runs"], "sizes", np.uint8)[first], _blob(row["runs"], "hashes", "<u8")[first]
+            if len(hot) and (anew := np.isin(hashes, hot)).any():
+                single = np.concatenate([np.arange(s, s + c) for s, c in zip(starts[anew].tolist(), sizes[anew].tolist(), strict=True)]).astype(np.uint32)
+                starts, sizes = np.concatenate([starts[~anew], single]), np.concatenate([sizes[~anew], np.ones(len(single), np.uint8)])
+                hashes = np.concatenate([hashes[~anew], np.array([xxhash.xxh64_intdigest(text[j : j + WIDTH]) for j in single.tolist()], np.uint64)])
+            which = [pieces.setdefault(text[a:b], len(pieces)) for a, b in zip(starts.tolist(), (starts.astype(np.int64) + sizes + (WIDTH - 1)).tolist(), strict=True)]
+            columns.append((np.full(len(which), at), starts, hashes, np.array(which, np.int64)))
+        if not columns:
+            continue
+        doc, starts, hashes, which = (np.concatenate(c) for c in zip(*columns, strict=True))
+        texts = list(pieces)
+        lens = np.array([len(t) for t in texts], np.int64)
+        least = np.full(len(texts), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, ids[doc])
+        first = ids[doc] == least[which]
+        kept, gone = np.flatnonzero(first), np.flatnonzero(~first)
         rows = []
-        if kept:
-            to = (_mix(np.array([k[0] for k in kept], np.uint64)) % np.uint64(n)).astype(np.int32)
-            pairs, doc = np.unique(np.array([k[1:3] for k in kept], np.int64), axis=0, return_inverse=True)
-            for b, rs, docs, counts in _dealt(to, doc.reshape(-1)):
-                mine = [kept[r] for r in rs.tolist()]
-                joined = b"".join(k[4] for k in mine)
-                rows.append((b, pairs[docs, 0], pairs[docs, 1], counts.astype(np.int32), np.array([k[3] for k in mine], "<u4").tobytes(), np.array([len(k[4]) - WIDTH + 1 for k in mine], np.uint8).tobytes(), pa.compress(joined, codec="zstd", asbytes=True), b""))
-        for a, b, tag, s, e in _merged(done):
-            rows.append((int(_mix(np.array([tag], np.int64).view(np.uint64))[0] % np.uint64(n)), [a], [tag], [b], s, b"", b"", e))
+        for b, rs, docs, counts in _dealt((_mix(hashes[kept]) % np.uint64(n)).astype(np.int32), doc[kept]):
+            r = kept[rs]
+            rows.append((b, ids[docs], tags[docs], counts.astype(np.int32), starts[r].astype("<u4").tobytes(), (lens[which[r]] - WIDTH + 1).astype(np.uint8).tobytes(), pa.compress(b"".join([texts[k] for k in which[r].tolist()]), codec="zstd", asbytes=True), b""))
+        for d, tag, s, e in _stretches(ids[doc[gone]], tags[doc[gone]], starts[gone].astype(np.int64), starts[gone] + lens[which[gone]]):
+            rows.append((int(_mix(np.array([tag], np.int64).view(np.uint64))[0] % np.uint64(n)), [d], [tag], [len(s) // 4], s, b"", b"", e))
         yield record(SNIPPETS, **{f.name: [r[i] for r in rows] for i, f in enumerate(SNIPPETS)})
 
 
-def _merged(stretches: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, bytes, bytes]]:
-    """Of each document: how many stretches, their starts and ends, touching ones joined."""
-    stretches.sort()
-    for (doc, tag), group in itertools.groupby(stretches, key=lambda s: s[:2]):
-        starts, ends = joined(*np.array([s[2:] for s in group], np.int64).T)
-        yield doc, len(starts), tag, starts.astype("<u4").tobytes(), ends.astype("<u4").tobytes()
+def _stretches(ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, bytes, bytes]]:
+    """Of each document: its stretches' starts and ends, touching ones joined."""
+    if not len(ids):
+        return []
+    o = np.lexsort((starts, tags, ids))
+    ids, tags = ids[o], tags[o]
+    edge = np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])
+    ahead = (np.cumsum(edge) - 1) << 33  # keeps documents apart; a text has under 2^31 bytes
+    starts, ends = joined(starts[o] + ahead, ends[o] + ahead)
+    group = starts >> 33
+    heads = _groups(group)
+    starts, ends = (starts & ((1 << 33) - 1)).astype("<u4"), (ends & ((1 << 33) - 1)).astype("<u4")
+    first = np.flatnonzero(edge)
+    return [(d, t, starts[a:b].tobytes(), ends[a:b].tobytes()) for d, t, a, b in zip(ids[first].tolist(), tags[first].tolist(), heads[:-1].tolist(), heads[1:].tolist(), strict=True)]
 
 
 def joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -315,10 +318,22 @@ def deep_shallow(data: bytes, at: np.ndarray, owner: np.ndarray | None = None, w
         head[tied[1:]] |= key[o][1:] != key[o][:-1]
     starts = np.flatnonzero(head)
     size = np.diff(np.append(starts, len(order)))
-    for a, n in zip(starts[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-        if owners is not None and (owners[a : a + n] == owners[a]).all():
-            head[a : a + n] = True
-            continue
+    if owners is not None and len(order):
+        alone = np.minimum.reduceat(owners, starts) == np.maximum.reduceat(owners, starts)
+        head |= np.repeat(alone, size)
+        starts, size = starts[~alone], size[~alone]
+    # A trie of two keys is one comparison: all of them at once.
+    a = starts[size == 2]
+    if len(a):
+        left, right = order[a], order[a + 1]
+        less, equal = np.zeros(len(a), bool), np.ones(len(a), bool)
+        for depth in [*range(shallow, width - 8, 8), width - 8]:
+            x, y = words[left + depth], words[right + depth]
+            less |= equal & (y < x)
+            equal &= x == y
+        order[a], order[a + 1] = np.where(less, right, left), np.where(less, left, right)
+        head[a + 1] = ~equal
+    for a, n in zip(starts[size > 2].tolist(), size[size > 2].tolist(), strict=True):
         places = order[a : a + n].copy()
         at_ = a
         for leaf in blind_trie([data[p + shallow : p + width] for p in places.tolist()]):
@@ -354,7 +369,9 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings) + begins[text_of]
             first = np.repeat(least, strings)
             order, heads = deep_shallow(b"".join(texts), at, first)
-            slot = np.searchsorted(at, order)
+            of_place = np.empty(begins[-1] + lens[-1], np.int32)
+            of_place[at] = np.arange(len(at), dtype=np.int32)
+            slot = of_place[order]
             smallest = np.empty(len(at), np.int64)
             smallest[slot] = np.repeat(np.minimum.reduceat(first[slot], heads[:-1]), np.diff(heads))
             # Each occurrence of a text: its strings with an owner that is smaller than the occurrence's document.
@@ -367,8 +384,7 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 new = np.concatenate([[True], (occurrence[1:] != occurrence[:-1]) | (offset[1:] != offset[:-1] + 1)])
                 f, t = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(new)) - 1
                 of = occurrence[f]
-                found = np.stack([ids[of], tags[of], starts[of] + offset[f], starts[of] + offset[t] + WIDTH], 1)
-                out += [(d, tag, s, e) for d, _, tag, s, e in _merged([tuple(r) for r in found.tolist()])]
+                out += _stretches(ids[of], tags[of], starts[of] + offset[f], starts[of] + offset[t] + WIDTH)
         yield record(STRETCHES, **{f.name: [r[i] for r in out] for i, f in enumerate(STRETCHES)})
 
 
@@ -416,7 +432,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     packed = known.mapInArrow(_packed, "doc_id long, tag long, n_bytes long, z binary")
     by_doc = ["doc_id", "tag"]
-    with_runs = packed.join(shared.where("doc_id is not null").groupBy(*by_doc).agg(F.collect_list(F.struct("starts", "sizes", "hashes")).alias("runs")), by_doc)
+    # A left join as below, so that both read one exchange of the texts; rows without runs are passed over by the function.
+    with_runs = packed.join(shared.where("doc_id is not null").groupBy(*by_doc).agg(F.collect_list(F.struct("starts", "sizes", "hashes")).alias("runs")), by_doc, "left")
     snippets = with_runs.mapInArrow(partial(_texts_of_runs, n=n, hot=hot), _ddl(SNIPPETS)).repartition(tasks, F.xxhash64("bucket")).sortWithinPartitions("bucket")
     stretches = snippets.mapInArrow(_sorted, _ddl(STRETCHES)).groupBy(*by_doc).agg(F.collect_list(F.struct("starts", "ends")).alias("stretches"))
     others = named.where("doc_id is null").mapInArrow(_packed, "doc_id long, tag long, n_bytes long, z binary").withColumn("stretches", F.lit(None).cast("array<struct<starts:binary,ends:binary>>"))
