@@ -40,7 +40,9 @@ from wavegrade.llm.common import blocks, flat, raw_texts, record, written
 
 WIDTH, GRAM, SHALLOW = 50, 16, 24
 #: Bytes of text whose hashes one array step holds; bytes of text that one bucket stands for; runs of one hash that a bucket takes in any case.
-PIECE, BUCKET_BYTES, HOT_RUNS = 1 << 18, 16 << 20, 100_000
+PIECE, BUCKET_BYTES, HOT_RUNS = 1 << 18, 8 << 20, 100_000
+#: Bytes of text of a block.
+BLOCK = 2 << 20
 #: At most so many hashes are dealt anew by whole strings: the limit of a hash is at least all runs divided by this.
 MOST_HOT = 1 << 18
 
@@ -124,7 +126,7 @@ def _key(h40: np.ndarray, bucket: np.ndarray | int, n: int) -> np.ndarray:
 
 def _ask(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Of each block: a row for each bucket with the hashes that the block can't answer itself, and the runs whose hash two of its documents have."""
-    for batch in blocks(batches):
+    for batch in blocks(batches, limit=BLOCK):
         ids, tags = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
         data, ends = flat(raw_texts(batch))
         at, size, h = runs(data, ends)
@@ -155,7 +157,7 @@ def _ask(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    return itertools.groupby((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["bucket"])
+    return itertools.groupby((r for batch in batches for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()), key=lambda r: r["bucket"])
 
 
 def _owners(rows: list[dict], field: str = "ids") -> np.ndarray:
@@ -200,7 +202,7 @@ def _answer(batches: Iterator[pa.RecordBatch], n: int, hot_runs: int) -> Iterato
 
 def _texts_of_runs(batches: Iterator[pa.RecordBatch], n: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Of each block: a row for each bucket with the texts of the runs it has to sort; of equal texts those of the smallest document."""
-    for batch in blocks(batches, "z"):
+    for batch in blocks(batches, "z", BLOCK):
         pieces: dict[bytes, int] = {}
         columns: list[tuple] = []  # of each document: its place, and the start, hash and piece of each run
         asked = batch.filter(batch.column("runs").is_valid())
@@ -421,8 +423,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tag"), F.col(text_col).alias("text"))
     known = named.where("doc_id is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // bucket_bytes)) * 4
-    tasks = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 8), 50_000)
+    n = max(4, -(-total // bucket_bytes))  # buckets of hashes; their texts take twice as many
+    tasks = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 4), 50_000)
 
     asked = known.mapInArrow(partial(_ask, n=n), _ddl(ASKED)).repartition(tasks, F.xxhash64("bucket")).sortWithinPartitions("bucket")
     shared = written(asked.mapInArrow(partial(_answer, n=n, hot_runs=hot_runs), _ddl(SHARED)), "repeats-shared")
@@ -434,7 +436,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_doc = ["doc_id", "tag"]
     # A left join as below, so that both read one exchange of the texts; rows without runs are passed over by the function.
     with_runs = packed.join(shared.where("doc_id is not null").groupBy(*by_doc).agg(F.collect_list(F.struct("starts", "sizes", "hashes")).alias("runs")), by_doc, "left")
-    snippets = with_runs.mapInArrow(partial(_texts_of_runs, n=n, hot=hot), _ddl(SNIPPETS)).repartition(tasks, F.xxhash64("bucket")).sortWithinPartitions("bucket")
+    snippets = with_runs.mapInArrow(partial(_texts_of_runs, n=2 * n, hot=hot), _ddl(SNIPPETS)).repartition(tasks, F.xxhash64("bucket")).sortWithinPartitions("bucket")
     stretches = snippets.mapInArrow(_sorted, _ddl(STRETCHES)).groupBy(*by_doc).agg(F.collect_list(F.struct("starts", "ends")).alias("stretches"))
     others = named.where("doc_id is null").mapInArrow(_packed, "doc_id long, tag long, n_bytes long, z binary").withColumn("stretches", F.lit(None).cast("array<struct<starts:binary,ends:binary>>"))
     return packed.join(stretches, by_doc, "left").unionByName(others).mapInArrow(_cut, _ddl(CUT))
