@@ -47,9 +47,9 @@ BLOCK = 2 << 20
 MOST_HOT = 1 << 18
 
 ASKED = pa.schema([("bucket", pa.int32()), ("resolved", pa.bool_()), ("ids", pa.list_(pa.int64())), ("tags", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("starts", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary()), ("weights", pa.binary())])
-SHARED = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("starts", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary()), ("n_runs", pa.int64()), ("hot", pa.list_(pa.int64())), ("hot_runs", pa.list_(pa.int64()))])
+SHARED = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("hash", pa.int64()), ("n_runs", pa.int64()), ("hot", pa.list_(pa.int64())), ("hot_runs", pa.list_(pa.int64()))])
 SNIPPETS = pa.schema([("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("tags", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("starts", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary()), ("ends", pa.binary())])
-STRETCHES = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary())])
+STRETCHES = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 _ddl = lambda s: ", ".join(f"{f.name} {_type(f.type)}" for f in s)
@@ -80,18 +80,17 @@ def eights(data: np.ndarray) -> np.ndarray:
 
 def runs(data: np.ndarray, ends: np.ndarray, width: int = WIDTH, gram: int = GRAM, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, number of strings, hash) of each run of neighbouring strings with one smallest hash, inside the texts that ends part."""
-    text = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))
-    starts, sizes, hashes = [], [], []
+    starts, sizes, hashes, span = [], [], [], width - gram + 1
     for a in range(0, len(data) - width + 1, piece):
         part = data[a : a + piece + width - 1]
         words = eights(part)
         h = _mix(_mix(words[: len(part) - gram + 1]) + words[gram - 8 :])
-        have, span = 1, width - gram + 1
+        have = 1
         while 2 * have <= span:
             h, have = np.minimum(h[:-have], h[have:]), 2 * have
         if have < span:
             h = np.minimum(h[: len(part) - width + 1], h[span - have :])
-        t = text[a : a + len(part)]
+        t = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(np.clip(ends - a, 0, len(part))))
         inside = t[: len(h)] == t[width - 1 :]
         new = np.ones(len(h) + 1, bool)
         new[1:-1] = (h[1:] != h[:-1]) | (t[1 : len(h)] != t[: len(h) - 1]) | (inside[1:] != inside[:-1])
@@ -102,7 +101,10 @@ def runs(data: np.ndarray, ends: np.ndarray, width: int = WIDTH, gram: int = GRA
         hashes.append(h[at[:-1][whole]])
     if not starts:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    return np.concatenate(starts), np.concatenate(sizes), np.concatenate(hashes)
+    start, size, h = np.concatenate(starts), np.concatenate(sizes), np.concatenate(hashes)
+    cuts = -(-size // span)  # a text that repeats itself has one hash over many strings: such runs are cut, so that a size fits a byte
+    nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    return np.repeat(start, cuts) + nth * span, np.minimum(np.repeat(size, cuts) - nth * span, span), np.repeat(h, cuts)
 
 
 def _groups(order_key: np.ndarray) -> np.ndarray:
@@ -168,20 +170,13 @@ def _blob(rows: list[dict], field: str, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(r[field] for r in rows), kind)
 
 
-def _shared_rows(ids, tags, starts, sizes, hashes) -> list[tuple]:
-    o = np.lexsort((tags, ids))
-    edge = np.flatnonzero(np.concatenate([[True], (ids[o][1:] != ids[o][:-1]) | (tags[o][1:] != tags[o][:-1])]))
-    return [(int(ids[o[a]]), int(tags[o[a]]), starts[o[a:b]].tobytes(), sizes[o[a:b]].tobytes(), hashes[o[a:b]].tobytes(), 0, None, None) for a, b in zip(edge, [*edge[1:], len(o)], strict=True)]
-
-
 def _answer(batches: Iterator[pa.RecordBatch], n: int, hot_runs: int) -> Iterator[pa.RecordBatch]:
-    """Of each bucket: the runs whose hash several documents have, by document, and the hashes with more runs than hot_runs."""
+    """Of each bucket: the runs whose hash several documents have, and the hashes with more runs than hot_runs."""
     for bucket, group in _by_bucket(batches):
-        rows = list(group)
-        out = []
-        for r in (r for r in rows if r["resolved"]):
-            out += _shared_rows(_owners([r]), _owners([r], "tags"), _blob([r], "starts", "<u4"), _blob([r], "sizes", np.uint8), _blob([r], "hashes", "<u8"))
-        rows = [r for r in rows if not r["resolved"]]
+        parts, rest = [], list(group)
+        for r in (r for r in rest if r["resolved"]):
+            parts.append((_owners([r]), _owners([r], "tags"), _blob([r], "starts", "<u4"), _blob([r], "sizes", np.uint8), _blob([r], "hashes", "<u8")))
+        rows, n_runs, busy, load = [r for r in rest if not r["resolved"]], 0, [], []
         if rows:
             ids, tags, starts, sizes = _owners(rows), _owners(rows, "tags"), _blob(rows, "starts", "<u4"), _blob(rows, "sizes", np.uint8)
             h40 = np.zeros((len(ids), 8), np.uint8)
@@ -193,11 +188,21 @@ def _answer(batches: Iterator[pa.RecordBatch], n: int, hot_runs: int) -> Iterato
             shared = ids[o[g[:-1]]] != ids[o[g[1:] - 1]]
             load = np.add.reduceat(weights[o], g[:-1])
             keep = o[np.repeat(shared, np.diff(g))]
-            if len(keep):
-                out += _shared_rows(ids[keep], tags[keep], starts[keep], sizes[keep], _key(h40[keep], bucket, n))
+            keys = _key(h40, bucket, n)
+            parts.append((ids[keep], tags[keep], starts[keep], sizes[keep], keys[keep]))
             hot = load > hot_runs
-            out.append((None, None, b"", b"", b"", int(weights.sum()), _key(h40[o[g[:-1][hot]]], bucket, n).view(np.int64).tolist(), load[hot].tolist()))
-        yield record(SHARED, **{f.name: [r[i] for r in out] for i, f in enumerate(SHARED)})
+            n_runs, busy, load = int(weights.sum()), keys[o[g[:-1][hot]]].view(np.int64).tolist(), load[hot].tolist()
+        found = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        values = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int32) if c.dtype.itemsize < 8 else c, f.type) for c, f in zip(found, SHARED, strict=False)]
+        size = len(found[0])
+        yield pa.RecordBatch.from_arrays([*values, *(pa.nulls(size, f.type) for f in list(SHARED)[5:])], schema=SHARED)
+        yield record(SHARED, doc_id=[None], tag=[None], start=[None], size=[None], hash=[None], n_runs=[n_runs], hot=[busy], hot_runs=[load])
+
+
+def _lists(column: pa.ListArray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The fields of a column of lists of structures, flat, and where each row's begin (one more entry than rows)."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return [f.to_numpy(zero_copy_only=False) for f in column.flatten().flatten()], np.concatenate([[0], np.cumsum(sizes)])
 
 
 def _texts_of_runs(batches: Iterator[pa.RecordBatch], n: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -207,13 +212,14 @@ def _texts_of_runs(batches: Iterator[pa.RecordBatch], n: int, hot: np.ndarray) -
         columns: list[tuple] = []  # of each document: its place, and the start, hash and piece of each run
         asked = batch.filter(batch.column("runs").is_valid())
         ids, tags = asked.column("doc_id").to_numpy(), asked.column("tag").to_numpy()
-        for at, row in enumerate(asked.select(["z", "n_bytes", "runs"]).to_pylist()):
-            text = pa.decompress(row["z"], row["n_bytes"], codec="zstd", asbytes=True)
-            starts, first = np.unique(_blob(row["runs"], "starts", "<u4"), return_index=True)
-            sizes, hashes = _blob(row["runs"], "sizes", np.uint8)[first], _blob(row["runs"], "hashes", "<u8")[first]
+        (all_starts, all_sizes, all_hashes), cuts = _lists(asked.column("runs"))
+        for at, row in enumerate(asked.select(["z", "n_bytes"]).to_pylist()):
+            text, mine = pa.decompress(row["z"], row["n_bytes"], codec="zstd", asbytes=True), slice(cuts[at], cuts[at + 1])
+            starts, first = np.unique(all_starts[mine], return_index=True)
+            sizes, hashes = all_sizes[mine][first], all_hashes[mine][first].view(np.uint64)
             if len(hot) and (anew := np.isin(hashes, hot)).any():
-                single = np.concatenate([np.arange(s, s + c) for s, c in zip(starts[anew].tolist(), sizes[anew].tolist(), strict=True)]).astype(np.uint32)
-                starts, sizes = np.concatenate([starts[~anew], single]), np.concatenate([sizes[~anew], np.ones(len(single), np.uint8)])
+                single = np.concatenate([np.arange(s, s + c) for s, c in zip(starts[anew].tolist(), sizes[anew].tolist(), strict=True)])
+                starts, sizes = np.concatenate([starts[~anew], single]), np.concatenate([sizes[~anew], np.ones(len(single), np.int64)])
                 hashes = np.concatenate([hashes[~anew], np.array([xxhash.xxh64_intdigest(text[j : j + WIDTH]) for j in single.tolist()], np.uint64)])
             which = [pieces.setdefault(text[a:b], len(pieces)) for a, b in zip(starts.tolist(), (starts.astype(np.int64) + sizes + (WIDTH - 1)).tolist(), strict=True)]
             columns.append((np.full(len(which), at), starts, hashes, np.array(which, np.int64)))
@@ -230,25 +236,27 @@ def _texts_of_runs(batches: Iterator[pa.RecordBatch], n: int, hot: np.ndarray) -
         for b, rs, docs, counts in _dealt((_mix(hashes[kept]) % np.uint64(n)).astype(np.int32), doc[kept]):
             r = kept[rs]
             rows.append((b, ids[docs], tags[docs], counts.astype(np.int32), starts[r].astype("<u4").tobytes(), (lens[which[r]] - WIDTH + 1).astype(np.uint8).tobytes(), pa.compress(b"".join([texts[k] for k in which[r].tolist()]), codec="zstd", asbytes=True), b""))
-        for d, tag, s, e in _stretches(ids[doc[gone]], tags[doc[gone]], starts[gone].astype(np.int64), starts[gone] + lens[which[gone]]):
-            rows.append((int(_mix(np.array([tag], np.int64).view(np.uint64))[0] % np.uint64(n)), [d], [tag], [len(s) // 4], s, b"", b"", e))
+        ready = _stretches(ids[doc[gone]], tags[doc[gone]], starts[gone].astype(np.int64), starts[gone] + lens[which[gone]])
+        other = np.flatnonzero((ready[0][1:] != ready[0][:-1]) | (ready[1][1:] != ready[1][:-1])) + 1
+        cuts = [0, *other.tolist(), len(ready[0])] if len(ready[0]) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            to = int(_mix(ready[1][a : a + 1].view(np.uint64))[0] % np.uint64(n))
+            rows.append((to, ready[0][a : a + 1], ready[1][a : a + 1], [b - a], ready[2][a:b].astype("<u4").tobytes(), b"", b"", ready[3][a:b].astype("<u4").tobytes()))
         yield record(SNIPPETS, **{f.name: [r[i] for r in rows] for i, f in enumerate(SNIPPETS)})
 
 
-def _stretches(ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, bytes, bytes]]:
-    """Of each document: its stretches' starts and ends, touching ones joined."""
+def _stretches(ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches by document (id, tag, start, end), touching ones of a document joined."""
+    o = np.lexsort((starts, ids, tags))
+    ids, tags, starts, ends = ids[o], tags[o], starts[o], ends[o]
     if not len(ids):
-        return []
-    o = np.lexsort((starts, tags, ids))
-    ids, tags = ids[o], tags[o]
-    edge = np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])
-    ahead = (np.cumsum(edge) - 1) << 33  # keeps documents apart; a text has under 2^31 bytes
-    starts, ends = joined(starts[o] + ahead, ends[o] + ahead)
-    group = starts >> 33
-    heads = _groups(group)
-    starts, ends = (starts & ((1 << 33) - 1)).astype("<u4"), (ends & ((1 << 33) - 1)).astype("<u4")
-    first = np.flatnonzero(edge)
-    return [(d, t, starts[a:b].tobytes(), ends[a:b].tobytes()) for d, t, a, b in zip(ids[first].tolist(), tags[first].tolist(), heads[:-1].tolist(), heads[1:].tolist(), strict=True)]
+        return ids, tags, starts, ends
+    other = np.concatenate([[False], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])
+    ahead = np.cumsum(other) << 33  # keeps documents apart; a text has under 2^31 bytes
+    starts, ends = joined(starts + ahead, ends + ahead)
+    document = starts >> 33
+    first = np.concatenate([[0], np.flatnonzero(other)])[document]
+    return ids[first], tags[first], starts - (document << 33), ends - (document << 33)
 
 
 def joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -350,7 +358,8 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each bucket: the stretches to be removed, by document."""
     for _, group in _by_bucket(batches):
         rows = list(group)
-        out = [(r["ids"][0], r["tags"][0], r["starts"], r["ends"]) for r in rows if r["ends"]]
+        for r in (r for r in rows if r["ends"]):
+            yield _stretch_batch(_owners([r]), _owners([r], "tags"), _blob([r], "starts", "<u4"), _blob([r], "ends", "<u4"))
         rows = [r for r in rows if not r["ends"]]
         if rows:
             ids, tags, starts, sizes = _owners(rows), _owners(rows, "tags"), _blob(rows, "starts", "<u4").astype(np.int64), _blob(rows, "sizes", np.uint8).astype(np.int64)
@@ -386,24 +395,26 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 new = np.concatenate([[True], (occurrence[1:] != occurrence[:-1]) | (offset[1:] != offset[:-1] + 1)])
                 f, t = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(new)) - 1
                 of = occurrence[f]
-                out += _stretches(ids[of], tags[of], starts[of] + offset[f], starts[of] + offset[t] + WIDTH)
-        yield record(STRETCHES, **{f.name: [r[i] for r in out] for i, f in enumerate(STRETCHES)})
+                yield _stretch_batch(*_stretches(ids[of], tags[of], starts[of] + offset[f], starts[of] + offset[t] + WIDTH))
+
+
+def _stretch_batch(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype()), f.type) for c, f in zip(columns, STRETCHES, strict=True)], schema=STRETCHES)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches, "z"):
         rows = []
-        for row in batch.to_pylist():
+        (starts, ends), cuts = _lists(batch.column("stretches"))
+        for at, row in enumerate(batch.select(["doc_id", "z", "n_bytes"]).to_pylist()):
             text = pa.decompress(row["z"], row["n_bytes"], codec="zstd", asbytes=True) if row["n_bytes"] else b""
-            kept, n_spans = remaining(text, row["stretches"] or [])
+            kept, n_spans = remaining(text, starts[cuts[at] : cuts[at + 1]], ends[cuts[at] : cuts[at + 1]])
             rows.append((row["doc_id"], len(text), len(text) - len(kept), n_spans, hashlib.sha256(kept).hexdigest()))
         yield record(CUT, **{f.name: [r[i] for r in rows] for i, f in enumerate(CUT)})
 
 
-def remaining(text: bytes, stretches: list) -> tuple[bytes, int]:
+def remaining(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int]:
     """The bytes outside the stretches, and how many runs of bytes those make."""
-    starts = np.frombuffer(b"".join(s["starts"] for s in stretches), "<u4").astype(np.int64)
-    ends = np.frombuffer(b"".join(s["ends"] for s in stretches), "<u4").astype(np.int64)
     if not len(starts):
         return text, 0
     o = np.argsort(starts, kind="stable")
@@ -435,8 +446,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packed = known.mapInArrow(_packed, "doc_id long, tag long, n_bytes long, z binary")
     by_doc = ["doc_id", "tag"]
     # A left join as below, so that both read one exchange of the texts; rows without runs are passed over by the function.
-    with_runs = packed.join(shared.where("doc_id is not null").groupBy(*by_doc).agg(F.collect_list(F.struct("starts", "sizes", "hashes")).alias("runs")), by_doc, "left")
+    with_runs = packed.join(shared.where("doc_id is not null").groupBy(*by_doc).agg(F.collect_list(F.struct("start", "size", "hash")).alias("runs")), by_doc, "left")
     snippets = with_runs.mapInArrow(partial(_texts_of_runs, n=2 * n, hot=hot), _ddl(SNIPPETS)).repartition(tasks, F.xxhash64("bucket")).sortWithinPartitions("bucket")
-    stretches = snippets.mapInArrow(_sorted, _ddl(STRETCHES)).groupBy(*by_doc).agg(F.collect_list(F.struct("starts", "ends")).alias("stretches"))
-    others = named.where("doc_id is null").mapInArrow(_packed, "doc_id long, tag long, n_bytes long, z binary").withColumn("stretches", F.lit(None).cast("array<struct<starts:binary,ends:binary>>"))
+    stretches = snippets.mapInArrow(_sorted, _ddl(STRETCHES)).groupBy(*by_doc).agg(F.collect_list(F.struct("start", "end")).alias("stretches"))
+    others = named.where("doc_id is null").mapInArrow(_packed, "doc_id long, tag long, n_bytes long, z binary").withColumn("stretches", F.lit(None).cast("array<struct<start:int,end:int>>"))
     return packed.join(stretches, by_doc, "left").unionByName(others).mapInArrow(_cut, _ddl(CUT))
