@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavegrade import schemas
+from wavegrade.operators import intime, ordering
 from wavegrade.sources import io
 from wavegrade.sources.views import B, SECOND_NS, WAVE_NS
 from wavegrade.streaming import live
@@ -17,12 +15,7 @@ QUERIES, ORACLES = {}, {}
 _md5 = "('0x' || substr(md5(order_id), 1, 15))::bigint"
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that all machines share; local sessions may do without the setting."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
-    return f"{found or '/tmp/spark-shared'}/feeds-{uuid.uuid4().hex}"
+folder, stored = io.scratch, io.stored
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -39,12 +32,6 @@ def query(oracle: str):
     return add
 
 
-def stored(df: DataFrame, **options) -> DataFrame:
-    path = folder(df.sparkSession)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def streamed(df: DataFrame) -> DataFrame:
     """df as a stream over files."""
     path = folder(df.sparkSession)
@@ -290,6 +277,77 @@ def T09_join_window(spark, sf_dir):
     return live.run(pairs, folder(spark)).groupBy("session_id").agg(F.count("*").alias("n"), F.sum("fill_qty").alias("filled"))
 
 
+# Answers of some orders at 499 and 501 ms after them.
+_late = "select session_id, order_id, exec_type, fill_qty, fill_price, t3 + late as t3, t7 + late as t7 from (select a.*, case cast(order_id as bigint) % 97 when 5 then 498000000 when 6 then 500000000 else 0 end as late from orders_acked a) q"
+_in_time = f"""select session_id, order_id, case when sent and count(t3) > 0 then 'matched' when sent and bool_or(timed_out) then 'lost' when sent then 'gap' when bool_or(fill_qty > 0 and exec_type in ('1', '2', 'F')) then 'phantom' else 'unsent' end as outcome, count(t3) as n_acks, cast(coalesce(sum(fill_qty), 0) as bigint) as filled
+from (select coalesce(s.session_id, a.session_id) as session_id, coalesce(s.order_id, a.order_id) as order_id, s.order_id is not null as sent, s.timed_out, a.t3, a.fill_qty, a.exec_type
+  from orders_sent s full outer join (select distinct session_id, order_id, exec_type, t3, t7, fill_qty, fill_price from ({_late}) l) a on a.session_id = s.session_id and a.order_id = s.order_id and a.t3 >= s.t0 and a.t3 <= s.t0 + 500000000) q
+group by session_id, order_id, sent"""
+
+
+def ended(df: DataFrame, *times: str) -> DataFrame:
+    """df with an end mark, an hour after its last event: it moves the watermark past all of them. Its other columns are empty, not null, as joins drop null keys before the watermark sees them."""
+    blank = lambda f: F.lit("" if f.dataType.typeName() == "string" else False if f.dataType.typeName() == "boolean" else 0).cast(f.dataType)
+    top = df.agg(*((F.max(t) + 3600 * SECOND_NS).alias(t) for t in times))
+    return df.unionByName(top.select(*(F.col(f.name) if f.name in times else blank(f).alias(f.name) for f in df.schema)))
+
+
+@query(_in_time)
+def J01_in_time(spark, sf_dir):
+    return intime.outcomes(view(spark, sf_dir, "orders_sent"), view(spark, sf_dir, _late))
+
+
+@query(_in_time)
+def T09_outcomes_in_time(spark, sf_dir):
+    """The stream of J01_in_time."""
+    sent, acked = streamed(ended(view(spark, sf_dir, "orders_sent"), "t0")), streamed(ended(view(spark, sf_dir, _late), "t3"))
+    return intime.classified(live.run(live.outcomes_in_time(sent, acked), folder(spark)).where("coalesce(s_session, session_id) <> ''"))
+
+
+# Answers of some orders come six seconds late: their requests are evicted before.
+_slow = f"select session_id, order_id, t7 + case when cast(order_id as bigint) % 41 = 3 then {6 * SECOND_NS} else 0 end as t7 from orders_acked"
+
+
+@query(f"select s.session_id, s.order_id, min(a.t7) - min(s.t1) as first_ns, count(a.t7) as answers, count(a.t7) = 0 as evicted from orders_sent s left join ({_slow}) a on a.session_id = s.session_id and a.order_id = s.order_id and a.t7 // 1000 between s.t1 // 1000 and s.t1 // 1000 + 5000000 group by s.session_id, s.order_id")
+def T12_in_flight(spark, sf_dir):
+    requests = view(spark, sf_dir, "select session_id, order_id, t1 as t3 from orders_sent")
+    pairs = live.run(live.answered_or_evicted(streamed(ended(requests, "t3")), streamed(ended(view(spark, sf_dir, _slow), "t7"))), folder(spark))
+    return pairs.where("session_id <> ''").groupBy("session_id", "order_id").agg((F.min("t7") - F.min("t3")).alias("first_ns"), F.count("t7").alias("answers"), (F.count("t7") == 0).alias("evicted"))
+
+
+@query("select session_id, order_id, max(t3) over (partition by session_id, src_ip, src_port order by tcp_seq, cast(order_id as bigint)) as eff_t3 from (select session_id, order_id, src_ip, src_port, tcp_seq, min(t3) as t3 from orders_acked group by all) q")
+def T10_arrival_order(spark, sf_dir):
+    """Shuffled input: the files' rows lie by a hash of their order."""
+    one = view(spark, sf_dir, "select session_id, order_id, src_ip, src_port, tcp_seq, min(t3) as t3 from orders_acked group by session_id, order_id, src_ip, src_port, tcp_seq")
+    found = live.run(live.in_arrival_order(streamed(ended(one.withColumn("src_ip", F.col("src_ip").cast("long")).withColumn("src_port", F.col("src_port").cast("long")).orderBy(F.xxhash64("order_id")), "t3"))), folder(spark))
+    return found.where("session_id <> ''").select("session_id", "order_id", "eff_t3")
+
+
+_flows = "(select session_id, order_id, src_ip, src_port, tcp_seq, min(t3) as t3, min(t7) as min_t7 from orders_acked group by all)"
+_steps = f"(select *, src_ip * 65536 + src_port as flow, row_number() over (partition by session_id order by min_t7, eff_t3, src_ip, src_port, tcp_seq, order_id::bigint) as step from (select *, max(t3) over (partition by session_id, src_ip, src_port order by tcp_seq, order_id::bigint) as eff_t3 from {_flows} f) e)"
+_pairs = f"select a.session_id, a.order_id, any_value(a.t3) as t3, max(b.t3) as other_t3 from {_steps} a left join {_steps} b on b.session_id = a.session_id and b.step < a.step and b.flow <> a.flow group by a.session_id, a.order_id"
+
+
+@query(f"select session_id, order_id, eff_t3, row_number() over (partition by session_id order by eff_t3, src_ip, src_port, tcp_seq, order_id::bigint) as nth from {_steps} q")
+def W05_replay_order(spark, sf_dir):
+    return ordering.replay_order(view(spark, sf_dir, "orders_acked")).select("session_id", "order_id", "eff_t3", "nth")
+
+
+@query(f"select session_id, order_id from (select *, lag(tcp_seq) over (partition by session_id, flow order by step) as before from {_steps} q) z where (tcp_seq - before + 2147483648 + 4294967296) % 4294967296 - 2147483648 <= 0")
+def W06_flow_order(spark, sf_dir):
+    return ordering.flow_breaches(view(spark, sf_dir, "orders_acked"))
+
+
+@query(f"select session_id, order_id, other_t3 from ({_pairs}) q")
+def W07_cross_flow(spark, sf_dir):
+    return ordering.cross_flow(view(spark, sf_dir, "orders_acked")).drop("t3")
+
+
+@query(f"select session_id, order_id, coalesce(other_t3 > t3, false) as inversion, case when other_t3 > t3 then other_t3 - t3 else 0 end as jitter_ns, coalesce(other_t3 - t3 > 500000, false) as violation from ({_pairs}) q")
+def P21_cross_flow_predicate(spark, sf_dir):
+    return ordering.jitter(view(spark, sf_dir, "orders_acked"))
+
+
 _released = "select session_id, min(t7) + 5000000000 as released_ns from orders_acked group by session_id"
 
 

@@ -60,7 +60,6 @@ QUERIES = {
     "P16_shard": "select order_id, pmod(cast(conv(substr(md5(order_id), 1, 15), 16, 10) as bigint), 24) as shard, pmod(cast(task_id * 4 + pmod(cast(conv(substr(md5(order_id), 1, 15), 16, 10) as bigint), 4) as bigint), 24) as banded from orders_sent",
     "P17_uuid_time": "select order_id, cast(conv(substr(replace(id, '-', ''), 1, 12), 16, 10) as bigint) as ms from (select order_id, concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-7000-8000-000000000000') as id from (select order_id, lower(lpad(hex(t0 div 1000000), 12, '0')) as h from orders_sent) q) u where substr(id, 15, 1) = '7'",
     "P18_protocol_list": "select team_name, array_join(transform(split(list, ','), x -> upper(trim(x))), ',') as protocols, size(array_distinct(transform(split(list, ','), x -> upper(trim(x))))) < size(split(list, ',')) as has_repeats from (select team_name, concat(' fix, ', case when disqualified then 'FIX' else 'rest' end, ' ,', contestant_id) as list from scores) q",
-    "P21_cross_flow_predicate": "select session_id, order_id, coalesce(other_t3 > t3, false) as inversion, case when other_t3 > t3 then other_t3 - t3 else 0 end as jitter_ns, coalesce(other_t3 - t3 > 500000, false) as violation from cross_flow",
     "P25_overlap": f"select task_id, greatest(least(start_offset_ns + duration_ns, {2 * WAVE_NS}) - greatest(start_offset_ns, {WAVE_NS}), 0) as overlap_ns from tasks",
     "P32_warmup_trim": f"select session_id, second_ns, n from (select q.*, min(second_ns) over (partition by session_id) as first_ns from (select session_id, t7 - t7 % {SECOND_NS} as second_ns, count(*) as n from orders_acked group by session_id, t7 - t7 % {SECOND_NS}) q) z where second_ns >= first_ns + {2 * SECOND_NS}",
     "P34_id_admission": "select session_id, count(*) filter (where cl_ord_id <> '') as admitted, count(*) filter (where length(cl_ord_id) > 4) as long_ids from messages group by session_id",
@@ -86,9 +85,6 @@ QUERIES = {
     "A41_violation_summary": "select class, n from (select case when outcome = 'lost' then 'lost' else 'overfill' end as class, count(*) as n from outcomes where outcome = 'lost' or filled > qty group by case when outcome = 'lost' then 'lost' else 'overfill' end) q order by n desc, class",
     "A43_run_gate": "select r.session_id, coalesce(m.n, 0) > 0 and coalesce(o.n, 0) > 0 as passes from runs r left join (select session_id, count(*) as n from metrics group by session_id) m on m.session_id = r.session_id left join (select session_id, count(*) as n from outcomes group by session_id) o on o.session_id = r.session_id",
     "W02_rank_of": "select g.run_group_id, count(*) as place from (select * from scores where run_group_id = 'g7') g join scores s on named_struct('a', s.disqualified, 'b', -s.peak_sustained_tps, 'c', s.p99_at_peak_ns, 'd', s.spike_recovery_ns, 'e', -s.total_correctness, 'f', s.run_group_id) <= named_struct('a', g.disqualified, 'b', -g.peak_sustained_tps, 'c', g.p99_at_peak_ns, 'd', g.spike_recovery_ns, 'e', -g.total_correctness, 'f', g.run_group_id) group by g.run_group_id",
-    "W05_replay_order": "select session_id, order_id, eff_t3, nth from replayed",
-    "W06_flow_order": "select session_id, order_id from (select p.*, lag(tcp_seq) over (partition by session_id, flow order by step) as before from processed p) q where before is not null and (tcp_seq - before + 2147483648 + 4294967296) % 4294967296 - 2147483648 <= 0",
-    "W07_cross_flow": "select session_id, order_id, other_t3 from cross_flow",
     "W09_carry_forward": "select session_id, shard, second_ns, max(cum) over (partition by session_id, shard order by second_ns rows between unbounded preceding and current row) as carried from (select g.session_id, g.shard, g.second_ns, q.cum from (select s.session_id, s.shard, t.second_ns from (select distinct session_id, shard from shard_seconds) s join (select distinct session_id, second_ns from shard_seconds) t on t.session_id = s.session_id) g left join (select session_id, shard, second_ns, cast(sum(n) over (partition by session_id, shard order by second_ns rows between unbounded preceding and current row) as bigint) as cum from (select session_id, shard, second_ns, sum(n) as n from shard_seconds group by session_id, shard, second_ns) a) q on q.session_id = g.session_id and q.shard = g.shard and q.second_ns = g.second_ns) z",
     "W10_differences": "select session_id, wave, responded - coalesce(lag(responded) over (partition by session_id order by wave), 0) as step from window_counters",
     "W11_newest_of_wave": "select session_id, wave, second_ns, second_ns = max(second_ns) over (partition by session_id, wave) as newest from (select distinct session_id, wave, second_ns from shard_seconds) q",
@@ -153,7 +149,6 @@ ORACLES = {
     "P16_shard": f"select order_id, {_md5} % 24 as shard, (task_id * 4 + {_md5} % 4) % 24 as banded from orders_sent",
     "P17_uuid_time": "select order_id, t0 // 1000000 as ms from orders_sent",
     "P18_protocol_list": "select team_name, concat('FIX,', case when disqualified then 'FIX' else 'REST' end, ',', upper(contestant_id)) as protocols, disqualified as has_repeats from scores",
-    "W07_cross_flow": "select a.session_id, a.order_id, max(b.t3) as other_t3 from processed a left join processed b on b.session_id = a.session_id and b.step < a.step and b.flow <> a.flow group by a.session_id, a.order_id",
     "P11_fix_fields": "select session_id, 'out' as direction, t7 as at_ns, '8' as msg_type, order_id as cl_ord_id, '' as orig_id, exec_type, fill_qty from orders_acked union all select session_id, 'in', t1, case payload_type when 'CANCEL' then 'F' when 'REPLACE' then 'G' else 'D' end, order_id, orig_order_id, '', 0 from orders_sent",
     "A05_second_slices": f"select session_id, wave, t7 - t7 % {SECOND_NS} as second_ns, bucket_hi, count(*) as n from (select a.*, ((v >> b) << b) + (1::bigint << b) - 1 as bucket_hi from (select a.*, greatest(t7 - t3, 1) as v, greatest(length(bin(greatest(t7 - t3, 1) | 2047)) - 11, 0)::int as b from first_acks a) a) q group by all",
 }

@@ -6,6 +6,9 @@ new content of their target; the caller writes it beside the old one and swaps,
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,28 @@ from wavegrade import schemas
 SECOND_NS = 1_000_000_000
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all machines share; local sessions may do without the setting."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+    return f"{found or '/tmp/spark-shared'}/feeds-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, **options) -> DataFrame:
+    """df as a table in a new shared folder, read again: its rows and partitions stay what they are."""
+    path = scratch(df.sparkSession)
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def newest(source: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row for each key: the last by order, ties by all columns; rows that are equal in both are one."""
+    cols = [c for c in source.columns if c not in keys]
+    last = F.max_by(F.struct(*cols), F.struct(*(order or []), *(c for c in cols if c not in (order or [])))) if cols else None
+    return source.groupBy(*keys).agg(last.alias("_row")).select(*keys, "_row.*").select(*source.columns) if cols else source.distinct()
+
+
 def read_sent(batches: DataFrame) -> DataFrame:
     """A row for each event of the batches, with the envelope's fields."""
     return batches.select("session_id", "contestant_id", "barrier_epoch_ns", F.inline("events"))
@@ -68,9 +93,9 @@ def write_partial(rows: DataFrame, path: str, time_col: str = "second_ns") -> No
     rows.withColumn("event_hour", F.floor(F.col(time_col) / (3600 * SECOND_NS))).write.mode("append").partitionBy("event_hour").parquet(path)
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """The target's rows, those of source taking the place of rows with the same key."""
-    return target.join(source.select(*keys).distinct(), keys, "left_anti").unionByName(source)
+def upsert(target: DataFrame, source: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """The target's rows, those of source taking the place of rows with the same key; of several with one key the last by order."""
+    return target.join(source.select(*keys).distinct(), keys, "left_anti").unionByName(newest(source, keys, order))
 
 
 def live_view(snapshots: DataFrame, now_ns: int, ttl_ns: int = 3600 * SECOND_NS) -> DataFrame:
@@ -82,7 +107,9 @@ def live_view(snapshots: DataFrame, now_ns: int, ttl_ns: int = 3600 * SECOND_NS)
 
 
 def claim_upsert(target: DataFrame, source: DataFrame, key: str = "session_id") -> DataFrame:
-    """A row is taken if its key is new, or if the old one is timed_out and it is scored; claimed says whether this source's row won."""
+    """A row is taken if its key is new, or if the old one is timed_out and it is scored; claimed says whether this source's row won.
+    Of several source rows with one key a scored one goes before others, then the greatest by its columns."""
+    source = newest(source.withColumn("_scored", F.col("status") == "scored"), [key], ["_scored"]).drop("_scored")
     old = target.select(key, F.struct(*(c for c in target.columns if c != key)).alias("old"))
     new = source.select(key, F.struct(*(c for c in target.columns if c != key)).alias("new"))
     both = old.join(new, key, "full_outer")
@@ -98,8 +125,8 @@ def fold_progress(status: DataFrame, correctness: DataFrame) -> DataFrame:
 
 
 def insert_absent(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
-    """The rows of source whose key the target lacks, to be appended."""
-    return source.join(target.select(key), key, "left_anti")
+    """The rows of source whose key the target lacks, to be appended; of several with one key one."""
+    return newest(source, [key]).join(target.select(key), key, "left_anti")
 
 
 def to_kafka(rows: DataFrame, key: str) -> DataFrame:

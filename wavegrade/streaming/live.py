@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from wavegrade.operators import intime
 from wavegrade.sources import io
 
 WAVE_NS, SECOND_NS = 20_000_000_000, 1_000_000_000
@@ -30,6 +34,7 @@ def wave(time_col: str, origin_col: str, wave_ns: int = WAVE_NS) -> Column:
 def run(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Drain a streaming DataFrame (all input there is) and return what it gave. Append goes to Parquet under path; other modes keep the newest result of a table that is small, in a table of the session."""
     spark, name = stream.sparkSession, f"live_{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/{name}-state")
     if mode == "append":
         writer.format("parquet").option("path", f"{path}/{name}").start().awaitTermination()
@@ -88,6 +93,78 @@ def matched_in_window(sent: DataFrame, acked: DataFrame, window: str = "500 mill
     return a.join(s, F.expr(f"session_id = s_session and order_id = s_order and at between sent_at and sent_at + interval {window}")).select("session_id", "order_id", "t3", "t7", "exec_type", "fill_qty")
 
 
+def outcomes_in_time(sent: DataFrame, acked: DataFrame, window_ns: int = intime.WINDOW_NS, skew_ns: int = 0, late: str = "2 seconds") -> DataFrame:
+    """T09, J01 as a stream: a full outer join inside the window. Pairs come at once; orders and answers that found none come once the watermark has
+    passed their window. An answer's event time is its t3, so that late fills of an old order are not late. The times of the join are microseconds
+    and hold one more on each side than the window; the nanoseconds decide. Redelivered answers are dropped while the watermark remembers them."""
+    s, a = intime.sides(sent, acked)
+    s = s.withColumn("sent_at", at("t0")).withWatermark("sent_at", late)
+    a = a.withColumn("at", at("t3")).withWatermark("at", late).dropDuplicatesWithinWatermark(intime.ANSWER)
+    around = F.expr(f"at >= sent_at - interval {skew_ns // 1000 + 1} microseconds and at <= sent_at + interval {window_ns // 1000 + 1} microseconds")
+    keys = (F.col("s_session") == F.col("session_id")) & (F.col("s_order") == F.col("order_id"))
+    return s.join(a, keys & around & intime.in_window(window_ns, skew_ns), "full_outer").drop("sent_at", "at")
+
+
+def answered_or_evicted(requests: DataFrame, responses: DataFrame, idle: str = "5 seconds") -> DataFrame:
+    """T12, J05 as a stream: each answer with the earliest request of its id, if it came within idle; requests without one are given out with a null t7
+    when the watermark has passed that time, and leave the state. There is no capacity: state goes to the state store. Requests: session_id,
+    order_id, t3; responses: session_id, order_id, t7."""
+    r = requests.select(F.col("session_id").alias("r_session"), F.col("order_id").alias("r_order"), "t3", at("t3").alias("asked_at")).withWatermark("asked_at", idle).dropDuplicatesWithinWatermark(["r_session", "r_order"])
+    a = responses.select("session_id", "order_id", "t7", at("t7").alias("answered_at")).withWatermark("answered_at", idle)
+    near = F.expr(f"r_session = session_id and r_order = order_id and answered_at >= asked_at and answered_at <= asked_at + interval {idle}")
+    return r.join(a, near, "left_outer").select(F.col("r_session").alias("session_id"), F.col("r_order").alias("order_id"), "t3", "t7")
+
+
+class FlowBuffer(StatefulProcessor):
+    """Of one flow: the records that the watermark has not passed, and the greatest t3 released."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", StructType([StructField("order_id", StringType()), StructField("tcp_seq", LongType()), StructField("t3", LongType())]))
+        self.reached = handle.getValueState("reached", StructType([StructField("t3", LongType())]))
+
+    def _set_timer(self, rows: list[tuple]) -> None:
+        for old in self.handle.listTimers():
+            self.handle.deleteTimer(old)
+        if rows:
+            self.handle.registerTimer(min(r[2] for r in rows) // 1_000_000 + 1)
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(o, int(s), int(t)) for part in rows for o, s, t in part[["order_id", "tcp_seq", "t3"]].itertuples(index=False)]
+        self.waiting.appendList(new)
+        self._set_timer([tuple(r) for r in self.waiting.get()])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1_000_000
+        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[1], int(r[0] or 0)))
+        n = next((i for i, r in enumerate(rows) if r[2] >= passed), len(rows))  # the flow's order holds back what comes after a younger record
+        top = self.reached.get()[0] if self.reached.exists() else None
+        out = []
+        for order_id, _, t3 in rows[:n]:
+            top = t3 if top is None else max(top, t3)
+            out.append((*key, order_id, top))
+        if rows[n:]:
+            self.waiting.put(rows[n:])
+        else:
+            self.waiting.clear()
+        if top is not None:
+            self.reached.update((top,))
+        waiting = [r for r in rows[n:] if r[2] >= passed]
+        self._set_timer(waiting)
+        yield pd.DataFrame(out, columns=["session_id", "src_ip", "src_port", "order_id", "eff_t3"])
+
+    def close(self) -> None:
+        pass
+
+
+def in_arrival_order(acked: DataFrame, late: str = "2 seconds") -> DataFrame:
+    """T10, W04 as a stream: records of a flow in sequence order, each with the greatest t3 up to it, given out when the watermark has passed
+    them and all before them. A flow keeps what the watermark holds back and one number. Needs the RocksDB state store."""
+    timed = acked.select("session_id", "src_ip", "src_port", "order_id", "tcp_seq", "t3", at("t3").alias("at")).withWatermark("at", late)
+    return timed.groupBy("session_id", "src_ip", "src_port").transformWithStateInPandas(FlowBuffer(), "session_id string, src_ip long, src_port long, order_id string, eff_t3 long", "Append", "EventTime")
+
+
 def late_counts(events: DataFrame, released: DataFrame) -> DataFrame:
     """Of each session the records at or above the released time, and those below, which are counted and dropped."""
     joined = events.join(F.broadcast(released), "session_id", "left")
