@@ -9,7 +9,7 @@ from wavegrade import schemas
 from wavegrade.operators import intime, ordering
 from wavegrade.sources import io
 from wavegrade.sources.views import B, SECOND_NS, WAVE_NS
-from wavegrade.streaming import live
+from wavegrade.streaming import live, sinks
 
 QUERIES, ORACLES = {}, {}
 _md5 = "('0x' || substr(md5(order_id), 1, 15))::bigint"
@@ -32,11 +32,22 @@ def query(oracle: str):
     return add
 
 
-def streamed(df: DataFrame) -> DataFrame:
-    """df as a stream over files."""
+def streamed(df: DataFrame, batches: int = 0) -> DataFrame:
+    """df as a stream over files; with batches, over so many files of which each makes a batch."""
     path = folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+    (df.repartition(batches) if batches else df).write.parquet(path)
+    reader = df.sparkSession.readStream.schema(df.schema)
+    return (reader.option("maxFilesPerTrigger", 1) if batches else reader).parquet(path)
+
+
+def twice(sink):
+    """The sink as Spark may call it: every batch comes again with its number."""
+
+    def again(batch, batch_id):
+        sink(batch, batch_id)
+        sink(batch, batch_id)
+
+    return again
 
 
 _json = lambda df, *cols: df.select(F.to_json(F.struct(*cols)).alias("value"))
@@ -390,3 +401,54 @@ def T18_ready_trigger(spark, sf_dir):
     graded = view(spark, sf_dir, _graded).select("session_id", F.lit(0.5).alias("correctness_score"), "scored", "dirty", F.lit(1).alias("at_ns"))
     progress = io.fold_progress(runs.select("session_id", "status", F.lit(1).alias("at_ns")), graded)
     return live.ready_groups(runs.select("session_id", "run_group_id"), progress, runs.where("run_group_id = 'g1'"))
+
+
+_seconds_schema = "session_id string, wave long, second_ns long, offered long, errors long"
+
+
+@query(_seconds)
+def S10_append_once(spark, sf_dir):
+    """Partial rows through a sink that gets every batch twice."""
+    rows, path = view(spark, sf_dir, _seconds), folder(spark)
+    schema = _seconds_schema + ", batch_id long"
+    sinks.drain(streamed(rows, 3), twice(sinks.appending(path, schema)), folder(spark))
+    return sinks.table(spark, path, schema).drop("batch_id")
+
+
+@query(f"select session_id, wave, max(second_ns) as second_ns, arg_max(offered, second_ns) as offered, arg_max(errors, second_ns) as errors from ({_seconds}) q group by session_id, wave")
+def S11_upsert_stream(spark, sf_dir):
+    """The newest second of each wave, from batches with several rows of a key, each batch twice; rows go by session."""
+    path = folder(spark)
+    newest = sinks.merging(path, _seconds_schema, ["session_id"], lambda old, new, _: io.newest(old.unionByName(new.select(*old.columns)), ["session_id", "wave"], ["second_ns"]))
+    sinks.drain(streamed(view(spark, sf_dir, _seconds), 3), twice(newest), folder(spark))
+    return sinks.table(spark, path, _seconds_schema)
+
+
+_claim_schema = "session_id string, status string, scored long, claimed_by long"
+
+
+@query(f"select coalesce(n.session_id, o.session_id) as session_id, case when n.session_id is not null and (o.session_id is null or (o.status = 'timed_out' and n.status = 'scored')) then n.status else o.status end as status, case when n.session_id is not null and (o.session_id is null or (o.status = 'timed_out' and n.status = 'scored')) then n.scored else o.scored end as scored, n.session_id is not null and (o.session_id is null or (o.status = 'timed_out' and n.status = 'scored')) as claimed from ({_old}) o full outer join ({_new}) n on n.session_id = o.session_id")
+def T13_claims_stream(spark, sf_dir):
+    """Claims in three batches, each given twice, over rows that an earlier batch (-1) left."""
+    path = folder(spark)
+    sinks.put(view(spark, sf_dir, _old).withColumn("claimed_by", F.lit(-1).cast("long")), path, ["session_id"])
+    sinks.drain(streamed(view(spark, sf_dir, _new), 3), twice(sinks.claiming(path, _claim_schema, ["session_id"])), folder(spark))
+    return sinks.table(spark, path, _claim_schema).select("session_id", "status", "scored", (F.col("claimed_by") >= 0).alias("claimed"))
+
+
+@query("select run_group_id, team_name from scores")
+def S15_insert_stream(spark, sf_dir):
+    """Every row twice in the source, every batch twice; half of the groups are there before."""
+    path, schema = folder(spark), "run_group_id string, team_name string, shard int"
+    rows = view(spark, sf_dir, "scores").select("run_group_id", "team_name", io.shard(F.col("run_group_id"), 4).cast("int").alias("shard"))
+    sinks.put(rows.where("crc32(run_group_id) % 2 = 0"), path, ["shard"])
+    sinks.drain(streamed(rows.unionByName(rows), 2), twice(sinks.inserting(path, schema, ["shard"], "run_group_id")), folder(spark))
+    return sinks.table(spark, path, schema).drop("shard")
+
+
+@query("select session_id, wave, count(*) as offered, count(*) filter (where timed_out) as errors from sent_waves group by session_id, wave")
+def T08_reroll_stream(spark, sf_dir):
+    history, metrics = folder(spark), folder(spark)
+    roll = sinks.rerolling(history, _seconds_schema + ", batch_id long", metrics, "session_id string, wave long, offered long, errors long", ["session_id", "wave"], ["offered", "errors"])
+    sinks.drain(streamed(view(spark, sf_dir, _seconds), 2), twice(roll), folder(spark))
+    return sinks.table(spark, metrics, "session_id string, wave long, offered long, errors long")

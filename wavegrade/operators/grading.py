@@ -2,6 +2,13 @@
 
 from wavegrade.sources.views import B, SECOND_NS, WAVE_NS
 
+
+
+def _listed(text: str, order: str, between: str) -> str:
+    """The texts of a group in order, as one."""
+    return f"array_join(transform(array_sort(collect_list(named_struct('o', {order}, 't', {text}))), x -> x.t), '{between}')"
+
+
 VIEWS = {
     # One row per answered order, in replay order: effective arrival, flow, sequence.
     "replayed": """
@@ -44,10 +51,23 @@ left join (select session_id, second_ns, min(bucket_hi) filter (where cum >= cei
     from (select session_id, second_ns, bucket_hi, cast(sum(n) as bigint) as n from shard_seconds group by session_id, second_ns, bucket_hi) z) y group by session_id, second_ns) q
 on q.session_id = s.session_id and q.second_ns = s.second_ns""",
     "session_state": "select r.run_group_id, r.session_id, r.scenario_id, count(*) as sent, count(*) filter (where outcome = 'matched') as matched, cast(sum(filled) as bigint) as fills, cast(sum(least(filled, qty)) as bigint) as valid_fills from runs r join outcomes o on o.session_id = r.session_id group by r.run_group_id, r.session_id, r.scenario_id",
+    # The metrics that runs are scored on: one ramp session lacks a wave, one is slow in a wave, one has errors in a wave.
+    "scored_metrics": """
+select session_id, wave, tps_20s, case when session_id = 's12' and wave = 3 then p99 + 5000000 else p99 end as p99, case when session_id = 's13' and wave = 5 then cast(0.02 as double) else error_rate end as error_rate
+from metrics where not (session_id = 's11' and wave = 4)""",
+    # Sessions as graded: one correctness session and one other lost fills, and one group has no ramp.
+    "graded_sessions": "select run_group_id, session_id, scenario_id, sent, matched - case when session_id = 's7' then cast(floor(sent * 0.15) as bigint) else 0 end as matched, fills, valid_fills - case when session_id in ('s15', 's6') then cast(floor(fills * 0.2) as bigint) else 0 end as valid_fills from session_state where not (run_group_id = 'g3' and scenario_id = 'ramp')",
     "climb": f"""
-select run_group_id, wave, l.offered_orders / {WAVE_NS // SECOND_NS} as offered_tps, m.p99, m.error_rate,
-       case when m.session_id is null then 'missing_metrics' when m.error_rate > 0.01 then 'error_rate' when m.p99 > 1000000 then 'p99_latency' end as reason
-from (select r.run_group_id, r.session_id, w.wave, w.offered_orders from runs r join wave_load w on w.scenario = r.scenario_id where r.scenario_id = 'ramp' and w.wave >= 1) l left join (select session_id, wave as m_wave, p99, error_rate from metrics) m on m.session_id = l.session_id and m.m_wave = l.wave""",
+select l.run_group_id, l.session_id, l.wave, l.offered_orders, l.offered_orders / {WAVE_NS // SECOND_NS} as offered_tps, m.p99, m.error_rate,
+       case when m.m_session is null then 'missing_metrics' when m.error_rate > 0.01 then 'error_rate' when m.p99 > 1000000 then 'p99_latency' end as reason
+from (select r.run_group_id, r.session_id, w.wave, w.offered_orders from graded_sessions r join wave_load w on w.scenario = r.scenario_id where r.scenario_id = 'ramp' and w.wave >= 1) l left join (select session_id as m_session, wave as m_wave, p99, error_rate from scored_metrics) m on m.m_session = l.session_id and m.m_wave = l.wave""",
+    "climbed": "select c.*, min(case when reason is not null then wave end) over (partition by session_id) as first_fail from climb c",
+    # Peak and reason of each ramp session; the waves up to the first that fails.
+    "peaks": "select run_group_id, session_id, first_fail, max(case when wave = first_fail then reason end) as fail_reason, max(case when reason is null then wave end) as last_pass, max_by(offered_tps, wave) filter (where reason is null) as peak_tps, max_by(p99, wave) filter (where reason is null) as p99_at_peak from climbed where wave <= coalesce(first_fail, wave) group by run_group_id, session_id, first_fail",
+    "wave_texts": f"select run_group_id, session_id, {_listed("concat(cast(wave as string), ':', cast(offered_orders as string), ':', coalesce(reason, 'pass'))", 'wave', ' ')} as waves from climbed where wave <= coalesce(first_fail, wave) group by run_group_id, session_id",
+    "coverage_gaps": f"select g.run_group_id, min(c.sort_order) as first_order, min_by(concat(g.session_id, ' covers ', cast(g.matched as string), ' of ', cast(g.sent as string)), c.sort_order) as reason from graded_sessions g join scenarios c on c.scenario_id = g.scenario_id where g.sent > 0 and cast(g.matched as double) / g.sent < 0.90 group by g.run_group_id",
+    "disqualified": "select run_group_id, correctness, case when correctness < 0.95 then 'correctness_below_threshold' when worst < 0.95 then 'session_correctness_below_threshold' end as reason, ramps from (select run_group_id, least(case when g_total > 0 then cast(g_valid as double) / g_total else 0.0 end, 1.0) as correctness, worst, ramps from (select run_group_id, coalesce(cast(sum(valid_fills) filter (where scenario_id = 'correctness') as bigint), 0) as g_valid, coalesce(cast(sum(fills) filter (where scenario_id = 'correctness') as bigint), 0) as g_total, min(case when fills > 0 then cast(valid_fills as double) / fills end) as worst, count(*) filter (where scenario_id = 'ramp') as ramps from graded_sessions group by run_group_id) q) z",
+    "session_texts": f"select run_group_id, {_listed("concat(g_session, '[', w_waves, ']')", 'g_session', ' ')} as sessions from (select g.run_group_id, g.session_id as g_session, coalesce(w.waves, '') as w_waves from graded_sessions g left join wave_texts w on w.session_id = g.session_id) q group by run_group_id",
 }
 
 QUERIES = {
@@ -75,8 +95,10 @@ QUERIES = {
     "A08_rollup": "select session_id, wave, second_ns, min(bucket_hi) filter (where cum >= ceil(0.99 * total)) as p99, max(total) as n from (select z.*, cast(sum(n) over (partition by session_id, wave, second_ns order by bucket_hi rows between unbounded preceding and current row) as bigint) as cum, cast(sum(n) over (partition by session_id, wave, second_ns) as bigint) as total from (select session_id, wave, second_ns, bucket_hi, sum(n) as n from shard_seconds group by session_id, wave, second_ns, bucket_hi) z) q group by session_id, wave, second_ns",
     "A10_retention": f"select session_id, second_ns from (select distinct session_id, second_ns from shard_seconds) d where second_ns >= (select max(second_ns) from shard_seconds) - {6 * 3600 * SECOND_NS}",
     "A14_worst_jitter": "select r.run_group_id, max(j.top) as worst_ns, max(j.n) as worst_count from runs r join (select session_id, max(jitter_ns) as top, count(*) as n from jitter group by session_id) j on j.session_id = r.session_id group by r.run_group_id",
-    "A19_disqualification": "select run_group_id, case when g_total > 0 and cast(g_valid as double) / g_total < 0.95 then 'correctness_below_threshold' when worst < 0.95 then 'session_correctness_below_threshold' end as reason from (select run_group_id, cast(sum(valid_fills) filter (where scenario_id = 'correctness') as bigint) as g_valid, cast(sum(fills) filter (where scenario_id = 'correctness') as bigint) as g_total, min(case when fills > 0 then cast(valid_fills as double) / fills end) as worst from session_state group by run_group_id) q",
-    "A20_score": "select c.run_group_id, c.first_fail, c.peak_tps, coalesce(s.correctness, 0.0) as correctness, s.coverage from (select run_group_id, min(wave) filter (where reason is not null) as first_fail, max_by(offered_tps, wave) filter (where reason is null and (stop is null or wave < stop)) as peak_tps from (select c.*, min(case when reason is not null then wave end) over (partition by run_group_id) as stop from climb c) z group by run_group_id) c join (select run_group_id, least(cast(sum(valid_fills) filter (where scenario_id = 'correctness') as double) / sum(fills) filter (where scenario_id = 'correctness'), 1.0) as correctness, min(cast(matched as double) / sent) as coverage from session_state group by run_group_id) s on s.run_group_id = c.run_group_id",
+    "A19_disqualification": "select run_group_id, correctness, reason, case when ramps = 0 and reason is null then 'no ramp session' end as error from disqualified",
+    "A20_score": "select d.run_group_id, d.correctness, d.reason is not null as disqualified, coalesce(d.reason, case when d.ramps = 0 then 'no ramp session' end) as reason, v.reason as incomplete, p.first_fail, p.fail_reason, case when d.reason is null then p.peak_tps end as peak_tps, case when d.reason is null then p.p99_at_peak end as p99_at_peak, t.sessions from disqualified d left join peaks p on p.run_group_id = d.run_group_id left join coverage_gaps v on v.run_group_id = d.run_group_id left join session_texts t on t.run_group_id = d.run_group_id",
+    "A16_peak_climb": "select p.session_id, p.first_fail, p.fail_reason, p.last_pass, p.peak_tps, p.p99_at_peak, w.waves from peaks p join wave_texts w on w.session_id = p.session_id",
+    "A17_max_rate": "select m.session_id, cast(round(max(cast(m.tps_20s as double) / 20)) as bigint) as peak from metrics m join runs r on r.session_id = m.session_id join (select scenario from tasks group by scenario having max(target_rps) = 0) t on t.scenario = r.scenario_id group by m.session_id",
     "A24_jitter_stats": "select session_id, cast(max(total) as bigint) as n, max(top) as top_ns, min(low) filter (where cum > 0.50 * (total - 1)) as p50, min(low) filter (where cum > floor(0.99 * (total - 1))) as p99 from (select b.*, cast(1 as bigint) << cast(bucket - 1 as int) as low, sum(n) over (partition by session_id order by bucket rows between unbounded preceding and current row) as cum, sum(n) over (partition by session_id) as total from jitter_buckets b) q group by session_id",
     "A27_gap_spread": f"select s.session_id, max(s.t0) - min(s.t0) as spread_ns, count(*) filter (where s.t0 >= z.last_ns - {SECOND_NS}) as in_final_second from orders_sent s join outcomes o on o.session_id = s.session_id and o.order_id = s.order_id join (select session_id, max(t0) as last_ns from orders_sent group by session_id) z on z.session_id = s.session_id where o.outcome = 'gap' group by s.session_id",
     "A31_unpivot": "select session_id, class, n from (select session_id, 'overfill' as class, count(*) as n from outcomes where filled > qty group by session_id union all select session_id, case when payload_type = 'CANCEL' then 'lost_cancel' else 'lost_order' end, count(*) from outcomes where outcome = 'lost' group by session_id, case when payload_type = 'CANCEL' then 'lost_cancel' else 'lost_order' end) u where n > 0",
@@ -123,6 +145,9 @@ _md5 = "('0x' || substr(md5(order_id), 1, 15))::bigint"
 
 #: Views whose oracle form is plainer: one ranking, and messages written from the orders.
 ORACLE_VIEWS = {
+    "wave_load": f"select scenario, wave, cast(sum(target_rps * (least(start_offset_ns + duration_ns, (wave + 1) * {WAVE_NS}) - greatest(start_offset_ns, wave * {WAVE_NS})) // 1000000000) as bigint) as offered_orders from tasks t, range(0, 1000) r(wave) where wave * {WAVE_NS} < start_offset_ns + duration_ns and (wave + 1) * {WAVE_NS} > start_offset_ns group by scenario, wave",
+    "wave_texts": "select run_group_id, session_id, string_agg(wave || ':' || offered_orders || ':' || coalesce(reason, 'pass'), ' ' order by wave) as waves from climbed where wave <= coalesce(first_fail, wave) group by run_group_id, session_id",
+    "session_texts": "select g.run_group_id, string_agg(g.session_id || '[' || coalesce(w.waves, '') || ']', ' ' order by g.session_id) as sessions from graded_sessions g left join wave_texts w on w.session_id = g.session_id group by g.run_group_id",
     "board": "select s.*, row_number() over (order by disqualified, peak_sustained_tps desc, p99_at_peak_ns, spike_recovery_ns, total_correctness desc, run_group_id) as place from scores s",
     "messages": "select session_id, 'out' as direction, t7 as at_ns, '8' as msg_type, order_id as cl_ord_id, '' as orig_id, exec_type, fill_qty from orders_acked union all select session_id, 'in', t1, case payload_type when 'CANCEL' then 'F' when 'REPLACE' then 'G' else 'D' end, order_id, orig_order_id, '', 0 from orders_sent",
 }
@@ -139,7 +164,6 @@ ORACLES = {
     "J01_outcomes": "select coalesce(s.session_id, a.session_id) as session_id, coalesce(s.order_id, a.order_id) as order_id, case when s.order_id is null then 'unsent' when a.order_id is not null then 'matched' when s.timed_out then 'lost' else 'gap' end as outcome, coalesce(n_acks, 0) as n_acks, coalesce(filled, 0) as filled from orders_sent s full outer join (select session_id, order_id, count(*) as n_acks, sum(fill_qty)::bigint as filled from (select distinct session_id, order_id, exec_type, t3, t7, fill_qty, fill_price from orders_acked) group by all) a on a.session_id = s.session_id and a.order_id = s.order_id",
     "A11_wave_input": "select wave, max(p99) as max_p99, max(error_rate) as max_error, avg(tps_20s) as avg_tps from metrics group by wave",
     "A12_upper_median": "select wave, count(*) as n, list_sort(list(p99))[count(*) // 2 + 1] as median_p99 from metrics group by wave",
-    "A17_max_rate": "select distinct on (session_id) session_id, tps_20s as peak from metrics order by session_id, tps_20s desc",
     "A28_stream_counts": "select s.session_id, count(*) as sent, sum(coalesce(n, 0))::bigint as acked, count(n) as matched, count(*) filter (where n is null and timed_out) as lost, count(*) filter (where n is null and not timed_out) as gaps from orders_sent s left join (select session_id, order_id, count(*) as n from (select distinct session_id, order_id, exec_type, t3, t7, fill_qty, fill_price from orders_acked) group by all) a using (session_id, order_id) group by s.session_id",
     "W14_elapsed": "select s.session_id, s.order_id, s.t0 - f.first as elapsed_ns from orders_sent s join (select session_id, min(t0) as first from orders_sent group by session_id) f using (session_id)",
     "W02_rank_of": "select b.run_group_id, 1 + (select count(*) from board a where a.place < b.place) as place from board b where b.run_group_id = 'g7'",

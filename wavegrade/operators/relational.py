@@ -53,8 +53,6 @@ QUERIES = {
     "A12_upper_median": "select wave, n, p99 as median_p99 from (select wave, p99, row_number() over (partition by wave order by p99, session_id) as nth, count(*) over (partition by wave) as n from metrics) q where nth = (n - n % 2) / 2 + 1",
     "A13_group_correctness": "select r.run_group_id, least(cast(sum(least(filled, qty)) as double) / greatest(cast(sum(filled) as bigint), 1), 1.0) as total_correctness from runs r join outcomes o on o.session_id = r.session_id where r.scenario_id = 'correctness' group by r.run_group_id",
     "A15_coverage_gate": "select run_group_id, count(*) filter (where low) > 0 as incomplete, min_by(session_id, sort_order) filter (where low) as first_failing, min_by(concat('coverage ', cast(matched as string), '/', cast(sent as string)), sort_order) filter (where low) as reason from (select r.run_group_id, r.session_id, c.sort_order, sent, matched, sent > 0 and cast(matched as double) / sent < 0.90 as low from runs r join scenarios c on c.scenario_id = r.scenario_id join (select session_id, count(*) as sent, count(*) filter (where first_t7 - first_t3 < 1000000000) as matched from outcomes group by session_id) o on o.session_id = r.session_id) q group by run_group_id",
-    "A16_peak_climb": "select session_id, first_fail, max(wave) filter (where ok) as last_pass, max_by(offered, wave) filter (where ok) as peak from (select m.*, error_rate <= 0.01 and p99 <= 1000000 as ok, min(case when error_rate > 0.01 or p99 > 1000000 then wave end) over (partition by session_id) as first_fail from metrics m where wave >= 1) q where first_fail is null or wave <= first_fail group by session_id, first_fail",
-    "A17_max_rate": "select session_id, max(tps_20s) as peak from metrics group by session_id",
     "A18_spike_recovery": f"select session_id, baseline, peak_wave, case when peak <= threshold or baseline = 0 then 0 else (coalesce(min(case when wave > peak_wave and p99 <= threshold then wave end), max(wave) + 1) - peak_wave) * {WAVE_NS} end as recovery_ns from (select q.*, min(case when p99 = peak then wave end) over (partition by session_id) as peak_wave, cast(floor(baseline * 1.1) as bigint) as threshold from (select session_id, wave, p99, max(p99) over (partition by session_id) as peak, first_value(p99) over (partition by session_id order by wave) as baseline from metrics) q) z group by session_id, baseline, peak, peak_wave, threshold",
     "A21_classes": "select session_id, count(*) filter (where filled > qty) as overfill, count(*) filter (where outcome = 'lost' and payload_type <> 'CANCEL') as lost_order, count(*) filter (where outcome = 'lost' and payload_type = 'CANCEL') as lost_cancel from outcomes group by session_id",
     "A22_order_score": "select session_id, case when scored = 0 then 1.0 else cast(scored - dirty as double) / scored end as score from (select session_id, count(*) filter (where outcome <> 'gap') as scored, count(*) filter (where outcome = 'lost' or filled > qty) as dirty from outcomes group by session_id) q",

@@ -71,7 +71,7 @@ select l_suppkey % 8 as flow, l_linenumber % 2 as direction, l_orderkey * 100 +
        cast(l_quantity as bigint) * 10 as seq_len
 from lineitem""",
     # Orders with their wave; answers of orders that the client did not time out; each order's first answer.
-    "sent_waves": f"select s.*, cast((greatest(t0 - origin, 0) - greatest(t0 - origin, 0) % {WAVE_NS}) / {WAVE_NS} as bigint) as wave from (select o.*, case when barrier_epoch_ns > 0 then barrier_epoch_ns else min(t0) over (partition by session_id) end as origin from orders_sent o) s",
+    "sent_waves": f"select s.*, cast((greatest(t0 - origin, 0) - greatest(t0 - origin, 0) % {WAVE_NS}) / {WAVE_NS} as bigint) as wave from (select o.*, case when o.barrier_epoch_ns > 0 then o.barrier_epoch_ns else f.first_ns end as origin from orders_sent o left join (select session_id, min(t0) as first_ns from orders_sent where barrier_epoch_ns <= 0 group by session_id) f on f.session_id = o.session_id) s",
     "live_acks": f"""
 select a.*, cast((greatest(t3 - {B}, 0) - greatest(t3 - {B}, 0) % {WAVE_NS}) / {WAVE_NS} as bigint) as wave, fill_qty > 0 and exec_type in ('1', '2', 'F') as is_fill
 from orders_acked a where not exists (select 1 from orders_sent s where s.session_id = a.session_id and s.order_id = a.order_id and s.timed_out)""",
@@ -109,9 +109,10 @@ from orders_sent s left join (
   select session_id, order_id, count(*) as n_acks, cast(sum(fill_qty) as bigint) as filled, min(t3) as first_t3, min(t7) as first_t7
   from (select distinct session_id, order_id, exec_type, t3, t7, fill_qty, fill_price from orders_acked) d group by session_id, order_id) a
 on a.session_id = s.session_id and a.order_id = s.order_id""",
+    # Each task is laid on the grid of the waves that it overlaps.
     "wave_load": f"""
 select scenario, wave, cast(sum(target_rps * (least(start_offset_ns + duration_ns, (wave + 1) * {WAVE_NS}) - greatest(start_offset_ns, wave * {WAVE_NS})) / 1000000000) as bigint) as offered_orders
-from (select t.*, n_nationkey as wave from tasks t join nation on n_nationkey < 9 and n_nationkey * {WAVE_NS} < start_offset_ns + duration_ns and (n_nationkey + 1) * {WAVE_NS} > start_offset_ns) q
+from (select t.*, explode(sequence(start_offset_ns div {WAVE_NS}, (start_offset_ns + duration_ns - 1) div {WAVE_NS})) as wave from tasks t where duration_ns > 0) q
 group by scenario, wave""",
     # Places without one task for all rows: how many come before each (flag, peak, stretch of p99), of which there are as many as the schedules' rates
     # and the histograms' stretches allow, and the place inside it.
