@@ -47,7 +47,9 @@ BLOCK = 2 << 20
 MOST_HOT = 1 << 18
 
 ASKED = pa.schema([("bucket", pa.int32()), ("resolved", pa.bool_()), ("ids", pa.list_(pa.int64())), ("tags", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("starts", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary()), ("weights", pa.binary())])
-SHARED = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("hash", pa.int64()), ("n_runs", pa.int64()), ("hot", pa.list_(pa.int64())), ("hot_runs", pa.list_(pa.int64()))])
+#: A run of a document is start * 64 + size. Rows without a document: tag TOTAL has the bucket's number of runs, tag HOT a hash and its number of runs.
+SHARED = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("run", pa.int64()), ("hash", pa.int64())])
+TOTAL, HOT = 0, 1
 SNIPPETS = pa.schema([("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("tags", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("starts", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary()), ("ends", pa.binary())])
 STRETCHES = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -192,11 +194,9 @@ def _answer(batches: Iterator[pa.RecordBatch], n: int, hot_runs: int) -> Iterato
             parts.append((ids[keep], tags[keep], starts[keep], sizes[keep], keys[keep]))
             hot = load > hot_runs
             n_runs, busy, load = int(weights.sum()), keys[o[g[:-1][hot]]].view(np.int64).tolist(), load[hot].tolist()
-        found = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        values = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int32) if c.dtype.itemsize < 8 else c, f.type) for c, f in zip(found, SHARED, strict=False)]
-        size = len(found[0])
-        yield pa.RecordBatch.from_arrays([*values, *(pa.nulls(size, f.type) for f in list(SHARED)[5:])], schema=SHARED)
-        yield record(SHARED, doc_id=[None], tag=[None], start=[None], size=[None], hash=[None], n_runs=[n_runs], hot=[busy], hot_runs=[load])
+        ids, tags, starts, sizes, hashes = (np.concatenate(c) for c in zip(*parts, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, tags, starts.astype(np.int64) * 64 + sizes, hashes.view(np.int64))], schema=SHARED)
+        yield record(SHARED, doc_id=[None] * (1 + len(busy)), tag=[TOTAL] + [HOT] * len(busy), run=[n_runs, *load], hash=[None, *busy])
 
 
 def _lists(column: pa.ListArray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -212,11 +212,11 @@ def _texts_of_runs(batches: Iterator[pa.RecordBatch], n: int, hot: np.ndarray) -
         columns: list[tuple] = []  # of each document: its place, and the start, hash and piece of each run
         asked = batch.filter(batch.column("runs").is_valid())
         ids, tags = asked.column("doc_id").to_numpy(), asked.column("tag").to_numpy()
-        (all_starts, all_sizes, all_hashes), cuts = _lists(asked.column("runs"))
+        (all_runs, all_hashes), cuts = _lists(asked.column("runs"))
         for at, row in enumerate(asked.select(["z", "n_bytes"]).to_pylist()):
             text, mine = pa.decompress(row["z"], row["n_bytes"], codec="zstd", asbytes=True), slice(cuts[at], cuts[at + 1])
-            starts, first = np.unique(all_starts[mine], return_index=True)
-            sizes, hashes = all_sizes[mine][first], all_hashes[mine][first].view(np.uint64)
+            found, first = np.unique(all_runs[mine], return_index=True)
+            starts, sizes, hashes = found >> 6, found & 63, all_hashes[mine][first].view(np.uint64)
             if len(hot) and (anew := np.isin(hashes, hot)).any():
                 single = np.concatenate([np.arange(s, s + c) for s, c in zip(starts[anew].tolist(), sizes[anew].tolist(), strict=True)])
                 starts, sizes = np.concatenate([starts[~anew], single]), np.concatenate([sizes[~anew], np.ones(len(single), np.int64)])
@@ -435,18 +435,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = named.where("doc_id is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(4, -(-total // bucket_bytes))  # buckets of hashes; their texts take twice as many
-    tasks = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 4), 50_000)
+    tasks = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n), 50_000)
 
     asked = known.mapInArrow(partial(_ask, n=n), _ddl(ASKED)).repartition(tasks, F.xxhash64("bucket")).sortWithinPartitions("bucket")
     shared = written(asked.mapInArrow(partial(_answer, n=n, hot_runs=hot_runs), _ddl(SHARED)), "repeats-shared")
-    limit = max(hot_runs, (shared.agg(F.sum("n_runs")).first()[0] or 0) // MOST_HOT)
-    busy = shared.where("size(hot) > 0").select(F.explode(F.arrays_zip("hot", "hot_runs")).alias("h")).where(F.col("h.hot_runs") > limit).select("h.hot")
-    hot = np.array([r.hot for r in busy.collect()], np.int64).view(np.uint64)
+    limit = max(hot_runs, (shared.where(F.col("doc_id").isNull() & (F.col("tag") == TOTAL)).agg(F.sum("run")).first()[0] or 0) // MOST_HOT)
+    hot = np.array([r.hash for r in shared.where(F.col("doc_id").isNull() & (F.col("tag") == HOT) & (F.col("run") > limit)).select("hash").collect()], np.int64).view(np.uint64)
 
     packed = known.mapInArrow(_packed, "doc_id long, tag long, n_bytes long, z binary")
     by_doc = ["doc_id", "tag"]
     # A left join as below, so that both read one exchange of the texts; rows without runs are passed over by the function.
-    with_runs = packed.join(shared.where("doc_id is not null").groupBy(*by_doc).agg(F.collect_list(F.struct("start", "size", "hash")).alias("runs")), by_doc, "left")
+    with_runs = packed.join(shared.where("doc_id is not null").groupBy(*by_doc).agg(F.collect_list(F.struct("run", "hash")).alias("runs")), by_doc, "left")
     snippets = with_runs.mapInArrow(partial(_texts_of_runs, n=2 * n, hot=hot), _ddl(SNIPPETS)).repartition(tasks, F.xxhash64("bucket")).sortWithinPartitions("bucket")
     stretches = snippets.mapInArrow(_sorted, _ddl(STRETCHES)).groupBy(*by_doc).agg(F.collect_list(F.struct("start", "end")).alias("stretches"))
     others = named.where("doc_id is null").mapInArrow(_packed, "doc_id long, tag long, n_bytes long, z binary").withColumn("stretches", F.lit(None).cast("array<struct<start:int,end:int>>"))
