@@ -23,7 +23,7 @@ QUERIES = {
     "P31_log2_bucket": "select order_id, cast(case when t1 = t0 then 0 else length(bin(t1 - t0)) end as bigint) as bucket from orders_sent",
     "P37_sanity_gate": f"select session_id, count(*) filter (where t7x > 0 and (t7x < t3 or t7x - t3 > {15 * SECOND_NS})) as anomalies, count(*) filter (where t7x >= t3 and t7x - t3 <= {15 * SECOND_NS}) as good, count(*) filter (where t7x = 0) as unset from (select session_id, t3, case when cast(order_id as bigint) % 131 = 0 then t7 - 2000000000 when cast(order_id as bigint) % 151 = 0 then 0 else t7 end as t7x from orders_acked) q group by session_id",
     # Joins
-    "J01_outcomes": "select session_id, order_id, outcome, n_acks, filled from outcomes union all select session_id, order_id, 'unsent', count(*), cast(sum(fill_qty) as bigint) from (select distinct session_id, order_id, exec_type, t3, t7, fill_qty, fill_price from orders_acked a where not exists (select 1 from orders_sent s where s.session_id = a.session_id and s.order_id = a.order_id)) d group by session_id, order_id",
+    "J01_outcomes": "select coalesce(s.session_id, a.session_id) as session_id, coalesce(s.order_id, a.order_id) as order_id, case when s.order_id is null then 'unsent' when a.order_id is not null then 'matched' when s.timed_out then 'lost' else 'gap' end as outcome, coalesce(n_acks, 0) as n_acks, coalesce(filled, 0) as filled from orders_sent s full outer join (select session_id, order_id, count(*) as n_acks, cast(sum(fill_qty) as bigint) as filled from (select distinct session_id, order_id, exec_type, t3, t7, fill_qty, fill_price from orders_acked) group by session_id, order_id) a on a.session_id = s.session_id and a.order_id = s.order_id",
     "J02_redelivery": "select session_id, count(*) as n from (select distinct session_id, order_id, exec_type, t7, fill_qty, fill_price from (select * from orders_acked union all select * from orders_acked where cast(order_id as bigint) % 50 = 0) u) d group by session_id",
     "J03_exclude_timed_out": "select session_id, order_id, count(*) as n from live_acks group by session_id, order_id",
     "J04_contestant": "select s.session_id, r.contestant_id, count(*) as n from orders_sent s left join runs r on r.session_id = s.session_id group by s.session_id, r.contestant_id",
@@ -46,7 +46,7 @@ QUERIES = {
     "A02_distributions": "select * from histograms",
     "A03_quantiles": "select session_id, wave, metric, min(bucket_hi) filter (where cum >= greatest(1, ceil(0.5 * total))) as p50, min(bucket_hi) filter (where cum >= greatest(1, ceil(0.9 * total))) as p90, min(bucket_hi) filter (where cum >= greatest(1, ceil(0.99 * total))) as p99, coalesce(min(bucket_hi) filter (where cum >= greatest(1, ceil(0.999 * total))), 0) as p999 from cumulative group by session_id, wave, metric",
     "A04_merge": "select metric, bucket_hi, cast(sum(n) as bigint) as n from histograms group by metric, bucket_hi",
-    "A06_snapshot": "select m.session_id, r.contestant_id, m.wave, m.p50, p90, m.p99, p999, rt_p50, rt_p90, rt_p99, cast(tps_20s as double) / 20 as tps, error_rate from metrics m join runs r on r.session_id = m.session_id and r.contestant_id <> '' join (select session_id, wave, min(bucket_hi) filter (where metric = 'service' and cum >= ceil(0.9 * total)) as p90, min(bucket_hi) filter (where metric = 'service' and cum >= ceil(0.999 * total)) as p999, coalesce(min(bucket_hi) filter (where metric = 'response' and cum >= ceil(0.5 * total)), 0) as rt_p50, coalesce(min(bucket_hi) filter (where metric = 'response' and cum >= ceil(0.9 * total)), 0) as rt_p90, coalesce(min(bucket_hi) filter (where metric = 'response' and cum >= ceil(0.99 * total)), 0) as rt_p99 from cumulative group by session_id, wave) q on q.session_id = m.session_id and q.wave = m.wave",
+    "A06_snapshot": "select q.session_id, r.contestant_id, q.wave, p50, p90, p99, p999, rt_p50, rt_p90, rt_p99, cast(c.responded as double) / 20 as tps, case when c.offered > 0 then cast(c.timed_out + c.rejected as double) / c.offered else 0.0 end as error_rate from wave_quantiles q join window_counters c on c.session_id = q.session_id and c.wave = q.wave join runs r on r.session_id = q.session_id and r.contestant_id <> ''",
     "A07_rollup_counters": f"select session_id, wave, t0 - t0 % {SECOND_NS} as second_ns, count(*) as offered, count(*) filter (where timed_out) as errors from sent_waves group by session_id, wave, t0 - t0 % {SECOND_NS}",
     "A09_ten_seconds": f"select r.contestant_id, second_ns - second_ns % {10 * SECOND_NS} as bucket_ns, round(cast(sum(p99) as double) / count(*), 6) as avg_p99, max(n) as max_tps, round(cast(sum(errors) as double) / greatest(cast(sum(offered) as bigint), 1), 9) as error_rate from second_rows q join runs r on r.session_id = q.session_id group by r.contestant_id, second_ns - second_ns % {10 * SECOND_NS}",
     "A11_wave_input": "select wave, max(p99) as max_p99, max(error_rate) as max_error, cast(sum(tps_20s) as double) / count(*) as avg_tps from metrics group by wave",

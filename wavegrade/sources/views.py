@@ -76,11 +76,12 @@ from lineitem""",
 select a.*, cast((greatest(t3 - {B}, 0) - greatest(t3 - {B}, 0) % {WAVE_NS}) / {WAVE_NS} as bigint) as wave, fill_qty > 0 and exec_type in ('1', '2', 'F') as is_fill
 from orders_acked a where not exists (select 1 from orders_sent s where s.session_id = a.session_id and s.order_id = a.order_id and s.timed_out)""",
     "first_acks": "select * from (select a.*, row_number() over (partition by session_id, order_id order by t7, exec_type, fill_qty, fill_price, liquidity_ind) as nth from live_acks a) q where nth = 1",
-    "samples": """
-select session_id, wave, 'service' as metric, greatest(t7 - t3, 1) as v from first_acks
-union all select session_id, wave, 'match', greatest(t7 - t3, 1) from live_acks where liquidity_ind = 2
-union all select session_id, wave, 'response', greatest(r9 - t0, 1) from sent_waves where not timed_out and r9 > t0
-union all select session_id, wave, 'slip', greatest(t1 - t0, 1) from sent_waves where t1 >= t0""",
+    # One pass over orders and one over answers; each row gives up to two samples.
+    "sent_samples": "select session_id, wave, stack(2, 'response', case when not timed_out and r9 > t0 then greatest(r9 - t0, 1) end, 'slip', case when t1 >= t0 then greatest(t1 - t0, 1) end) as (metric, v) from sent_waves",
+    "ack_samples": """
+select session_id, wave, stack(2, 'service', case when nth = 1 then greatest(t7 - t3, 1) end, 'match', case when liquidity_ind = 2 then greatest(t7 - t3, 1) end) as (metric, v)
+from (select a.*, row_number() over (partition by session_id, order_id order by t7, exec_type, fill_qty, fill_price, liquidity_ind) as nth from live_acks a) q""",
+    "samples": "select session_id, wave, metric, v from ack_samples where v is not null union all select session_id, wave, metric, v from sent_samples where v is not null",
     "histograms": """
 select session_id, wave, metric, bucket_hi, count(*) as n from (
   select session_id, wave, metric, ((v >> b) << b) + (cast(1 as bigint) << b) - 1 as bucket_hi from (
@@ -89,6 +90,9 @@ group by session_id, wave, metric, bucket_hi""",
     "cumulative": """
 select h.*, cast(sum(n) over (partition by session_id, wave, metric order by bucket_hi rows between unbounded preceding and current row) as bigint) as cum,
        cast(sum(n) over (partition by session_id, wave, metric) as bigint) as total from histograms h""",
+    "wave_quantiles": f"""
+select session_id, wave, {", ".join(f"coalesce(min(bucket_hi) filter (where metric = '{m}' and cum >= greatest(1, ceil({q} * total))), 0) as {n}" for m, q, n in (("service", 0.5, "p50"), ("service", 0.9, "p90"), ("service", 0.99, "p99"), ("service", 0.999, "p999"), ("response", 0.5, "rt_p50"), ("response", 0.9, "rt_p90"), ("response", 0.99, "rt_p99")))}
+from cumulative where metric in ('service', 'response') group by session_id, wave having count(*) filter (where metric = 'service') > 0""",
     "window_counters": """
 select coalesce(s.session_id, a.session_id) as session_id, coalesce(s.wave, a.wave) as wave, coalesce(offered, 0) as offered, coalesce(timed_out, 0) as timed_out,
        coalesce(responded, 0) as responded, coalesce(accepted, 0) as accepted, coalesce(rejected, 0) as rejected, coalesce(fills, 0) as fills

@@ -20,8 +20,9 @@ Sink = Callable[[DataFrame, int], None]
 
 def table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table under path, which is made empty if it isn't there."""
-    spark.createDataFrame([], schema).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    none = spark.createDataFrame([], schema)
+    none.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*none.columns)  # Spark reads partition columns last
 
 
 def put(rows: DataFrame, path: str, partitions: list[str]) -> None:
