@@ -159,6 +159,7 @@ union all select session_id, wave, 'slip', greatest(t1 - t0, 1) from sent_waves
 
 #: Statements for the other engine, over the same views.
 ORACLES = {
+    "C07_unmatched": "select session_id, order_id as cl_ord_id, t7 as at_ns from orders_acked anti join (select session_id, order_id from orders_sent) s using (session_id, order_id)",
     "M07_held_alert": "select name, label, min(hour_no) as since, count(*) as held from (select d.*, hour_no - row_number() over (partition by name, label order by hour_no) as run from (select name, label, cast(floor(epoch(ts) / 3600) as bigint) as hour_no from counter_steps group by 1, 2, 3 having sum(step) > 0) d) q group by name, label, run having count(*) >= 3",
     # Written from the rule, another way than the query.
     "W13_rank_change": "select run_group_id, publication, place, coalesce(lag(place) over (partition by run_group_id order by publication) - place, 0) as rank_delta from (select run_group_id, 1 as publication, row_number() over (order by p99_at_peak_ns, run_group_id) as place from scores union all select run_group_id, 2, place from board) q",
