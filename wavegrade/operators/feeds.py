@@ -359,6 +359,20 @@ def P21_cross_flow_predicate(spark, sf_dir):
     return ordering.jitter(view(spark, sf_dir, "orders_acked"))
 
 
+_at = lambda q: f"cast(1::bigint << (list_sort(list(length(bin(other_t3 - t3))) filter (where other_t3 > t3))[cast(floor({q} * (count(*) filter (where other_t3 > t3) - 1)) as bigint) + 1] - 1) as bigint)"
+_stats = f"select session_id, count(*) filter (where other_t3 > t3) as n, max(other_t3 - t3) filter (where other_t3 > t3) as top_ns, cast(count(*) filter (where other_t3 > t3) as double) / count(*) as rate, {_at(0.5)} as p50, {_at(0.99)} as p99, {_at(0.999)} as p999 from ({_pairs}) q group by session_id having count(*) filter (where other_t3 > t3) > 0"
+
+
+@query(_stats)
+def A24_jitter_stats(spark, sf_dir):
+    return ordering.jitter_stats(view(spark, sf_dir, "orders_acked"))
+
+
+@query(f"select run_group_id, max(p50) as p50, max(p99) as p99, max(p999) as p999, max(top_ns) as top_ns, max(rate) as rate from ({_stats}) s join runs r on r.session_id = s.session_id group by run_group_id")
+def A14_worst_jitter(spark, sf_dir):
+    return ordering.worst_jitter(ordering.jitter_stats(view(spark, sf_dir, "orders_acked")), view(spark, sf_dir, "runs"))
+
+
 _released = "select session_id, min(t7) + 5000000000 as released_ns from orders_acked group by session_id"
 
 

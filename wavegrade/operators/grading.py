@@ -15,20 +15,6 @@ VIEWS = {
 select q.*, row_number() over (partition by session_id order by eff_t3, src_ip, src_port, tcp_seq, cast(order_id as bigint)) as nth
 from (select a.*, max(t3) over (partition by session_id, src_ip, src_port order by tcp_seq, cast(order_id as bigint) rows between unbounded preceding and current row) as eff_t3
   from (select session_id, order_id, src_ip, src_port, tcp_seq, min(t3) as t3, min(t7) as min_t7 from orders_acked group by session_id, order_id, src_ip, src_port, tcp_seq) a) q""",
-    "processed": "select session_id, order_id, src_ip * 65536 + src_port as flow, tcp_seq, t3, min_t7, row_number() over (partition by session_id order by min_t7, nth) as step from replayed",
-    # The greatest t3 of earlier steps and the flow that holds it; a new stretch begins when the holder changes.
-    "holders": """
-select h.*, lag(top_flow) over (partition by session_id order by step) as old_flow, lag(top_t3) over (partition by session_id order by step) as old_t3
-from (select p.*, max(t3) over (partition by session_id order by step rows between unbounded preceding and 1 preceding) as top_t3,
-        max_by(flow, t3) over (partition by session_id order by step rows between unbounded preceding and 1 preceding) as top_flow from processed p) h""",
-    "stretches": "select h.*, sum(case when old_flow is null or old_flow <> top_flow then 1 else 0 end) over (partition by session_id order by step rows between unbounded preceding and current row) as stretch from holders h",
-    "cross_flow": """
-select session_id, order_id, t3, case when top_flow <> flow then top_t3 else greatest(before_t3, inside_t3) end as other_t3
-from (select s.*, max(case when nth_in = 1 then old_t3 end) over (partition by session_id, stretch) as before_t3,
-        max(case when flow <> top_flow then t3 end) over (partition by session_id, stretch order by step rows between unbounded preceding and 1 preceding) as inside_t3
-      from (select s.*, row_number() over (partition by session_id, stretch order by step) as nth_in from stretches s) s) q""",
-    "jitter": "select session_id, order_id, other_t3 - t3 as jitter_ns, other_t3 - t3 > 500000 as violation from cross_flow where other_t3 > t3",
-    "jitter_buckets": "select session_id, bucket, count(*) as n, max(jitter_ns) as top from (select j.*, cast(length(bin(jitter_ns)) as bigint) as bucket from jitter j) q group by session_id, bucket",
     "fix_messages": """
 select session_id, order_id, 'out' as direction, t7 as at_ns, concat('35=8', chr(1), '11=', order_id, chr(1), '150=', exec_type, chr(1), '39=', exec_type, chr(1), '32=', cast(fill_qty as string), chr(1), '31=', cast(fill_price as string), chr(1), '851=', cast(liquidity_ind as string)) as msg
 from orders_acked union all
@@ -94,12 +80,10 @@ QUERIES = {
     "A05_second_slices": "select session_id, wave, second_ns, bucket_hi, cast(sum(n) as bigint) as n from shard_seconds group by session_id, wave, second_ns, bucket_hi",
     "A08_rollup": "select session_id, wave, second_ns, min(bucket_hi) filter (where cum >= ceil(0.99 * total)) as p99, max(total) as n from (select z.*, cast(sum(n) over (partition by session_id, wave, second_ns order by bucket_hi rows between unbounded preceding and current row) as bigint) as cum, cast(sum(n) over (partition by session_id, wave, second_ns) as bigint) as total from (select session_id, wave, second_ns, bucket_hi, sum(n) as n from shard_seconds group by session_id, wave, second_ns, bucket_hi) z) q group by session_id, wave, second_ns",
     "A10_retention": f"select session_id, second_ns from (select distinct session_id, second_ns from shard_seconds) d where second_ns >= (select max(second_ns) from shard_seconds) - {6 * 3600 * SECOND_NS}",
-    "A14_worst_jitter": "select r.run_group_id, max(j.top) as worst_ns, max(j.n) as worst_count from runs r join (select session_id, max(jitter_ns) as top, count(*) as n from jitter group by session_id) j on j.session_id = r.session_id group by r.run_group_id",
     "A19_disqualification": "select run_group_id, correctness, reason, case when ramps = 0 and reason is null then 'no ramp session' end as error from disqualified",
     "A20_score": "select d.run_group_id, d.correctness, d.reason is not null as disqualified, coalesce(d.reason, case when d.ramps = 0 then 'no ramp session' end) as reason, v.reason as incomplete, p.first_fail, p.fail_reason, case when d.reason is null then p.peak_tps end as peak_tps, case when d.reason is null then p.p99_at_peak end as p99_at_peak, t.sessions from disqualified d left join peaks p on p.run_group_id = d.run_group_id left join coverage_gaps v on v.run_group_id = d.run_group_id left join session_texts t on t.run_group_id = d.run_group_id",
     "A16_peak_climb": "select p.session_id, p.first_fail, p.fail_reason, p.last_pass, p.peak_tps, p.p99_at_peak, w.waves from peaks p join wave_texts w on w.session_id = p.session_id",
     "A17_max_rate": "select m.session_id, cast(round(max(cast(m.tps_20s as double) / 20)) as bigint) as peak from metrics m join runs r on r.session_id = m.session_id join (select scenario from tasks group by scenario having max(target_rps) = 0) t on t.scenario = r.scenario_id group by m.session_id",
-    "A24_jitter_stats": "select session_id, cast(max(total) as bigint) as n, max(top) as top_ns, min(low) filter (where cum > 0.50 * (total - 1)) as p50, min(low) filter (where cum > floor(0.99 * (total - 1))) as p99 from (select b.*, cast(1 as bigint) << cast(bucket - 1 as int) as low, sum(n) over (partition by session_id order by bucket rows between unbounded preceding and current row) as cum, sum(n) over (partition by session_id) as total from jitter_buckets b) q group by session_id",
     "A27_gap_spread": f"select s.session_id, max(s.t0) - min(s.t0) as spread_ns, count(*) filter (where s.t0 >= z.last_ns - {SECOND_NS}) as in_final_second from orders_sent s join outcomes o on o.session_id = s.session_id and o.order_id = s.order_id join (select session_id, max(t0) as last_ns from orders_sent group by session_id) z on z.session_id = s.session_id where o.outcome = 'gap' group by s.session_id",
     "A31_unpivot": "select session_id, class, n from (select session_id, 'overfill' as class, count(*) as n from outcomes where filled > qty group by session_id union all select session_id, case when payload_type = 'CANCEL' then 'lost_cancel' else 'lost_order' end, count(*) from outcomes where outcome = 'lost' group by session_id, case when payload_type = 'CANCEL' then 'lost_cancel' else 'lost_order' end) u where n > 0",
     "A35_percentile_curve": "select c.session_id, c.metric, p.pct, case when p.pct < 100 then round(cast(100 as double) / (100 - p.pct), 6) end as nines, max(c.total) as total, min(c.bucket_hi) as value from (select h.*, cast(sum(n) over (partition by session_id, metric order by bucket_hi rows between unbounded preceding and current row) as bigint) as cum, cast(sum(n) over (partition by session_id, metric) as bigint) as total from (select session_id, metric, bucket_hi, cast(sum(n) as bigint) as n from histograms group by session_id, metric, bucket_hi) h) c join (select 0.0 as pct union all select 25.0 union all select 50.0 union all select 75.0 union all select 90.0 union all select 95.0 union all select 99.0 union all select 99.9 union all select 99.99) p on c.cum >= greatest(1, ceil(p.pct / 100 * c.total)) group by c.session_id, c.metric, p.pct",

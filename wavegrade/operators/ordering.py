@@ -84,3 +84,18 @@ def jitter(acked: DataFrame, allowed_ns: int = 500_000, parts: int | None = None
     late = F.col("other_t3") > F.col("t3")
     gap = F.col("other_t3") - F.col("t3")
     return cross_flow(acked, parts).select("session_id", "order_id", F.coalesce(late, F.lit(False)).alias("inversion"), F.when(late, gap).otherwise(0).alias("jitter_ns"), F.coalesce(gap > allowed_ns, F.lit(False)).alias("violation"))
+
+
+def jitter_stats(acked: DataFrame, parts: int | None = None) -> DataFrame:
+    """Of each session with inversions their number and share of its orders, the greatest gap, and percentiles of the gaps as the lower bound of the power of two at rank trunc(p (n - 1))."""
+    j = jitter(acked, parts=parts)
+    whole = j.groupBy("session_id").agg(F.count_if("inversion").alias("n"), F.count("*").alias("orders"), F.max("jitter_ns").alias("top_ns")).where("n > 0")
+    steps = j.where("inversion").groupBy("session_id", F.length(F.bin("jitter_ns")).alias("bits")).agg(F.count("*").alias("c"))
+    cum = steps.withColumn("cum", F.sum("c").over(Window.partitionBy("session_id").orderBy("bits").rowsBetween(Window.unboundedPreceding, 0)))
+    at = lambda q: F.min(F.when(F.col("cum") > F.floor(F.lit(q) * (F.col("n") - 1)), F.expr("shiftleft(1L, bits - 1)")))
+    return cum.join(whole, "session_id").groupBy("session_id", "n", "top_ns", (F.col("n") / F.col("orders")).alias("rate")).agg(at(0.5).alias("p50"), at(0.99).alias("p99"), at(0.999).alias("p999"))
+
+
+def worst_jitter(stats: DataFrame, runs: DataFrame) -> DataFrame:
+    """Of each run group the greatest of each figure over its sessions."""
+    return stats.join(runs.select("session_id", "run_group_id"), "session_id").groupBy("run_group_id").agg(*(F.max(c).alias(c) for c in ("p50", "p99", "p999", "top_ns", "rate")))

@@ -48,7 +48,7 @@ QUERIES = {
     "A04_merge": "select metric, bucket_hi, cast(sum(n) as bigint) as n from histograms group by metric, bucket_hi",
     "A06_snapshot": "select q.session_id, r.contestant_id, q.wave, p50, p90, p99, p999, rt_p50, rt_p90, rt_p99, cast(c.responded as double) / 20 as tps, case when c.offered > 0 then cast(c.timed_out + c.rejected as double) / c.offered else 0.0 end as error_rate from wave_quantiles q join window_counters c on c.session_id = q.session_id and c.wave = q.wave join runs r on r.session_id = q.session_id and r.contestant_id <> ''",
     "A07_rollup_counters": f"select session_id, wave, t0 - t0 % {SECOND_NS} as second_ns, count(*) as offered, count(*) filter (where timed_out) as errors from sent_waves group by session_id, wave, t0 - t0 % {SECOND_NS}",
-    "A09_ten_seconds": f"select r.contestant_id, second_ns - second_ns % {10 * SECOND_NS} as bucket_ns, round(cast(sum(p99) as double) / count(*), 6) as avg_p99, max(n) as max_tps, round(cast(sum(errors) as double) / greatest(cast(sum(offered) as bigint), 1), 9) as error_rate from second_rows q join runs r on r.session_id = q.session_id group by r.contestant_id, second_ns - second_ns % {10 * SECOND_NS}",
+    "A09_ten_seconds": f"select r.contestant_id, second_ns - second_ns % {10 * SECOND_NS} as bucket_ns, round(cast(sum(p99) as double) / count(*), 6) as avg_p99, max(n) as max_tps, round(sum(case when offered > 0 then cast(errors as double) / offered else cast(0 as double) end) / count(*), 9) as error_rate from second_rows q join runs r on r.session_id = q.session_id group by r.contestant_id, second_ns - second_ns % {10 * SECOND_NS}",
     "A11_wave_input": "select wave, max(p99) as max_p99, max(error_rate) as max_error, cast(sum(tps_20s) as double) / count(*) as avg_tps from metrics group by wave",
     "A12_upper_median": "select wave, n, p99 as median_p99 from (select wave, p99, row_number() over (partition by wave order by p99, session_id) as nth, count(*) over (partition by wave) as n from metrics) q where nth = (n - n % 2) / 2 + 1",
     "A13_group_correctness": "select r.run_group_id, least(cast(sum(least(filled, qty)) as double) / greatest(cast(sum(filled) as bigint), 1), 1.0) as total_correctness from runs r join outcomes o on o.session_id = r.session_id where r.scenario_id = 'correctness' group by r.run_group_id",
