@@ -39,8 +39,9 @@ def _codes() -> str:
 def _repeats() -> str:
     w = suffix_dedup.WIDTH
     return f"""with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-s as materialized (select doc_id, i, hash(substr(h, 2 * i + 1, {2 * w})) as c from (select doc_id, h, unnest(range(greatest(len(h) // 2 - {w - 1}, 0))) as i from d) q),
-t as materialized (select s.doc_id, s.i, substr(d.h, 2 * s.i + 1, {2 * w}) as t from s join (select c from s group by c having min(doc_id) < max(doc_id)) m on m.c = s.c join d on d.doc_id = s.doc_id),
+e as materialized (select doc_id, b, substr(h, 2 * b + 1, {2 * (500 + w - 1)}) as part from (select doc_id, h, unnest(range(0, greatest(len(h) // 2 - {w - 1}, 0), 500)) as b from d) q),
+s as materialized (select doc_id, b, i, hash(substr(part, 2 * i + 1, {2 * w})) as c from (select doc_id, b, part, unnest(range(len(part) // 2 - {w - 1})) as i from e) q),
+t as materialized (select s.doc_id, s.b + s.i as i, substr(e.part, 2 * s.i + 1, {2 * w}) as t from s join (select c from s group by c having min(doc_id) < max(doc_id)) m on m.c = s.c join e on e.doc_id = s.doc_id and e.b = s.b),
 f as materialized (select t.doc_id, t.i from t join (select t, min(doc_id) as least from t group by t) m on m.t = t.t where least < t.doc_id),
 g as (select doc_id, i, sum(case when before is null or i > before + {w} then 1 else 0 end) over (partition by doc_id order by i) as span from (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from f) q),
 p as materialized (select doc_id, span, min(i) as a, max(i) + {w} as b from g group by doc_id, span),
