@@ -7,11 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavegrade.operators import feeds, grading, relational
+from wavegrade.operators import derived, feeds, grading, relational
 from wavegrade.sources import views
 
 QUERIES = relational.QUERIES | grading.QUERIES
-VIEWS = views.VIEWS | grading.VIEWS
+VIEWS = views.VIEWS | grading.VIEWS | derived.VIEWS
 
 TABLES = ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier")
 
@@ -53,5 +53,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    views = VIEWS | grading.ORACLE_VIEWS
+    views = VIEWS | grading.ORACLE_VIEWS | derived.ORACLE_VIEWS
     return {name: statement(grading.ORACLES.get(name, sql), views) for name, sql in QUERIES.items()} | {name: statement(sql, views) for name, sql in feeds.ORACLES.items()}

@@ -73,6 +73,31 @@ def scan_session(events: DataFrame, session_id: str, started_ns: int, end_ns: in
     return events.where((F.col("session_id") == session_id) & (F.col(time_col) >= started_ns - lead_ns) & (F.col(time_col) <= end_ns))
 
 
+def session_start_ms(session_id: str) -> int | None:
+    """The time inside a session id of version 7, in milliseconds; None for any other id."""
+    digits = session_id.replace("-", "")
+    if not re.fullmatch(r"[0-9a-fA-F]{32}", digits) or digits[12] != "7":
+        return None
+    return int(digits[:12], 16) or None
+
+
+def write_events(rows: DataFrame, path: str, partitions: int, time_col: str = "t0", key: str = "order_id") -> None:
+    """Events in folders by the hour of their time and by partition of their key, appended; a folder much greater than others is dealt to several tasks."""
+    placed = rows.withColumn("event_hour", F.floor(F.col(time_col) / (3600 * SECOND_NS)).cast("int")).withColumn("part", shard(F.col(key), partitions).cast("int"))
+    placed.hint("rebalance", "event_hour", "part").write.mode("append").partitionBy("event_hour", "part").parquet(path)
+
+
+def scan_layout(spark: SparkSession, path: str, session_id: str, end_ns: int, partitions: int, band: int | None = None, width: int = 10, time_col: str = "t0", lead_ns: int = 60 * SECOND_NS) -> DataFrame:
+    """One session's events from a layout of write_events, from lead_ns before the time in its id (from the first event for an
+    id without one) up to end_ns, in the leased band of partitions (all if None). Hours and partitions choose the folders that are read."""
+    start = session_start_ms(session_id)
+    events = spark.read.parquet(path).where((F.col("session_id") == session_id) & (F.col(time_col) <= end_ns) & (F.col("event_hour") <= end_ns // (3600 * SECOND_NS)))
+    if start is not None:
+        from_ns = start * 1_000_000 - lead_ns
+        events = events.where((F.col(time_col) >= from_ns) & (F.col("event_hour") >= from_ns // (3600 * SECOND_NS)))
+    return events if band is None else events.where(F.col("part").isin(band_partitions(band, width, partitions)))
+
+
 def band_partitions(band: int, width: int, partitions: int) -> list[int]:
     """The partitions that a leased band covers, wrapping around."""
     return sorted({(band * width + k) % partitions for k in range(min(width, partitions))})
@@ -183,3 +208,27 @@ def shard(key: Column, n: int) -> Column:
 def write_sharded(rows: DataFrame, path: str, n: int, key: str = "order_id", chunk: int = 1000) -> None:
     """Rows dealt to n shards by the key, in files of at most chunk rows; two streams written alike meet shard by shard."""
     rows.withColumn("shard", shard(F.col(key), n)).repartition(n, "shard").write.option("maxRecordsPerFile", chunk).partitionBy("shard").parquet(path)
+
+
+def write_bucketed(rows: DataFrame, n: int, keys: tuple[str, ...] = ("session_id", "order_id")) -> DataFrame:
+    """S25 for joins: rows as a table of n buckets by keys, a file and a sort for each, in a new shared folder, read again. Tables with
+    equal n and keys join and aggregate by these keys without a shuffle. n is to be chosen so that a bucket fits a task's memory."""
+    name = "bucketed_" + uuid.uuid4().hex
+    rows.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", scratch(rows.sparkSession)).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
+RANKS = {"uploaded": 0, "building": 1, "scanned": 2, "sbom_ready": 2, "ready": 3, "failed": 4}
+
+
+def fold_submissions(events: DataFrame, key: str = "entity_id", status: str = "status", time: str = "at") -> DataFrame:
+    """The status of each submission: its events in the order of time (ties by status), where a lower rank than the present one and
+    anything after failed has no effect, and unknown or null statuses have none. That is the last one of the greatest rank, so any order of
+    arrival gives the same and tasks pre-aggregate. ignored: how many known events came after one of greater rank."""
+    rank = F.create_map(*(F.lit(x) for kv in RANKS.items() for x in kv))[F.col(status)]
+    e = events.select(F.col(key).alias("_key"), F.col(status).alias("_status"), F.col(time).alias("_at"), rank.alias("_rank")).where("_rank is not null and _key is not null and _at is not null")
+    over = [F.min(F.when(F.col("_rank") > r, F.struct("_at", "_status"))).alias(f"_over{r}") for r in range(4)]
+    state = e.groupBy("_key").agg(F.max_by("_status", F.struct("_rank", "_at", "_status")).alias("status"), F.max_by("_at", F.struct("_rank", "_at", "_status")).alias("since"), *over)
+    passed = F.coalesce(*(F.when(F.col("_rank") == r, F.col(f"_over{r}")) for r in range(4)))
+    back = e.join(state.select("_key", *(f"_over{r}" for r in range(4))), "_key").where(passed < F.struct("_at", "_status")).groupBy("_key").agg(F.count("*").alias("ignored"))
+    return state.join(back, "_key", "left").select(F.col("_key").alias(key), "status", "since", F.coalesce("ignored", F.lit(0)).alias("ignored"))
