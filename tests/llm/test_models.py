@@ -105,3 +105,32 @@ def test_shard_store(spark, tmp_path):
         store.commit(seen - 1, [])  # another writer has that version
     assert store.vacuum(grace_s=-1) == 6 - sum(s in shards for s in after)
     assert store.read(docs.schema).count() == docs.count()
+
+
+def test_writers_that_stop_midway(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    store = tiered_shards.ShardStore(spark, str(tmp_path))
+    store.append(docs)
+    (tmp_path / "manifests" / "v00000002.json").write_text("")
+    (tmp_path / "manifests" / "v00000003.json").write_text("[{\"path\": \"x")
+    (tmp_path / "manifests" / "_killed.tmp").write_text("[")
+    assert store.manifest()[0] == 1 and store.read(docs.schema).count() == docs.count()
+    assert store.append(docs) == 4 and store.read(docs.schema).count() == 2 * docs.count()
+    with pytest.raises(RuntimeError):
+        store.commit(1, [])
+    assert sorted(p.name for p in (tmp_path / "manifests").iterdir() if p.suffix == ".tmp") == ["_killed.tmp"]
+    assert store.vacuum(grace_s=-1) == 1 and store.vacuum() == 0
+    assert store.read(docs.schema).count() == 2 * docs.count()
+
+
+def test_shards_of_a_table_in_arrivals(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.union(docs.limit(3)).union(spark.createDataFrame([tuple(None for _ in docs.columns)], docs.schema)).withColumn("shard_id", docs.doc_id * 2)
+    store, version = tiered_shards.shard(docs.repartition(3), root=str(tmp_path))
+    assert version > 8  # eight arrivals and at least one merge
+    assert sorted(map(repr, store.read(docs.schema).collect())) == sorted(map(repr, docs.collect()))
+    rows = tiered_shards.placed(docs.repartition(3)).collect()
+    assert sorted(repr(r.doc_id) for r in rows) == sorted(repr(r.doc_id) for r in docs.collect())
+    assert len({(r.shard_id, r.shard_bytes) for r in rows}) == len({r.shard_id for r in rows}) and len({r.version for r in rows}) == 1
+    empty, first = tiered_shards.shard(docs.limit(0), root=str(tmp_path / "empty"))
+    assert first == 1 and empty.read(docs.schema).count() == 0

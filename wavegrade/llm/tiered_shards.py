@@ -3,9 +3,12 @@
 Arrivals are appended as small immutable Parquet shards. Shards of a like size (a tier is a power of FANOUT
 times the smallest size) are merged when a tier holds FANOUT or more: whole files are packed into runs whose
 bytes sum to at most the target, and each run becomes one new file, read and written by one task without a
-shuffle. Every change writes new files, then commits a new manifest version by creating a file that must not
-exist yet; readers take the newest version and its files only, so a lost executor or a failed merge leaves
-nothing half done. vacuum removes files that no kept version names, once they are older than a grace time.
+shuffle. Every change writes new files, then commits a new manifest version: the manifest is written whole under
+a name of its own, then given its version's name, which must not exist yet. Readers take the newest version and
+its files only, so a lost executor, a failed merge or a writer that stops at any point leaves nothing half done.
+A version's file that no writer of this store can have left (empty or cut off) is passed over by its number.
+vacuum removes files that no kept version names, once they are older than a grace time. Where a file system has
+no rename or link that fails on an existing name (some object stores), writers must be kept apart otherwise.
 
 Edge cases: null ids and texts and repeated rows are kept as they are; one row larger than the target makes
 a shard of its own; an empty table commits a manifest without shards; columns of any name pass unchanged; of
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from wavegrade.llm.common import shared_folder
 
 TARGET_BYTES, ARRIVAL_ROWS, FANOUT, SMALLEST = 128 << 20, 20_000, 4, 1 << 20
+#: Arrivals in which a table is put into a store.
+ARRIVALS = 8
 #: Runs that one job merges.
 MERGED_AT_ONCE = 64
 
@@ -45,26 +50,51 @@ class ShardStore:
         names = (x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.root}/manifests")))
         return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
+    def _manifest(self, version: int) -> list[dict] | None:
+        """The shards of a version; None if its file is not whole."""
+        text = self.spark.read.text(f"{self.root}/manifests/v{version:08d}.json", wholetext=True).first()
+        return json.loads(text[0]) if text and text[0].endswith("\n") else None
+
     def manifest(self) -> tuple[int, list[dict]]:
         """The newest version and its shards: path, bytes and tier."""
         for version in reversed(self.versions()):
-            text = self.spark.read.text(f"{self.root}/manifests/v{version:08d}.json", wholetext=True).first()
-            if text and text[0].endswith("\n"):  # else its writer has not closed it yet
-                return version, json.loads(text[0])
+            shards = self._manifest(version)
+            if shards is not None:
+                return version, shards
         return 0, []
 
+    def _publish(self, written, final) -> None:
+        """Give a whole file its final name, unless that exists: a hard link on local files, elsewhere a rename that does not overwrite."""
+        jvm = self.spark.sparkContext._jvm
+        if self._fs.getUri().getScheme() == "file":
+            paths = [jvm.java.io.File(p.toUri().getPath()).toPath() for p in (final, written)]
+            jvm.java.nio.file.Files.createLink(*paths)
+            self._fs.delete(written, False)
+            return
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.NONE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._fs.getConf()).rename(written, final, options)
+
     def commit(self, seen: int, shards: list[dict]) -> int:
-        """Write version seen + 1; fails if somebody else has. The file is created under its final name, which only one writer can do."""
-        final = self._path(f"{self.root}/manifests/v{seen + 1:08d}.json")
+        """Write the version after seen; fails if somebody else has. Numbers after seen whose files are not whole are passed over."""
+        text = json.dumps(sorted(shards, key=lambda s: s["path"])).encode() + b"\n"
+        written = self._path(f"{self.root}/manifests/_{uuid.uuid4().hex}.tmp")
+        out = self._fs.create(written, False)
+        out.write(text)
+        out.close()
+        later = [v for v in self.versions() if v > seen]
+        if any(self._manifest(v) is not None for v in later):
+            self._fs.delete(written, False)
+            raise RuntimeError(f"a version after {seen} was committed meanwhile")
+        version = max([seen, *later]) + 1
         try:
-            out = self._fs.create(final, False)
+            self._publish(written, self._path(f"{self.root}/manifests/v{version:08d}.json"))
         except Py4JJavaError as error:
             if "exist" in str(error.java_exception).lower():
-                raise RuntimeError(f"version {seen + 1} was committed meanwhile") from error
+                raise RuntimeError(f"version {version} was committed meanwhile") from error
             raise
-        out.write(json.dumps(sorted(shards, key=lambda s: s["path"])).encode() + b"\n")
-        out.close()
-        return seen + 1
+        return version
 
     def tier(self, size: int) -> int:
         t = 0
@@ -88,6 +118,16 @@ class ShardStore:
         seen, shards = self.manifest()
         return self.commit(seen, shards + self._write(df, rows))
 
+    def append_arrivals(self, df: DataFrame, arrivals: int, id_col: str, rows: int = ARRIVAL_ROWS):
+        """df as so many arrivals, dealt by the id and written in one pass; each is committed as a version of its own when its turn comes."""
+        folder, name = f"{self.root}/shards/{uuid.uuid4().hex}", f"arrival_{uuid.uuid4().hex}"
+        dealt = df.withColumn(name, F.pmod(F.xxhash64(id_col), F.lit(arrivals)))
+        dealt.write.partitionBy(name).option("maxRecordsPerFile", rows).option("compression", "zstd").parquet(folder)
+        for k in range(arrivals):
+            if self._fs.exists(self._path(f"{folder}/{name}={k}")):
+                seen, shards = self.manifest()
+                yield self.commit(seen, shards + self._files(f"{folder}/{name}={k}"))
+
     def runs(self, shards: list[dict]) -> list[list[dict]]:
         """The shards packed into runs of at most the target's bytes, the largest first into the first run with room."""
         out: list[list] = []
@@ -117,14 +157,19 @@ class ShardStore:
 
     def vacuum(self, keep: int = 1, grace_s: float = 86_400) -> int:
         """Remove shard files that none of the newest `keep` versions names and that are older than the grace time (a commit may be under way); how many went."""
-        named = set()
-        for version in self.versions()[-keep:]:
-            named |= {s["path"] for s in json.loads(self.spark.read.text(f"{self.root}/manifests/v{version:08d}.json", wholetext=True).first()[0])}
-        top, gone = self._path(f"{self.root}/shards"), 0
-        for folder in self._fs.listStatus(top) if self._fs.exists(top) else []:
-            for x in self._fs.listStatus(folder.getPath()):
+        named, kept = set(), 0
+        for version in reversed(self.versions()):
+            shards = self._manifest(version) if kept < keep else None
+            if shards is not None:
+                named |= {s["path"] for s in shards}
+                kept += 1
+        gone = 0
+        for top, end in (("shards", ".parquet"), ("manifests", ".tmp")):
+            files = self._fs.listFiles(self._path(f"{self.root}/{top}"), True) if self._fs.exists(self._path(f"{self.root}/{top}")) else None
+            while files is not None and files.hasNext():
+                x = files.next()
                 old = x.getModificationTime() / 1000 <= time.time() - grace_s
-                if x.getPath().getName().endswith(".parquet") and x.getPath().toString() not in named and old:
+                if x.getPath().getName().endswith(end) and x.getPath().toString() not in named and old:
                     gone += bool(self._fs.delete(x.getPath(), False))
         return gone
 
@@ -133,19 +178,20 @@ class ShardStore:
         return self.spark.read.schema(schema).parquet(*(s["path"] for s in shards)) if shards else self.spark.createDataFrame([], schema)
 
 
-def shard(docs: DataFrame, target: int = TARGET_BYTES, root: str | None = None) -> tuple[ShardStore, int]:
-    """docs appended to a store and compacted until no tier is crowded; the store and its version."""
+def shard(docs: DataFrame, target: int = TARGET_BYTES, root: str | None = None, arrivals: int = ARRIVALS, id_col: str = "doc_id") -> tuple[ShardStore, int]:
+    """docs put into a store in several arrivals, after each of which tiers that are crowded are merged; the store and its version."""
     spark = docs.sparkSession
     store = ShardStore(spark, root or f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}", target)
-    version = store.append(docs)
-    while (new := store.compact(docs.schema)) != version:
-        version = new
-    return store, version
+    version = 0
+    for version in store.append_arrivals(docs, arrivals, id_col):
+        while (new := store.compact(docs.schema)) != version:
+            version = new
+    return store, version or store.manifest()[0] or store.commit(0, [])
 
 
 def placed(docs: DataFrame, id_col: str = "doc_id", target: int = TARGET_BYTES) -> DataFrame:
     """Per row: the id, the shard's number in the manifest, the shard's bytes, and the manifest version."""
-    store, version = shard(docs, target)
+    store, version = shard(docs, target, id_col=id_col)
     spark, files = docs.sparkSession, store.manifest()[1]
     # One row per shard of the target size: a file list, which Spark's reader holds in the driver as well.
     names = spark.createDataFrame([(s["path"].rsplit("/", 1)[-1], i, s["bytes"]) for i, s in enumerate(files)], "name string, shard_id long, shard_bytes long")
