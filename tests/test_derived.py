@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from wavegrade.operators import alerts, intime, nested, rollup
+from wavegrade.operators import alerts, intime, nested, rollup, violations
 from wavegrade.operators.feeds import folder
 from wavegrade.sources import io
 
@@ -137,3 +137,25 @@ def test_a_status_that_goes_back_has_no_effect(spark):
     for order in ("at", "status"):
         found = {r.entity_id: (r.status, r.since.second, r.ignored) for r in io.fold_submissions(df.orderBy(order)).collect()}
         assert found == {"a": ("ready", 3, 1), "b": ("failed", 2, 1), "c": ("scanned", 2, 0)}
+
+
+def test_violations_that_need_no_book(spark):
+    sent = spark.createDataFrame([("s", o, 10, k, lost) for o, k, lost in (("1", "NEW", False), ("2", "NEW", False), ("3", "NEW", False), ("4", "CANCEL", True), ("5", "NEW", True), ("6", "NEW", False), ("7", "NEW", False))], "session_id string, order_id string, qty long, payload_type string, timed_out boolean")
+    ms = 1_000_000
+    ack = lambda o, ip, seq, t3, t7, e="0", q=0: ("s", o, ip, 1, seq, t3, t7, e, q, 7)
+    rows = [
+        ack("1", 1, 10, 5 * ms, 20 * ms, "1", 6), ack("1", 1, 10, 5 * ms, 21 * ms, "F", 5), ack("1", 1, 10, 5 * ms, 21 * ms, "F", 5),  # 11 of 10; redelivered
+        ack("2", 1, 20, 6 * ms, 19 * ms),  # before order 1 of its flow, so order 1 is out of sequence
+        ack("3", 2, 5, 1 * ms, 30 * ms),  # after later orders of another flow
+        ack("7", 3, 1, 2 * ms, 1 * ms),  # answered before it came: unusable, so lost
+        ack("nobody", 1, 40, 1 * ms, 2 * ms, "F", 3),
+    ]
+    acked = spark.createDataFrame(rows, "session_id string, order_id string, src_ip long, src_port long, tcp_seq long, t3 long, t7 long, exec_type string, fill_qty long, fill_price long")
+    found = violations.violations(sent, acked, parts=3)
+    assert sorted((r.order_id, r["class"], r.detail) for r in found.collect()) == [("1", "overfill", "5"), ("1", "time", "flow"), ("3", "time", "cross"), ("4", "lost_cancel", ""), ("5", "lost_order", ""), ("7", "lost_order", "")]
+    assert [tuple(r) for r in violations.phantoms(sent, acked).collect()] == [("s", 1)]
+    assert [tuple(r) for r in violations.counters(found, ["session_id"]).collect()] == [("s", 1, 2, 2, 1, 6)]
+    assert {tuple(r) for r in violations.class_counts(found).collect()} == {("s", "overfill", 1), ("s", "time", 2), ("s", "lost_order", 2), ("s", "lost_cancel", 1)}
+    assert [(r["class"], r.n, r.total) for r in violations.summary(found).collect()] == [("lost_order", 2, 6), ("time", 2, 6), ("lost_cancel", 1, 6), ("overfill", 1, 6)]
+    assert violations.examples(found, 1).count() == 4
+    assert violations.violations(sent.limit(0), acked.limit(0)).count() == 0

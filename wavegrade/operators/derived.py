@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wavegrade.operators import alerts, intime, nested, rollup
-from wavegrade.operators.feeds import _in_time, _late, _md5, folder, query, view
+from wavegrade.operators import alerts, intime, nested, rollup, violations
+from wavegrade.operators.feeds import _in_time, _late, _md5, _pairs, _steps, folder, query, view
 from wavegrade.sources import io
 from wavegrade.sources.views import B, SECOND_NS, WAVE_NS
 
@@ -33,6 +33,8 @@ join (select concat('g', cast(cast(substr(entity_id, 2) as bigint) % 40 as strin
 select session_id, cast(count(*) filter (where liquidity_ind = 1) as double) / count(*) as correctness_score, count(*) filter (where liquidity_ind = 1) as valid_fills, count(*) as total_fills
 from live_acks where is_fill and session_id not in ('s5', 's11', 's17') group by session_id""",
     "group_violations": "select r.run_group_id, o.outcome as kind, count(*) as n from outcomes o join runs r on r.session_id = o.session_id where o.outcome <> 'matched' and r.run_group_id <> 'g3' group by r.run_group_id, o.outcome",
+    # Some orders' answers come six seconds late: with a cap of five they can't be used.
+    "slow_acks": f"select session_id, order_id, src_ip, src_port, tcp_seq, t3, t7 + case when cast(order_id as bigint) % 45 = 4 then {6 * SECOND_NS} else 0 end as t7, exec_type, fill_qty, fill_price from orders_acked",
     "submission_events": "select concat(entity_id, '/', cast(event_id % 31 as string)) as submission_id, case when event_id % 17 = 0 then 'paused' else submission_status end as status, event_id div 2 as seen_at from status_events",
     # Sessions with ids that hold their start, an hour apart; a part of their orders lies before it.
     "timed_orders": f"""
@@ -43,6 +45,14 @@ _on = "{0}.session_id = {1}.session_id and {0}.wave = {1}.wave and {0}.shard = {
 ORACLE_VIEWS = {
     "counter_samples": _samples.format(at=f"{_epoch} + (cast(floor(epoch(ts)) as bigint) - {_epoch}) // 12"),
     "submission_events": VIEWS["submission_events"].replace(" div ", " // "),
+    "answers_of_sent": "select distinct a.* from slow_acks a where exists (select 1 from orders_sent s where s.session_id = a.session_id and s.order_id = a.order_id)",
+    "graded_acks": f"select * from answers_of_sent where t7 >= t3 and t7 - t3 <= {5 * SECOND_NS}",
+    "o_fills": "select * from answers_of_sent where fill_qty > 0 and exec_type in ('1', '2', 'F')",
+    "o_violations": f"""
+select session_id, order_id, 'overfill' as class, cast(fill_qty as varchar) as detail from (select f.*, s.qty, sum(f.fill_qty) over (partition by f.session_id, f.order_id order by t7, exec_type, fill_qty, fill_price rows unbounded preceding) as cum from o_fills f join orders_sent s on s.session_id = f.session_id and s.order_id = f.order_id) c where cum > qty
+union all select session_id, order_id, 'time', 'flow' from (select *, lag(tcp_seq) over (partition by session_id, flow order by step) as before from {_steps} q) z where (tcp_seq - before + 2147483648 + 4294967296) % 4294967296 - 2147483648 <= 0
+union all select session_id, order_id, 'time', 'cross' from ({_pairs}) p where other_t3 - t3 > 500000
+union all select session_id, order_id, case payload_type when 'CANCEL' then 'lost_cancel' else 'lost_order' end, '' from orders_sent s where not exists (select 1 from graded_acks a where a.session_id = s.session_id and a.order_id = s.order_id) and (timed_out or exists (select 1 from slow_acks a where a.session_id = s.session_id and a.order_id = s.order_id))""".replace("from orders_acked group", "from graded_acks group"),
     "o_secs": _secs,
     "o_cum": f"select s.session_id, s.wave, s.shard, s.second_ns, c.bucket_hi, cast(sum(c.n) as bigint) as n from o_secs s join shard_counts c on {_on.format('c', 's')} and c.run = s.run and c.second_ns <= s.second_ns group by all",
     "o_seq": f"select {_by}, second_ns, lag(second_ns) over (partition by {_by} order by second_ns) as prev_ns from o_secs",
@@ -179,3 +189,36 @@ from (select q.*, coalesce(rank < max(rank) over (partition by submission_id ord
 group by submission_id""")
 def T20_submission_fold(spark, sf_dir):
     return io.fold_submissions(view(spark, sf_dir, "submission_events"), "submission_id", time="seen_at")
+
+
+def found_violations(spark, sf_dir):
+    return io.stored(violations.violations(view(spark, sf_dir, "orders_sent"), view(spark, sf_dir, "slow_acks"), anomaly_cap_ns=5 * SECOND_NS))
+
+
+_each = ", ".join(f"count(*) filter (where class = '{c}') as {c}" for c in violations.CLASSES)
+
+
+@query(f"select v.*, coalesce(p.phantoms, 0) as phantoms from (select session_id, {_each}, count(*) as violations from o_violations group by session_id) v left join (select session_id, count(*) as phantoms from (select distinct session_id, order_id, exec_type, t3, t7, fill_qty, fill_price from orders_acked a where fill_qty > 0 and exec_type in ('1', '2', 'F') and not exists (select 1 from orders_sent s where s.session_id = a.session_id and s.order_id = a.order_id)) d group by session_id) p on p.session_id = v.session_id")
+def A21_book_free_classes(spark, sf_dir):
+    beside = violations.phantoms(view(spark, sf_dir, "orders_sent"), view(spark, sf_dir, "orders_acked"))
+    return violations.counters(found_violations(spark, sf_dir), ["session_id"]).join(beside, "session_id", "left").withColumn("phantoms", F.coalesce("phantoms", F.lit(0)))
+
+
+@query("select * from (select v.*, row_number() over (partition by session_id, class order by order_id, detail) as nth from o_violations v) q where nth <= 100")
+def A23_examples_by_class(spark, sf_dir):
+    return violations.examples(found_violations(spark, sf_dir))
+
+
+@query("select session_id, class, count(*) as n from o_violations group by all")
+def A31_class_counts(spark, sf_dir):
+    return violations.class_counts(found_violations(spark, sf_dir))
+
+
+@query("select class, count(*) as n, (select count(*) from o_violations) as total, count(*) / (select cast(count(*) as double) from o_violations) as share from o_violations group by class")
+def A41_class_summary(spark, sf_dir):
+    return violations.summary(found_violations(spark, sf_dir))
+
+
+@query(f"select run_group_id, {_each}, count(*) as violations from o_violations v join runs r on r.session_id = v.session_id group by run_group_id")
+def J16_group_counters(spark, sf_dir):
+    return violations.counters(found_violations(spark, sf_dir).join(view(spark, sf_dir, "runs").select("session_id", "run_group_id"), "session_id"), ["run_group_id"])
