@@ -1,13 +1,16 @@
 """The field, the language model, benchmark parts and the shard store against brute force."""
 
 import math
+import random
+import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from wavegrade.llm import fm_decontaminate, lbl_score, pii_semicrf, tiered_shards
+from wavegrade.llm import fm_decontaminate, language_fusion, lbl_score, pii_semicrf, tiered_shards
 from wavegrade.llm.common import folded
 
 SF = "/root/testdata/sf0.001"
@@ -134,3 +137,22 @@ def test_shards_of_a_table_in_arrivals(spark, tmp_path):
     assert len({(r.shard_id, r.shard_bytes) for r in rows}) == len({r.shard_id for r in rows}) and len({r.version for r in rows}) == 1
     empty, first = tiered_shards.shard(docs.limit(0), root=str(tmp_path / "empty"))
     assert first == 1 and empty.read(docs.schema).count() == 0
+
+
+def test_page_patterns_equal_plain_ones_and_are_linear():
+    rng = random.Random(5)
+    pieces = [b"<html", b"<HTML ", b" lang", b"=", b"'de'", b"\"en", b"xlang=fr", b">", b"<", b"<p>", b" ", b"text", b"\n", "\u00e9".encode(), b"-lang = pl"]
+    tag, lang = re.compile(rb"<[^>]*>"), re.compile(rb"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
+    named = 0
+    for _ in range(20_000):
+        page = b"".join(rng.choices(pieces, k=rng.randrange(14)))
+        m = lang.search(page)
+        named += m is not None
+        assert language_fusion.declared_in(page) == (m and m.group(1)), page
+        assert language_fusion.untagged(page) == tag.sub(b" ", page), page
+    assert named > 500
+    began = time.time()
+    for unit in (b"<html ", b"<a ", b"<html lang ", b"<html>", b"lang="):
+        language_fusion.declared_in(unit * 200_000)
+        language_fusion.untagged(unit * 200_000)
+    assert time.time() - began < 20

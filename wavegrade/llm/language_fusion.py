@@ -36,7 +36,28 @@ COUNTRY_SUFFIXES = {"at": "de", "ca": "en", "cl": "es", "de": "de", "es": "es",
 #: What holds no text; each kind ends at its own closing mark.
 _open = re.compile(rb"<(script|style|nav)\b|(<!--)|(<div class=\"ad\">)", re.I)
 _tag = re.compile(rb"<[^>]*>")
-_declared = re.compile(rb"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
+_html = re.compile(rb"<html\b", re.I)
+_lang = re.compile(rb"\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
+
+
+def untagged(html: bytes) -> bytes:
+    """The page with a blank for each tag; what follows the last closing bracket is no tag, and isn't looked through for one."""
+    end = html.rfind(b">") + 1
+    return _tag.sub(b" ", html[:end]) + html[end:]
+
+
+def declared_in(html: bytes) -> bytes | None:
+    """The language that the first html tag with one names. Tags that are open at the same closing bracket are looked through once."""
+    done = -1
+    for m in _html.finditer(html):
+        if m.start() < done:
+            continue
+        end = html.find(b">", m.end())
+        done = len(html) if end < 0 else end
+        found = _lang.search(html, m.end(), done)
+        if found:
+            return found.group(1)
+    return None
 
 
 def visible(html: bytes) -> bytes:
@@ -97,9 +118,8 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
         for batch in blocks(batches, html_col):
             declared, rows = [], []
             for html in raw_texts(batch, html_col):
-                m = _declared.search(html)
-                declared.append(m.group(1).decode().lower() if m else "")
-                ll = model @ np.bincount(slots(b" ".join(_tag.sub(b" ", visible(html)).split())), minlength=SLOTS)
+                declared.append((declared_in(html) or b"").decode().lower())
+                ll = model @ np.bincount(slots(b" ".join(untagged(visible(html)).split())), minlength=SLOTS)
                 rows.append((TEXT_WEIGHT * (ll - ll.max())).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_host"), pa.array(declared, pa.string()), pa.array(rows, pa.list_(pa.float64()))], names=[id_col, "host", "declared", "ll"])
 
