@@ -1,6 +1,7 @@
 """The document operators against plain brute-force versions on the small table and on edge cases."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -194,3 +195,35 @@ def test_pii(spark, edge):
 def test_quality_held_out(spark):
     scored = queries.op2_quality_classifier(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").collect()
     assert sum((r["score"] >= 0.5) == (r["quality"] == 1) for r in scored) >= 0.85 * len(scored)
+
+
+def plain_base_spans(text):
+    """The base rules as written: every pattern over the whole text."""
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
+    for kind, pattern, low, high in (("card", r"[0-9]([\x20-]?[0-9])+", 16, 19), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 8, 15)):
+        for m in re.finditer(pattern, text):
+            d = [int(c) for c in m.group() if c.isdigit()]
+            luhn = sum(v if i % 2 == 0 else v * 2 - 9 * (v > 4) for i, v in enumerate(reversed(d))) % 10 == 0
+            if low <= len(d) <= high and (kind == "phone" or luhn):
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_pii_base_columns_equal_the_plain_patterns(spark):
+    got = {r["doc_id"]: r for r in queries.op1_pii(spark, SF).collect()}
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for d, text in rows:
+        want = plain_base_spans(text or "")
+        line = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert (got[d]["n_email"], got[d]["n_ip"], got[d]["n_card"], got[d]["n_phone"]) == tuple(sum(s[0] == k for s in want) for k in pii_semicrf.KINDS)
+        assert got[d]["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+        assert set(filter(None, line.split(","))) <= set(got[d]["spans"].split(","))
+
+
+def test_pii_base_rules_on_random_marks():
+    rng = random.Random(3)
+    for _ in range(20000):
+        text = "".join(rng.choice("aZ14560._@@ +-()\n") for _ in range(rng.randint(0, 40)))
+        assert pii_semicrf.base_spans(text) == plain_base_spans(text), text

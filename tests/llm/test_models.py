@@ -63,6 +63,19 @@ def test_field_finds_disguised_data_and_leaves_plain_text(spark):
     assert sum(want in found(s) for s, want in planted.items()) >= 3
     plain = ["we met at noon. Then 12345678 people", "in 1999 - 2004 and 2010", "look at this.Then go", "no marks here"]
     assert not any(found(s) for s in plain)
+    nobodys = ["at 2024-05-06 12:34:56 we met", "from 12-31-2024 to 01-15-2025", "ISBN 978-3-16-148410-0", "book 0-306-40615-2 is", "commit 24be1f0c9a7d3e5b8c6f4a2d1e0f9b8c7d6a5e4f fixed", "version 10.0.19041.1234 out", "population 12 345 678 in", "md5 d41d8cd98f00b204e9800998ecf8427e"]
+    assert not any(found(s) for s in nobodys)
+    whole = {"mail joe (at) example (dot) com": "joe (at) example (dot) com", "jane (at) example (dot) org wrote": "jane (at) example (dot) org", "jane AT example DOT org": "jane AT example DOT org", "jane at example dot org said": "jane at example dot org"}
+    assert all(found(s) == [("email", want)] for s, want in whole.items())
+    assert found("my key: abcdefghijklmnop1qrs") == [("secret", "abcdefghijklmnop1qrs")]
+
+
+def test_long_runs_of_one_kind_take_time_in_proportion():
+    began = time.process_time()
+    for text in ("a" * 1_000_000 + " @", "a.b" * 300_000 + "@", "x@" * 300_000, "+1 " + " " * 500_000):
+        pii_semicrf.base_spans(text)
+        pii_semicrf.examples(text)
+    assert time.process_time() - began < 20
 
 
 def test_language_model(spark):

@@ -6,20 +6,22 @@ allows is a candidate of every type, so candidates overlap on purpose. An entity
 whole span (digits, groups, separators, checks such as Luhn, what stands before and after) with weights for
 each type, and by its type after the type before it. Dynamic programming over (end, length, type) chooses
 boundaries and types jointly. As an entity holds a digit, an @ or an "at" with a dot, only the text within
-REACH characters of these is cut into tokens; the rest is free for certain, so nothing is lost.
+REACH characters of these is cut into tokens; the rest is free for certain. What the marks leave out can't be
+found: numbers of fewer than four digits near one another, and keys of under 16 characters or over 64.
 
 Weights maximise the likelihood of whole segmentations: expected features by the forward and backward sums
 over all segmentations of a window, gradient steps in numpy. Windows are gathered from every text around the
 spans of the base rules and around plain numbers, grouped by shape and counted by Spark; the SHAPES most
 frequent shapes of each sort are the training set, each as found and rewritten (disguised marks and
-separators, other cues, one digit wrong). A fifth type, secret, learns from key-like strings after a cue.
+separators, other cues, one digit wrong), and numbers that are nobody's put in their place: dates and times,
+ISBN, hashes, versions, thousands. A fifth type, secret, learns from key-like strings after a cue.
 
 Base kinds, found leftmost and without overlap per kind, failing matches dropped: email, ip (parts up to
 255), card (16 to 19 digits, Luhn), phone (a + and 8 to 15 digits). Offsets are code points. Spans by the
 base rules always stay; the field adds spans that none of those overlaps.
 
 Edge cases: null and empty texts have no spans; equal spans of two kinds are both kept; repeated rows are
-judged each; very long texts are read whole, in stretches of tokens; without any base span in the table the
+judged each; very long texts are read whole, in stretches of tokens and in time that grows with their length; without any base span in the table the
 field is empty and adds nothing; an empty table gives an empty one; only the id and text columns are read by
 find; other columns pass redact unless its length_col names one of them.
 """
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,21 +49,25 @@ FREE = len(TYPES)
 MAX_TOKENS, MAX_CHARS, REACH, STRETCH = 28, 72, 72, 4096
 #: Shapes that training takes of each sort, steps and step size, and weight decay.
 SHAPES, EPOCHS, STEP, DECAY = 24, 35, 0.8, 1e-3
+#: Numbers that are nobody's, drawn anew for each shape.
+NOBODYS = 3
 
 # The look-behind of ip only saves time: a match ends with its digits, so another can't start among them.
 _email = regex.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_host = regex.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _ip = regex.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _card = regex.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = regex.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _digit = re.compile(r"[0-9]")
-#: What an entity must hold: a digit run with others near, an @, or an "at" with a dot after it.
-_mark = regex.compile(r"[0-9](?:[^0-9\n]{0,8}[0-9]){3,}|@|(?<![A-Za-z])at(?![A-Za-z])[^\n]{1,24}?(?:(?<![A-Za-z])dot(?![A-Za-z])|\.[A-Za-z])", regex.I)
+#: What an entity must hold: a digit run with others near, a key of letters and digits, an @, or an "at" with a dot after it.
+_mark = regex.compile(r"[0-9](?:[^0-9\n]{0,8}[0-9]){3,}|(?<![A-Za-z0-9])(?=[A-Za-z]{1,63}[0-9]|[0-9]{1,63}[A-Za-z])[A-Za-z0-9]{16,64}(?![A-Za-z0-9])|@|(?<![A-Za-z])at(?![A-Za-z])[^\n]{1,24}?(?:(?<![A-Za-z])dot(?![A-Za-z])|\.[A-Za-z])", regex.I)
 _token = regex.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,64}(?![A-Za-z0-9])|[^\W\d_]+|[0-9]+|\s+|.", regex.S)
 #: Texts in which neither of these is found hold no mark.
 _plain_mark, _dotted = re.compile(r"[0-9@]"), re.compile(r"\.[A-Za-z]|(?<![A-Za-z])[dD][oO][tT](?![A-Za-z])")
 # Words before a number or key that say what follows.
 PHONE_CUES = frozenset(("call", "cell", "fax", "mobile", "phone", "ring", "tel", "telephone", "whatsapp"))
 SECRET_CUES = frozenset(("apikey", "key", "passwd", "password", "pwd", "secret", "token"))
+NUMBER_CUES = frozenset(("build", "checksum", "commit", "hash", "invoice", "isbn", "issn", "md", "order", "population", "ref", "release", "revision", "serial", "sha", "ticket", "total", "version"))
 
 
 def luhn(digits: str) -> bool:
@@ -75,11 +82,34 @@ def only_digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def isbn(digits: str) -> bool:
+    """Whether ten or thirteen digits have the check digit of a book number."""
+    if len(digits) == 10:
+        return sum((10 - i) * int(c) for i, c in enumerate(digits)) % 11 == 0
+    return digits[:3] in ("978", "979") and sum(int(c) * (1 + 2 * (i % 2)) for i, c in enumerate(digits)) % 10 == 0
+
+
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+
+
+def email_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of the email pattern, from each @ outwards: what stands before an @ is looked at once."""
+    low, at = 0, text.find("@")
+    while at >= 0:
+        name = text[low:at]
+        start = low + len(name.rstrip(LOCAL))
+        m = _host.match(text, at) if start < at else None
+        if m:
+            yield start, m.end()
+        low = m.end() if m else at + 1
+        at = text.find("@", low)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by the base rules, by kind and then start."""
     out = []
     if "@" in text:
-        out += [("email", *m.span()) for m in _email.finditer(text)]
+        out += [("email", *s) for s in email_spans(text)]
     if not _digit.search(text):
         return out
     out += [("ip", *m.span()) for m in _ip.finditer(text) if all(int(p[-4:]) <= 255 and len(p.lstrip("0")) <= 3 for p in m.group().split("."))]
@@ -127,20 +157,35 @@ class Tokens:
         dot_word = np.array([w == "dot" for w in low], bool)
         is_ = lambda c: np.array([w == c for w in words], bool)
         dots = is_(".")
+        hinge = at | dot_word
+        plain_word = (self.kind == LETTERS) & ~hinge
+        beside = lambda v, k: np.concatenate((v[k:], np.zeros(k, bool))) if k > 0 else np.concatenate((np.zeros(-k, bool), v[:k]))
         inner_dot = dots & np.array([near(i + 1)[:1].isalnum() and near(i - 1)[-1:].isalnum() or bool(sealed[i]) for i in range(n)], bool)
         self.columns = {
-            "keys": keys, "hinges": at | dot_word, "digits": np.where(self.kind == DIGITS, self.end - self.start, np.array([len(only_digits(w)) if key else 0 for w, key in zip(words, keys, strict=True)], np.int64)), "groups": self.kind == DIGITS, "letters": self.kind == LETTERS, "spaces": self.kind == SPACE,
+            "keys": keys, "hinges": hinge, "dot_words": dot_word, "loose": (self.kind == SPACE) & beside(plain_word, -1)[:n] & beside(plain_word, 1)[:n], "dated": self.dates(), "digits": np.where(self.kind == DIGITS, self.end - self.start, np.array([len(only_digits(w)) if key else 0 for w, key in zip(words, keys, strict=True)], np.int64)), "groups": self.kind == DIGITS, "letters": self.kind == LETTERS, "spaces": self.kind == SPACE,
             "strong_at": is_("@") | at & sealed, "weak_at": at & ~sealed, "dots": dots | dot_word, "inner_dots": inner_dot | dot_word, "dashes": is_("-"), "pluses": is_("+"),
             "brackets": is_("(") | is_(")"), "seals": np.array([w in "[]{}<>" for w in words], bool), "odd": np.array([k == MARK and w not in ".@-+()[]{}<>_%" for k, w in zip(self.kind, words, strict=True)], bool),
             "breaks": np.array(["\n" in w for w in words], bool), "capitals": np.array([w.isupper() for w in words], bool), "wide": np.array([k == SPACE and len(w) > 1 for k, w in zip(self.kind, words, strict=True)], bool),
         }
         self.sums = {k: np.concatenate(([0], np.cumsum(v))) for k, v in self.columns.items()}
         cue = lambda names: np.array([any(x in names for x in low[max(0, i - 5) : i]) for i in range(n)], bool)
-        self.phone_cue, self.secret_cue = cue(PHONE_CUES), cue(SECRET_CUES)
+        self.phone_cue, self.secret_cue, self.number_cue = cue(PHONE_CUES), cue(SECRET_CUES), cue(NUMBER_CUES)
+        self.headless = np.array([w in "([{" and near(i + 1) in ("at", "dot", "AT", "DOT", "At", "Dot") for i, w in enumerate(words)], bool)
+        self.capital = np.array([w[0].isupper() and not w.isupper() for w in words], bool)
         self.zero = np.array([w[0] == "0" for w in words], bool)
         self.tail = np.array([k == LETTERS and 2 <= len(w) <= 6 for k, w in zip(self.kind, words, strict=True)], bool)
         self.hex = np.concatenate(([0], np.cumsum([k in (LETTERS, DIGITS) and any(c not in "0123456789abcdefABCDEF" for c in w) for k, w in zip(self.kind, words, strict=True)])))
 
+    def dates(self) -> np.ndarray:
+        """Which tokens lie in a date of three numbers: a year of this or the last century first or last, one separator."""
+        inside, words = np.zeros(self.n, bool), self.words
+        for k in range(self.n - 4):
+            if self.kind[k] == DIGITS and words[k + 1] in ("-", "/", ".") and words[k + 3] == words[k + 1] and self.kind[k + 2] == DIGITS and self.kind[k + 4] == DIGITS:
+                a, b, c = words[k], words[k + 2], words[k + 4]
+                if len(b) <= 2 and (len(a) == 4 and a[:2] in ("19", "20") and len(c) <= 2 or len(c) == 4 and c[:2] in ("19", "20") and len(a) <= 2):
+                    inside[k : k + 5] = True
+        return inside
+
     def count(self, name: str, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return self.sums[name][j] - self.sums[name][i]
 
@@ -155,19 +200,20 @@ def candidates(t: Tokens, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def can_be_entity(t: Tokens, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Entities start with a letter, a digit, + or (, end with a letter, a digit or ), both no lone at or dot, stay on a line, and hold seven digits, four groups of digits, or an at and a dot."""
+    """Entities start with a letter, a digit, + or (, end with a letter, a digit or ), both no lone at or dot (nor its bracket), stay on a line, have no space between two plain words, and hold seven digits, four groups of digits, or an at and a dot."""
     first, last = t.kind[i], t.kind[j - 1]
     opens = (first == LETTERS) | (first == DIGITS) | (t.columns["pluses"][i] | t.columns["brackets"][i]) & (first == MARK)
     closes = (last == LETTERS) | (last == DIGITS) | t.columns["brackets"][j - 1]
     digits, at = t.count("digits", i, j), t.count("strong_at", i, j) + t.count("weak_at", i, j)
     holds = (digits >= 7) | (t.count("groups", i, j) >= 4) | (t.count("keys", i, j) > 0) | (at > 0) & (t.count("inner_dots", i, j) > 0)
-    hinged = t.columns["hinges"][i] | t.columns["hinges"][j - 1]
-    return opens & closes & ~hinged & holds & (t.count("breaks", i, j) == 0) & (t.count("wide", i, j) == 0) & (t.end[j - 1] - t.start[i] <= MAX_CHARS)
+    hinged = t.columns["hinges"][i] | t.columns["hinges"][j - 1] | t.headless[i]
+    return opens & closes & ~hinged & holds & (t.count("loose", i, j) == 0) & (t.count("breaks", i, j) == 0) & (t.count("wide", i, j) == 0) & (t.end[j - 1] - t.start[i] <= MAX_CHARS)
 
 
 NAMES = (
     "bias", "digits_8_15", "digits_16_19", "digits_over_19", "luhn", "one_group", "two_groups", "four_groups", "five_groups", "four_parts", "plus_first", "plus_inside", "bracket", "zero_first", "spaced", "dashed", "dotted", "mixed_separators",
     "letters", "no_letters", "many_letters", "strong_at", "weak_at", "two_ats", "dot_after", "name_last", "odd_mark", "seals", "glued_left", "glued_right", "phone_cue", "secret_cue", "key_like", "hex", "capitals", "after_equals", "long", "digit_left", "digit_right",
+    "dated", "isbn", "number_cue", "hash", "at_and_dot_words", "capital_last",
 )
 
 
@@ -183,6 +229,9 @@ def features(t: Tokens, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     for k in np.flatnonzero((groups == 4) & (dots == 3) & (odd == 0) & (dashes + pluses == 0)):
         found = [w for w in t.words[i[k] : j[k]] if w[0].isdigit()]
         parts[k] = all(len(w) < 4 and int(w) <= 255 for w in found)
+    books = np.zeros(len(i), bool)
+    for k in np.flatnonzero(((digits == 10) & (groups == 4) | (digits == 13)) & plain & (pluses == 0)):
+        books[k] = isbn(only_digits(t.text[t.start[i[k]] : t.end[j[k] - 1]]))
     before, after = np.maximum(i - 1, 0), np.minimum(j, t.n - 1)
     has_before, has_after = i > 0, j < t.n
     word = (t.kind == LETTERS) | (t.kind == DIGITS)
@@ -199,6 +248,7 @@ def features(t: Tokens, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         letters > 0, plain, letters > 8, strong > 0, weak > 0, strong + weak > 1, t.count("inner_dots", i, j) > 0, t.tail[j - 1] & (letters > 1), odd > 0, t.count("seals", i, j) > 0, left, right,
         t.phone_cue[i], t.secret_cue[i], mixed_key, mixed_key & (t.hex[j] == t.hex[i]), mixed_key & (t.count("capitals", i, j) == letters), has_before & equals[before], j - i > 12,
         has_before & (t.kind[before] == SPACE) & (i > 1) & (t.kind[np.maximum(i - 2, 0)] == DIGITS), has_after & (t.kind[after] == SPACE) & (t.kind[beyond] == DIGITS) & (j + 1 < t.n),
+        t.count("dated", i, j) > 0, books, t.number_cue[i], mixed_key & (t.hex[j] == t.hex[i]) & np.isin(size, (32, 40, 56, 64)), (weak > 0) & (t.count("dot_words", i, j) > 0), t.capital[j - 1],
     ]).astype(float)
 
 
@@ -261,12 +311,14 @@ class Field:
         out = []
         if self.empty:
             return out
+        begins, ends = np.array([(x, y) for _, x, y in taken], np.int64).reshape(-1, 2).T
         for a, b in windows(text):
             t = Tokens(text[a:b])
-            held = np.zeros(t.n, bool)
-            for _, x, y in taken:
-                held |= (t.start + a < y) & (t.end + a > x)
-            blocked = np.concatenate(([0], np.cumsum(held)))
+            steps = np.zeros(t.n + 1, np.int64)
+            near = (begins < b) & (ends > a)
+            np.add.at(steps, np.searchsorted(t.end + a, begins[near], "right"), 1)
+            np.add.at(steps, np.searchsorted(t.start + a, ends[near], "left"), -1)
+            blocked = np.concatenate(([0], np.cumsum(np.cumsum(steps[:-1]) > 0)))
             out += [(TYPES[y], a + int(t.start[i]), a + int(t.end[j - 1])) for y, i, j in self.best(t, blocked)]
         return out
 
@@ -376,7 +428,7 @@ _plain = regex.compile(r"[^\W\d_]+")
 
 def shape(text: str) -> str:
     """The text with its digits as 9 and its words as one letter, but for those that the features know."""
-    known = PHONE_CUES | SECRET_CUES | {"at", "dot"}
+    known = PHONE_CUES | SECRET_CUES | NUMBER_CUES | {"at", "dot"}
     short = _plain.sub(lambda m: m.group() if m.group().lower() in known else "A" if m.group().isupper() else "a", text)
     return regex.sub(r"(?:a[ ,.]*)*a(?=\W|$)", "a", regex.sub(r"[0-9]", "9", short)).strip()
 
@@ -398,13 +450,14 @@ def secret_spans(text: str) -> list[tuple[str, int, int]]:
 
 def examples(text: str) -> list[tuple[str, str, str]]:
     """(sort, shape, window with its spans as kind:start:end) around each base span, secret and number of a text."""
-    gold = base_spans(text) + secret_spans(text)
+    gold = sorted(base_spans(text) + secret_spans(text), key=lambda s: s[1])
+    starts = [s[1] for s in gold]
     out = []
     for a, b in windows(text):
-        inside = [(k, x, y) for k, x, y in gold if a <= x and y <= b]
+        inside = [(k, x, y) for k, x, y in gold[bisect_left(starts, a) : bisect_left(starts, b)] if y <= b]
         for kind, x, y in inside or [("none", a + REACH, min(b, a + REACH + 24))]:
             p, q = max(0, x - 24), min(len(text), y + 24)
-            here = [(k, u - p, v - p) for k, u, v in inside if p <= u and v <= q]
+            here = [(k, u - p, v - p) for k, u, v in gold[bisect_left(starts, p) : bisect_left(starts, q)] if v <= q]
             if not any(u < y2 and x2 < v for n, (_, u, v) in enumerate(here) for _, x2, y2 in here[n + 1 :]):
                 out.append((kind, shape(text[p:q]), text[p:q] + "\n\n" + ",".join(f"{k}:{u}:{v}" for k, u, v in here)))
     return out
@@ -419,9 +472,9 @@ def rewritten(kind: str, span: str, rng: np.random.Generator) -> list[tuple[str,
         for s in (span, bare if _email.fullmatch(bare) else span, bare.split(".", bare.count(".") - 1)[-1] if bare.partition("@")[2].count(".") > 1 else bare):
             name, _, host = s.rpartition("@")
             name = name or "jo"
-            at, dot = pick(" [at] ", " (at) ", "[at]", " at ", " {at} "), pick(" [dot] ", " dot ", ".", " (dot) ")
-            out += [("", name + at + host.replace(".", dot), True), ("", name + "@" + host, True)]
-        return [*out, ("", name.strip(".") + " at noon." + host.partition(".")[0].capitalize(), False)]
+            at, dot = pick(" [at] ", " (at) ", "[at]", "(at)", " {at} "), pick(" [dot] ", " dot ", ".", " (dot) ", " DOT ")
+            out += [("", name + at + host.replace(".", dot), True), ("", name + "@" + host, True), ("", name + pick(" at ", " AT ") + host.replace(".", pick(" dot ", " DOT ")), True)]
+        return [*out, ("", name.strip(".") + " at noon." + host.partition(".")[0].capitalize(), False), ("", name.strip(".") + " at " + host.partition(".")[0] + "." + pick("then", "and", "so", "it"), False)]
     d = only_digits(span)
     if kind == "ip":
         return [("", span.replace(".", pick("[.]", " dot ", "(.)", " . ")), True), ("", ".".join(["9" + p for p in span.split(".")]) if len(d) > 9 else span + "0000", False)]
@@ -438,10 +491,41 @@ def rewritten(kind: str, span: str, rng: np.random.Generator) -> list[tuple[str,
         parts = [x for x in (d[a:b] for a, b in zip([0, *ends], [*ends, len(d)], strict=True)) if x]
         local = sep.join(parts)
         cue = pick("call ", "phone ", "tel: ", "mobile ", "ring ", "fax ")
-        return [(cue, local, True), (cue, "(" + parts[0] + ") " + sep.join(parts[1:]), True), (cue, d, True), ("", "00" + sep + local, True), ("", d, False), ("", local.replace(sep, pick(",", "/")), False)]
+        return [(cue, local, True), (cue, d[-10:-7] + "-" + d[-7:-4] + "-" + d[-4:], True), (cue, "(" + parts[0] + ") " + sep.join(parts[1:]), True), (cue, d, True), ("", "00" + sep + local, True), ("", d, False), ("", local.replace(sep, pick(",", "/")), False)]
+    if kind == "secret":
+        small, mixed = (key_of(rng, 16, 40, letters) for letters in ("abcdefghijklmnopqrstuvwxyz", LOCAL[:52]))
+        return [(pick("key: ", "token ", "api key = "), small, True), (pick("password: ", "secret=", "my key "), mixed, True)]
     return []
 
 
+def key_of(rng: np.random.Generator, low: int, high: int, letters: str) -> str:
+    """A key of letters with some digits inside."""
+    out = [letters[k] for k in rng.integers(0, len(letters), int(rng.integers(low, high)))]
+    for k in rng.integers(1, len(out), int(rng.integers(1, 6))):
+        out[k] = str(rng.integers(0, 10))
+    return "".join(out)
+
+
+def nobodys(rng: np.random.Generator) -> list[tuple[str, str]]:
+    """(text before, number): one of each sort of numbers and keys that name nobody."""
+    n = lambda a, b: int(rng.integers(a, b))
+    year, month, day = n(1950, 2035), n(1, 13), n(1, 29)
+    sep = "-/."[n(0, 3)]
+    first = f"{year}{sep}{month:02}{sep}{day:02}"
+    turned = f"{month:02}{sep}{day:02}{sep}{year}"
+    time = f"{n(0, 24):02}:{n(0, 60):02}:{n(0, 60):02}"
+    ten = [n(0, 10) for _ in range(9)]
+    check = next((d for d in range(10) if isbn("".join(map(str, [*ten, d])))), None)
+    book = f"{ten[0]}-{''.join(map(str, ten[1:4]))}-{''.join(map(str, ten[4:]))}-{'X' if check is None else check}"
+    long_ = f"978-{ten[0]}-{ten[1]}{ten[2]}-{''.join(map(str, ten[3:9]))}-"
+    long_ += next(str(d) for d in range(10) if isbn(only_digits(long_) + str(d)))
+    key = "".join("0123456789abcdef"[k] for k in rng.integers(0, 16, (32, 40, 64)[n(0, 3)]))
+    return [
+        ("", f"{first} {time}"), ("on ", first), ("from ", f"{turned} to {turned[:-1]}{n(0, 10)}"), ("", f"{first}T{time}Z"), (("ISBN ", "")[n(0, 2)], long_), (("isbn ", "")[n(0, 2)], book),
+        (("commit ", "sha ", "", "hash ")[n(0, 4)], key), (("", "file ", "id ")[n(0, 3)], key_of(rng, 16, 40, LOCAL[26 * n(0, 2) : 52])), ("version ", f"{n(1, 20)}.{n(0, 9)}.{n(1000, 30000)}.{n(1, 4000)}"), ("", f"{n(1, 999)} {n(100, 999)} {n(100, 999)}"), ("total ", f"{n(1, 99)},{n(100, 999)},{n(100, 999)}.{n(10, 99)}"),
+    ]
+
+
 def training_set(rows: list[tuple[str, str, int]], seed: int = 5) -> tuple[list[tuple[Tokens, list[tuple[int, int, int]]]], np.ndarray]:
     """Windows with their entities, as found and rewritten, and how much each weighs. rows: (sort, example, times seen)."""
     rng = np.random.default_rng(seed)
@@ -461,6 +545,13 @@ def training_set(rows: list[tuple[str, str, int]], seed: int = 5) -> tuple[list[
         spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in listed.split(",") if s)]
         weight = 1 + np.log(n)
         add(text, spans, weight)
+        drawn = nobodys(rng) if kind != "email" else []
+        for cue, number in [drawn[k] for k in rng.permutation(len(drawn))[:NOBODYS]]:
+            # Words around the example, without its own span or cues.
+            head = "" if not spans else " ".join(w for w in text[: spans[0][1]].split() if not (set(_plain.findall(w.lower())) & (PHONE_CUES | SECRET_CUES) or _digit.search(w)))
+            tail = "" if not spans else text[spans[-1][2] :][:24]
+            if not _digit.search(tail) and "@" not in head + tail:
+                add(f"{head} {cue}{number}{tail}", [], weight / 4)
         first = next(((k, a, b) for k, a, b in spans if k == kind), None)
         if first and len(spans) == 1:
             _, a, b = first
