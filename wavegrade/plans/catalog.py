@@ -7,11 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavegrade.operators import derived, feeds, grading, relational
+from wavegrade.operators import derived, feeds, grading, relational, served
 from wavegrade.sources import views
 
 QUERIES = relational.QUERIES | grading.QUERIES
-VIEWS = views.VIEWS | grading.VIEWS | derived.VIEWS
+VIEWS = views.VIEWS | grading.VIEWS | derived.VIEWS | served.VIEWS
 
 TABLES = ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier")
 
