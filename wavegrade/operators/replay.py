@@ -8,8 +8,9 @@ it. It gives one row per order; reports are plain aggregates over these. An empt
 from __future__ import annotations
 
 import heapq
-from collections import OrderedDict, deque
+from collections import Counter, OrderedDict, deque
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +44,9 @@ class Resting:
 
 class Session:
     def __init__(self):
-        self.levels = {"BUY": {}, "SELL": {}}  # price -> resting orders by turn, in the order of the queue
+        # price -> resting orders by turn, in the order of the queue, whose head is found at once however many have left it (a plain dict would step over their places)
+        self.levels = {"BUY": {}, "SELL": {}}
+        self.owners = Counter()  # (side, price, smp) -> how many rest there
         self.heap = {"BUY": [], "SELL": []}
         self.resting, self.waiting, self.turns = {}, OrderedDict(), 0
         self.evidence, self.recent = {}, deque()
@@ -52,14 +55,18 @@ class Session:
         self.turns += 1
         r = self.resting[id] = Resting(id, side, price, left, smp, self.turns)
         if price not in self.levels[side]:
-            self.levels[side][price] = {}
+            self.levels[side][price] = OrderedDict()
             heapq.heappush(self.heap[side], -price if side == "BUY" else price)
         self.levels[side][price][r.turn] = r
+        self.owners[side, price, smp] += 1
         if id in self.waiting:
             self.waiting[id].turn = r.turn
 
     def leave(self, r):
         del self.levels[r.side][r.price][r.turn], self.resting[r.id]
+        self.owners[r.side, r.price, r.smp] -= 1
+        if not self.owners[r.side, r.price, r.smp]:
+            del self.owners[r.side, r.price, r.smp]
 
     def match(self, o: Order) -> list[str]:
         """Trades o against the other side, resting what is left of a limit order; the makers that are done."""
@@ -70,7 +77,8 @@ class Session:
             if o.kind == "LIMIT" and (price > o.price if o.side == "BUY" else price < o.price):
                 break
             key = heapq.heappop(heap)
-            for m in list(levels[price].values()):
+            gone = []
+            for m in levels[price].values():
                 if left == 0:
                     break
                 if o.smp is not None and m.smp == o.smp:
@@ -83,8 +91,10 @@ class Session:
                 m.left -= n
                 left -= n
                 if not m.left:
-                    self.leave(m)
-                    done.append(m.id)
+                    gone.append(m)
+            for m in gone:
+                self.leave(m)
+                done.append(m.id)
             if levels[price]:
                 aside.append(key)
             else:
@@ -129,13 +139,17 @@ class Session:
 
     def finish(self) -> Iterator[tuple]:
         for id in list(self.waiting):  # already in replay order
+            r = self.resting.get(id)
+            if r is not None:  # what is closed is no live evidence: the next one need not step over it
+                del self.levels[r.side][r.price][r.turn]
             yield from self.close(id)
 
     def jumped(self, o: Order, price: int) -> bool:
         """Whether an earlier order of the same side and price was passed over."""
         if o.turn is None:
             return False
-        live = (self.waiting[r.id] for r in self.levels[o.side].get(price, {}).values() if r.id in self.waiting)
+        queue = takewhile(lambda r: r.turn < o.turn, self.levels[o.side].get(price, {}).values())
+        live = (self.waiting[r.id] for r in queue if r.id in self.waiting)
         past = self.evidence.get((o.side, price), {}).values()
         return any(x.turn is not None and x.turn < o.turn and x.price == price and (x.flow == o.flow or abs(x.eff - o.eff) >= TIE_NS) for group in (live, past) for x in group)
 
@@ -151,7 +165,7 @@ class Session:
                 n["overfill"] += 1
             elif f["price"] in o.prices and told <= o.owed:
                 n["valid"] += 1
-            elif o.smp is not None and any(r.smp == o.smp for r in self.levels[OTHER[o.side]].get(f["price"], {}).values()):
+            elif o.smp is not None and (OTHER[o.side], f["price"], o.smp) in self.owners:
                 n["self_trade"] += 1
             elif self.jumped(o, f["price"]):
                 n["replace_loss" if o.repriced else "queue_jump"] += 1
@@ -160,7 +174,7 @@ class Session:
         if told < o.owed:
             n["missed"] = 1
             if o.turn is not None:
-                self.evidence.setdefault((o.side, o.price), {})[o.id] = o
+                self.evidence.setdefault((o.side, o.price), OrderedDict())[o.id] = o
                 self.recent.append(o)
                 if len(self.recent) > EVIDENCE:
                     old = self.recent.popleft()
