@@ -7,10 +7,10 @@ vectors of the two words before, each times its matrix, predict a vector, whose
 the classes and of the class's words are the scores. Classes hold CLASS_WORDS words of neighbouring frequency,
 so both normalisers are sums over a bounded number of words, taken by batched matrix products.
 
-Training: every training text gives one in SHARE of its positions, so the draws grow with the corpus. In each
-of ROUNDS rounds every partition trains on its draws from the same start by noise-contrastive estimation (noise
+Training: all positions of all training texts. A position belongs to one of ROUNDS rounds, by its place in its block. In each
+round every partition trains on its positions from the same start by noise-contrastive estimation (noise
 classes by their frequency; noise words by theirs within the class), and Spark sums the changes, weighed by
-draws, in two steps; the driver only holds one model. The start is the smoothed unigram.
+positions, in two steps; the driver only holds one model. The start is the smoothed unigram.
 
 Counts of frequent words (FREQUENT at most) are sent to the tasks; the other words of a text are joined to
 their counts by Spark.
@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 from wavegrade.llm.common import blocks, raw_texts, sums, written
 
 VOCABULARY, CLASS_WORDS, FREQUENT = 16_384, 128, 50_000
-SIZE, NOISE, WORD_NOISE, BATCH, ROUNDS, RATE, SHARE = 16, 48, 4, 256, 2, 0.1, 16
+SIZE, NOISE, WORD_NOISE, BATCH, ROUNDS, RATE = 16, 48, 4, 256, 2, 0.1
 #: Pieces that a model is cut into to be summed, and tokens that one step of scoring holds.
 PIECES, STEP_TOKENS = 32, 1 << 14
-#: Draws that a task of training takes at least, so that small tables aren't learned in crumbs.
-TASK_DRAWS = 500_000
+#: Tokens that a task of training takes at least, so that small tables aren't learned in crumbs, and positions that it has as rows at a time.
+TASK_TOKENS, STRETCH = 8_000_000, 500_000
 END = b""
 
 
@@ -66,6 +66,12 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def triples(c: np.ndarray, n: int) -> np.ndarray:
+    """A row for each token of a flat list of texts: the two words before it and itself."""
+    at = np.flatnonzero(c != n + 1)
+    return np.stack([c[at - 2], c[at - 1], c[at]], 1)
+
+
 class Model:
     """ids: word -> number by frequency; n: known words, also the number of the class's stand-in "other word"; n + 1 stands before a text."""
 
@@ -89,15 +95,16 @@ class Model:
             "class_bias": np.log(self.class_share).astype(f), "word_vector": np.zeros((self.classes * CLASS_WORDS, SIZE), f), "word_bias": word_bias.ravel().astype(f),
         }
 
-    def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
-        """A row for each token of all texts: the two words before it and itself."""
+    def flat(self, texts: list[list[bytes]]) -> np.ndarray:
+        """The numbers of all texts' words, two marks before each text."""
         get, flat = self.ids.get, []
         for words in texts:
             flat += [self.n + 1, self.n + 1]
             flat += [get(w, self.n) for w in words]
-        c = np.array(flat, np.int64)
-        at = np.flatnonzero(c != self.n + 1)
-        return np.stack([c[at - 2], c[at - 1], c[at]], 1)
+        return np.array(flat, np.int64)
+
+    def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
+        return triples(self.flat(texts), self.n)
 
     def log10(self, rows: np.ndarray) -> np.ndarray:
         """log10 P of each row's word after the two before it; of other words P of their class."""
@@ -124,8 +131,8 @@ class Model:
                 out[at] += chosen(q[at] @ by_word[c * CLASS_WORDS : (c + 1) * CLASS_WORDS].T, word[at] - c * CLASS_WORDS)
         return out
 
-    def trained(self, rows: np.ndarray, seed: int, rate: float = RATE) -> dict[str, np.ndarray]:
-        """The change of each value after one pass over the rows."""
+    def trained(self, parts: Iterator[np.ndarray], seed: int, rate: float = RATE) -> dict[str, np.ndarray]:
+        """The change of each value after one pass over the rows of all parts."""
         rng = np.random.default_rng(seed)
         start, p = self.values, {k: v.copy() for k, v in self.values.items()}
         square = {k: np.full_like(v, 1e-2) for k, v in p.items()}
@@ -134,7 +141,6 @@ class Model:
         log_noise = np.log(NOISE * self.class_share).astype(np.float32)
         with np.errstate(divide="ignore"):
             log_word = np.log(WORD_NOISE * self.word_share).ravel().astype(np.float32)
-        rows = rows[rng.permutation(len(rows))]
 
         def down(name: str, index: np.ndarray, grad: np.ndarray) -> None:
             order = np.argsort(index, kind="stable")
@@ -147,8 +153,13 @@ class Model:
             square[name] += grad * grad
             p[name] -= rate * grad / np.sqrt(square[name])
 
-        for k in range(0, len(rows), BATCH):
-            a, b, w = rows[k : k + BATCH].T
+        def steps() -> Iterator[np.ndarray]:
+            for rows in parts:
+                rows = rows[rng.permutation(len(rows))]
+                for k in range(0, len(rows), BATCH):
+                    yield rows[k : k + BATCH].T
+
+        for a, b, w in steps():
             of = np.where(w == self.n, self.classes, np.minimum(w // CLASS_WORDS, self.classes))
             ra, rb = p["context"][a], p["context"][b]
             q = ra @ p["mix"][0] + rb @ p["mix"][1]
@@ -193,16 +204,28 @@ def chosen(s: np.ndarray, which: np.ndarray) -> np.ndarray:
     return out - np.log(s @ np.ones(s.shape[1], s.dtype))
 
 
-def draws(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
-    """Rows of numbers (16 bits each) at one in SHARE positions of every text."""
+def positions(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """The numbers (16 bits each) of all words of all texts, two marks n + 1 before each text: every position, and what stands before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, text_col):
-            rows = model.numbers([words_of(t) for t in raw_texts(batch, text_col)])
-            keep = np.arange(len(rows)) % SHARE == int(rows[:, 2].sum()) % SHARE
-            yield pa.RecordBatch.from_arrays([pa.array([rows[keep].astype(np.uint16).tobytes()], pa.binary())], names=["rows"])
+            yield pa.RecordBatch.from_arrays([pa.array([model.flat([words_of(t) for t in raw_texts(batch, text_col)]).astype(np.uint16).tobytes()], pa.binary())], names=["numbers"])
+
+    return docs.select(text_col).mapInArrow(run, "numbers binary")
+
 
-    return docs.select(text_col).mapInArrow(run, "rows binary")
+def stretches(parts: Iterator[np.ndarray], n: int, turn: int) -> Iterator[np.ndarray]:
+    """Rows of the positions whose turn it is, STRETCH or somewhat more at a time."""
+    held, size = [], 0
+    for part in parts:
+        rows = triples(part.astype(np.int64), n)[turn::ROUNDS]
+        held.append(rows)
+        size += len(rows)
+        if size >= STRETCH:
+            yield np.concatenate(held)
+            held, size = [], 0
+    if size:
+        yield np.concatenate(held)
 
 
 def summed(parts: DataFrame) -> DataFrame:
@@ -226,13 +249,19 @@ def improved(model: Model, rows: DataFrame, seed: int) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        held = [np.frombuffer(x, np.uint16).reshape(-1, 3) for batch in batches for x in batch.column("rows").to_pylist()]
-        if not held or not sum(map(len, held)):
+        seen = 0
+
+        def mine() -> Iterator[np.ndarray]:
+            nonlocal seen
+            for rows in stretches((np.frombuffer(x, np.uint16) for batch in batches for x in batch.column("numbers").to_pylist()), model.n, seed):
+                seen += len(rows)
+                yield rows
+
+        change = model.trained(mine(), seed, RATE / (1 + seed))
+        if not seen:
             return
-        mine = np.concatenate(held).astype(np.int64)
-        change = model.trained(mine, seed, RATE / (1 + seed))
-        flat = np.concatenate([change[k].ravel() for k in model.NAMES]).astype(np.float32) * np.float32(len(mine))
-        pieces = np.array_split(np.append(flat, np.float32(len(mine))), PIECES)
+        flat = np.concatenate([change[k].ravel() for k in model.NAMES]).astype(np.float32) * np.float32(seen)
+        pieces = np.array_split(np.append(flat, np.float32(seen)), PIECES)
         yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([x.tobytes() for x in pieces], pa.binary())], names=["piece", "values"])
 
     changes = rows.mapInArrow(run, "piece int, values binary")
@@ -261,7 +290,7 @@ def fit(docs: DataFrame, counts: DataFrame, text_col: str = "text") -> tuple[Mod
     if not n:
         del frequent[END]
         return model, frequent, n, v
-    rows = written(draws(docs, model, text_col), "draws").coalesce(max(1, n // SHARE // TASK_DRAWS))
+    rows = written(positions(docs, model, text_col), "positions").coalesce(max(1, n // TASK_TOKENS))
     for k in range(ROUNDS):
         improved(model, rows, k)
     return model, frequent, n, v
