@@ -73,7 +73,7 @@ def merged(rows: DataFrame, col: str, keys: list[str]) -> DataFrame:
 def rolled(partial: DataFrame, counters: list[str], quantiles: dict[str, str]) -> DataFrame:
     """A row for each second of a wave at which a shard reported: quantiles of that second's values over all shards, the sums of
     its counters, and the distribution since the wave began (cum), silent shards with their last one."""
-    at = [*WAVE, "second_ns"]
+    at, partial = [*WAVE, "second_ns"], partial.repartition(*WAVE)  # all groups and windows lie inside a wave: dealt once, they need no shuffle of their own
     whole = merged(carried(partial), "cum", at)
     own = merged(slices(partial), "slice", at)
     sums = partial.groupBy(*at).agg(*(F.sum(c).alias(c) for c in counters))
