@@ -25,20 +25,23 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavegrade.llm.common import blocks, raw_texts, sums, written
+from wavegrade.llm.common import blocks, raw_texts, written
 
 VOCABULARY, CLASS_WORDS, FREQUENT = 16_384, 128, 50_000
 SIZE, NOISE, WORD_NOISE, BATCH, ROUNDS, RATE = 16, 48, 4, 256, 2, 0.1
-#: Pieces that a model is cut into to be summed, and tokens that one step of scoring holds.
-PIECES, STEP_TOKENS = 32, 1 << 14
+#: Pieces that a model is cut into to be summed, pairs of words that one step of scoring holds, and tokens among which equal ones are scored once.
+PIECES, STEP_TOKENS, ALIKE = 32, 1 << 14, 1 << 20
 #: Tokens that a task of training takes at least, so that small tables aren't learned in crumbs, and positions that it has as rows at a time.
 TASK_TOKENS, STRETCH = 8_000_000, 500_000
+#: Batches whose noise words are drawn together.
+DRAWN = 64
 END = b""
 
 
@@ -95,113 +98,168 @@ class Model:
             "class_bias": np.log(self.class_share).astype(f), "word_vector": np.zeros((self.classes * CLASS_WORDS, SIZE), f), "word_bias": word_bias.ravel().astype(f),
         }
 
-    def flat(self, texts: list[list[bytes]]) -> np.ndarray:
-        """The numbers of all texts' words, two marks before each text."""
-        get, flat = self.ids.get, []
-        for words in texts:
-            flat += [self.n + 1, self.n + 1]
-            flat += [get(w, self.n) for w in words]
-        return np.array(flat, np.int64)
+    def flat(self, texts: list[list[bytes]], ids: dict[bytes, int] | None = None) -> np.ndarray:
+        """The numbers of all texts' words, two marks before each text. ids: other numbers than the model's own."""
+        lengths = np.array([len(t) for t in texts], np.int64)
+        flat = np.full(lengths.sum() + 2 * len(texts), self.n + 1, np.int64)
+        at = np.arange(lengths.sum()) + 2 * np.repeat(np.arange(1, len(texts) + 1), lengths)
+        flat[at] = np.fromiter(map((ids or self.ids).get, chain.from_iterable(texts), repeat(self.n)), np.int64, len(at))
+        return flat
 
     def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
         return triples(self.flat(texts), self.n)
 
     def log10(self, rows: np.ndarray) -> np.ndarray:
-        """log10 P of each row's word after the two before it; of other words P of their class."""
+        """log10 P of each row's word after the two before it; of other words P of their class. Equal rows are found once, and what depends on the two before once for each two."""
         p, one = self.values, lambda x: np.concatenate([x[0], x[1][:, None]], 1)
         by_class, by_word = one((p["class_vector"], p["class_bias"])), one((p["word_vector"], p["word_bias"]))
         left, right = (p["context"] @ p["mix"][k] for k in (0, 1))
-        out = np.zeros(len(rows))
-        for k in range(0, len(rows), STEP_TOKENS):
-            step = rows[k : k + STEP_TOKENS]
-            q = np.ones((len(step), SIZE + 1), np.float32)  # the last column meets the bias
-            q[:, :SIZE] = left[step[:, 0]] + right[step[:, 1]]
-            out[k : k + STEP_TOKENS] = self._log(step[:, 2], q, by_class, by_word)
+        out, base = np.zeros(len(rows)), self.n + 2
+        for k in range(0, len(rows), ALIKE):
+            a, b, w = rows[k : k + ALIKE].T
+            alike, which = np.unique((a * base + b) * base + w, return_inverse=True)
+            two, word = np.divmod(alike, base)
+            new = np.concatenate(([True], two[1:] != two[:-1]))
+            pairs, of = two[new], np.cumsum(new) - 1
+            cuts = np.append(np.flatnonzero(new), len(alike))
+            logs = np.zeros(len(alike))
+            for j in range(0, len(pairs), STEP_TOKENS):
+                step = pairs[j : j + STEP_TOKENS]
+                q = np.ones((len(step), SIZE + 1), np.float32)  # the last column meets the bias
+                q[:, :SIZE] = left[step // base] + right[step % base]
+                here = slice(cuts[j], cuts[j + len(step)])
+                logs[here] = self._log(of[here] - j, word[here], q, by_class, by_word)
+            out[k : k + ALIKE] = logs[which]
         return out / np.log(10)
 
-    def _log(self, word: np.ndarray, q: np.ndarray, by_class: np.ndarray, by_word: np.ndarray) -> np.ndarray:
+    def _log(self, row: np.ndarray, word: np.ndarray, q: np.ndarray, by_class: np.ndarray, by_word: np.ndarray) -> np.ndarray:
+        """Of each word its log P after the pair of words whose vector is that row of q."""
         of = np.minimum(word // CLASS_WORDS, self.classes).astype(np.int16)
         of[word == self.n] = self.classes
-        out = chosen(q @ by_class.T, of)
+        out = chosen(q @ by_class.T, row, of)
         order = np.argsort(of, kind="stable")
         cuts = np.searchsorted(of[order], np.arange(self.classes + 1))
         for c in range(self.classes):
             at = order[cuts[c] : cuts[c + 1]]
             if len(at):
-                out[at] += chosen(q[at] @ by_word[c * CLASS_WORDS : (c + 1) * CLASS_WORDS].T, word[at] - c * CLASS_WORDS)
+                out[at] += chosen(q[row[at]] @ by_word[c * CLASS_WORDS : (c + 1) * CLASS_WORDS].T, np.arange(len(at)), word[at] - c * CLASS_WORDS)
         return out
 
     def trained(self, parts: Iterator[np.ndarray], seed: int, rate: float = RATE) -> dict[str, np.ndarray]:
         """The change of each value after one pass over the rows of all parts."""
         rng = np.random.default_rng(seed)
-        start, p = self.values, {k: v.copy() for k, v in self.values.items()}
+        with np.errstate(divide="ignore", invalid="ignore"):
+            class_bias = self.values["class_bias"] - np.log(NOISE * self.class_share).astype(np.float32)
+            word_bias = self.values["word_bias"] - np.log(WORD_NOISE * self.word_share).ravel().astype(np.float32)
+        wide = lambda vectors, bias: np.column_stack([vectors, np.where(np.isfinite(bias), bias, 0), np.zeros_like(bias)])
+        # A bias is a column behind its vector and has the noise's share taken off; one more column makes rows whole pairs. Places past the last word are never drawn.
+        start = {
+            "context": self.values["context"], "mix": self.values["mix"].reshape(-1, SIZE),
+            "class": wide(self.values["class_vector"], class_bias), "word": wide(self.values["word_vector"], word_bias),
+        }
+        p = {k: v.copy() for k, v in start.items()}
         square = {k: np.full_like(v, 1e-2) for k, v in p.items()}
-        class_sum = np.cumsum(self.class_share)
-        word_sum = (np.cumsum(self.word_share, 1) + np.arange(self.classes)[:, None]).ravel()  # of class c from c to c + 1
-        log_noise = np.log(NOISE * self.class_share).astype(np.float32)
-        with np.errstate(divide="ignore"):
-            log_word = np.log(WORD_NOISE * self.word_share).ravel().astype(np.float32)
-
-        def down(name: str, index: np.ndarray, grad: np.ndarray) -> None:
-            order = np.argsort(index, kind="stable")
-            at = np.flatnonzero(np.concatenate(([True], np.diff(index[order]) > 0)))
-            g, i = np.add.reduceat(grad[order], at, 0), index[order][at]
-            square[name][i] += g * g
-            p[name][i] -= rate * g / np.sqrt(square[name][i])
+        keep, other_word = aliases(self.word_share)
 
         def down_all(name: str, grad: np.ndarray) -> None:
             square[name] += grad * grad
             p[name] -= rate * grad / np.sqrt(square[name])
 
-        def steps() -> Iterator[np.ndarray]:
+        def down(name: str, index: np.ndarray, grad: np.ndarray) -> None:
+            order = np.argsort(index, kind="stable")  # 16 bits: by radix
+            index = index.take(order)
+            at = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
+            # Pairs of columns are added as one complex number, in half the steps.
+            g, i = np.add.reduceat(grad.take(order, 0).view(np.complex64), at, 0).view(np.float32), index.take(at)
+            s, v = square[name].take(i, 0), p[name].take(i, 0)
+            s += g * g
+            square[name][i] = s
+            g *= np.float32(rate)
+            g /= np.sqrt(s, out=s)
+            v -= g
+            p[name][i] = v
+
+        def steps() -> Iterator[tuple[np.ndarray, ...]]:
+            """Of each batch the words before, classes, how often each class was drawn as noise, and for its first rows, those with a known word, that word and noise from its class."""
             for rows in parts:
                 rows = rows[rng.permutation(len(rows))]
-                for k in range(0, len(rows), BATCH):
-                    yield rows[k : k + BATCH].T
-
-        for a, b, w in steps():
-            of = np.where(w == self.n, self.classes, np.minimum(w // CLASS_WORDS, self.classes))
-            ra, rb = p["context"][a], p["context"][b]
-            q = ra @ p["mix"][0] + rb @ p["mix"][1]
+                rows = rows[np.argsort(np.arange(len(rows)) // BATCH * 2 + (rows[:, 2] == self.n), kind="stable")]
+                before, w = rows[:, :2].astype(np.uint16), rows[:, 2]
+                of = np.where(w == self.n, self.classes, w // CLASS_WORDS).astype(np.uint16)
+                starts = range(0, len(rows), BATCH)
+                known = np.add.reduceat((w != self.n).astype(np.int64), starts)
+                noise = rng.multinomial(NOISE, self.class_share, len(known))
+                for j, k in enumerate(starts):
+                    if j % DRAWN == 0:
+                        own = np.minimum(w[k : k + DRAWN * BATCH], self.n - 1)
+                        drawn = rng.random((len(own), WORD_NOISE), np.float32) * np.float32(CLASS_WORDS)
+                        place = drawn.astype(np.int32)
+                        drawn -= place
+                        place += (own // CLASS_WORDS * CLASS_WORDS).astype(np.int32)[:, None]
+                        words = np.concatenate([own[:, None], np.where(drawn < keep.take(place), place, other_word.take(place))], 1).astype(np.uint16)
+                    here = k % (DRAWN * BATCH)
+                    yield before[k : k + BATCH], of[k : k + BATCH], noise[j], words[here : here + known[j]]
+
+        ones, nth = np.zeros((BATCH, SIZE + 2), np.float32), np.arange(BATCH)
+        ones[:, SIZE] = 1  # meets the bias
+        for before, of, drawn, words in steps():
+            r, q1, k = p["context"].take(before, 0).reshape(len(before), -1), ones[: len(before)], len(words)
+            np.matmul(r, p["mix"], out=q1[:, :SIZE])
             # Classes: one draw of noise serves the whole batch.
-            other = np.minimum(np.searchsorted(class_sum, rng.random(NOISE)), self.classes)
-            t, noise = p["class_vector"][of], p["class_vector"][other]
-            g_own = sigmoid((q * t).sum(1) + p["class_bias"][of] - log_noise[of]) - 1
-            g_noise = sigmoid(q @ noise.T + p["class_bias"][other] - log_noise[other])
-            dq = g_own[:, None] * t + g_noise @ noise
-            down("class_vector", np.concatenate([of, other]), np.concatenate([g_own[:, None] * q, g_noise.T @ q]))
-            down("class_bias", np.concatenate([of, other]), np.concatenate([g_own, g_noise.sum(0)]))
+            s, g, own = p["class"] @ q1.T, np.zeros((self.classes + 1, len(before)), np.float32), (of, nth[: len(before)])
+            at = np.flatnonzero(drawn)
+            g[at] = sigmoid(s.take(at, 0)) * drawn[at].astype(np.float32)[:, None]
+            g[own] += sigmoid(s[own]) - 1
+            dq = g.T @ p["class"][:, :SIZE]
+            down_all("class", g @ q1)
             # Words of the class, for the rows with a known word.
-            known = np.flatnonzero(w != self.n)
-            if len(known):
-                c = of[known]
-                draws = np.searchsorted(word_sum, c[:, None] + rng.random((len(known), WORD_NOISE)))
-                draws = np.minimum(draws, np.minimum((c + 1) * CLASS_WORDS, self.n)[:, None] - 1)
-                words = np.concatenate([w[known][:, None], draws], 1)
-                u = p["word_vector"][words]
-                g = sigmoid(np.einsum("nd,nkd->nk", q[known], u) + p["word_bias"][words] - log_word[words])
+            if k:
+                u = p["word"].take(words, 0)
+                g = sigmoid(np.einsum("nd,nkd->nk", q1[:k], u))
                 g[:, 0] -= 1
-                dq[known] += np.einsum("nk,nkd->nd", g, u)
-                down("word_vector", words.ravel(), (g[:, :, None] * q[known][:, None, :]).reshape(-1, SIZE))
-                down("word_bias", words.ravel(), g.ravel())
-            down_all("mix", np.stack([ra.T @ dq, rb.T @ dq]))
-            down("context", np.concatenate([a, b]), np.concatenate([dq @ p["mix"][0].T, dq @ p["mix"][1].T]))
-        return {name: np.where(np.isfinite(start[name]), p[name] - np.where(np.isfinite(start[name]), start[name], 0), 0) for name in self.NAMES}
+                dq[:k] += np.einsum("nk,nkd->nd", g, u)[:, :SIZE]
+                down("word", words.ravel(), (g[:, :, None] * q1[:k, None, :]).reshape(-1, SIZE + 2))
+            back = dq @ p["mix"].T
+            down_all("mix", r.T @ dq)
+            down("context", before.ravel(), back.reshape(-1, SIZE))
+        change = {k: p[k] - start[k] for k in p}
+        return {
+            "context": change["context"], "mix": change["mix"].reshape(self.values["mix"].shape),
+            "class_vector": change["class"][:, :SIZE], "class_bias": change["class"][:, SIZE], "word_vector": change["word"][:, :SIZE], "word_bias": change["word"][:, SIZE],
+        }
+
+
+def aliases(share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of shares that sum to 1 what is needed to draw from a row in one step: a place is drawn evenly; it counts itself
+    by the chance in keep, else the place in other counts (both flat, over all rows)."""
+    rows, k = share.shape
+    left, row = share * k, np.arange(rows)
+    keep, other, done = np.ones((rows, k)), np.tile(np.arange(k), (rows, 1)), np.zeros((rows, k), bool)
+    for _ in range(k - 1):
+        small, big = np.where(done, np.inf, left).argmin(1), np.where(done, -np.inf, left).argmax(1)
+        keep[row, small], other[row, small], done[row, small] = left[row, small], big, True
+        left[row, big] -= 1 - keep[row, small]
+    return keep.ravel().astype(np.float32), (other + row[:, None] * k).ravel().astype(np.int32)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """x is overwritten."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1
+    x *= 0.5
+    return x
 
 
-def chosen(s: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """log softmax of each row at one place; s is overwritten."""
-    out = s[np.arange(len(s)), which].astype(float)
+def chosen(s: np.ndarray, row: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """log softmax of rows at places, a row and a place each; s is overwritten."""
+    out = s[row, which].astype(float)
     if s.max(initial=0) > 80:  # exp would overflow
         top = s.max(1)
         s -= top[:, None]
-        out -= top
+        out -= top[row]
     np.exp(s, out=s)
-    return out - np.log(s @ np.ones(s.shape[1], s.dtype))
+    return out - np.log(s @ np.ones(s.shape[1], s.dtype))[row]
 
 
 def positions(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
@@ -308,29 +366,29 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, model = sent.value
-        logs = {w: (np.log10(c + 0.5), w not in model.ids) for w, c in frequent.items()}
+        # Numbers of words: the model's own, n for those that are joined to their counts, and from n + 2 other frequent ones.
+        ids = model.ids | {w: model.n + 2 + k for k, w in enumerate(w for w in frequent if w not in model.ids)}
+        counts = np.zeros(model.n + 2 + len(ids) - len(model.ids), np.int64)
+        counts[list(ids.values())] = [frequent.get(w, 0) for w in ids]
+        log_count = np.log10(counts + 0.5)
+        log_count[model.n] = 0
+        log_share = log_count - log_other  # of other words, in their class
+        log_share[: model.n] = 0
         for batch in blocks(batches, text_col):
             texts = [words_of(t) for t in raw_texts(batch, text_col)]
             starts = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-            modelled = sums(model.log10(model.numbers(texts)), starts)
-            base, rest, rare = [], [], []
-            for words in texts:
-                b = o = 0.0
-                left = []
-                for w, times in Counter(words).items():
-                    known = logs.get(w)
-                    if known is None:
-                        left.append({"word": w, "times": times})
-                    else:
-                        b += times * known[0]
-                        o += times * (known[0] - log_other) if known[1] else 0.0
-                base.append(b - len(words) * log_all)
-                n_left = sum(x["times"] for x in left)
-                rest.append(o - n_left * log_other)
-                rare.append(left)
-            n_rare = [sum(x["times"] for x in r) for r in rare]
+            flat = model.flat(texts, ids)
+            modelled = model.log10(triples(np.where(flat > model.n + 1, model.n, flat), model.n))
+            flat = flat[flat != model.n + 1]
+            each = lambda values: np.add.reduceat(values, starts[:-1])  # noqa: B023, E731
+            at = np.flatnonzero(flat == model.n)
+            cuts, words = np.searchsorted(at, starts).tolist(), [*chain.from_iterable(texts)]
+            left = [Counter([words[i] for i in at[a:b].tolist()]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            rare = pa.StructArray.from_arrays([pa.array([*chain.from_iterable(left)], pa.binary()), pa.array([*chain.from_iterable(x.values() for x in left)], pa.int64())], names=["word", "times"])
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in left]))), pa.int32()), rare)
+            n_tokens = np.diff(starts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col), batch.column("_held"), pa.array(np.diff(starts)), pa.array(np.diff(starts) - np.array(n_rare, np.int64)), pa.array(base, pa.float64()), pa.array(modelled + np.array(rest)), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))],
+                [batch.column(id_col), batch.column("_held"), pa.array(n_tokens), pa.array(each((counts[flat] > 0).astype(np.int64))), pa.array(each(log_count[flat]) - n_tokens * log_all), pa.array(each(modelled + log_share[flat])), rare],
                 names=[id_col, "held_out", "n_tokens", "known", "base", "model", "rare"],
             )
 
