@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import uuid
 from collections import defaultdict
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one step of a Python task holds at a time.
 BLOCK_BYTES = 4 << 20
+#: The same for steps whose arrays take many times their text.
+WIDE_BYTES = 1 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -88,7 +91,7 @@ def folded(doc_id: str, parts: int) -> Column:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows with about limit bytes of text; a longer single text makes a run of its own."""
+    """The batches cut into runs of rows with about limit bytes of text; a longer single text makes a run of its own. After the last the task's free memory is handed back."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -98,6 +101,16 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+    batch = None
+    hand_back()
+
+
+def hand_back() -> None:
+    """Give back to the system what Arrow and the C library keep of freed memory. A worker outlives its task, and what it keeps counts against its executor in all later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other C libraries may not
+    if trim is not None:
+        trim(0)
 
 
 def raw_texts(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wavegrade.llm.bpe_count import CACHED_BYTES, Rules, TwoGenerations, byte_symbols
-from wavegrade.llm.common import blocks, raw_texts, sums, written
+from wavegrade.llm.common import WIDE_BYTES, blocks, raw_texts, sums, written
 
 LENGTH, CLOSE = 4096, 2
 HASHED, DIMS, BITS, TIE_BITS = 4096, 3, 10, 20
@@ -153,7 +153,7 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, close:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
-        for batch in blocks(batches, text_col):
+        for batch in blocks(batches, text_col, WIDE_BYTES):
             ids = [encode(x, close) for x in raw_texts(batch, text_col)]
             key = curve_keys([np.frombuffer(x, "<u4") for x in ids])
             place = key << TIE_BITS | batch.column("_tie").to_numpy()

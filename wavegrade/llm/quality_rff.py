@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavegrade.llm.common import blocks, checkpointed, flat, raw_texts, sums, windows, word_ids
+from wavegrade.llm.common import WIDE_BYTES, blocks, checkpointed, flat, raw_texts, sums, windows, word_ids
 
 #: Labelled rows that the fit takes, about.
 SAMPLE = 40_000
@@ -119,7 +119,7 @@ def measured(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFr
     schema = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in keep) + ", x array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, text_col):
+        for batch in blocks(batches, text_col, WIDE_BYTES):
             rows = statistics(raw_texts(batch, text_col))
             x = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), x], names=[*keep, "x"])
@@ -186,7 +186,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
     schema = "".join(f"`{c}` {types[c]}, " for c in keep) + "score double, predicted int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, text_col):
+        for batch in blocks(batches, text_col, WIDE_BYTES):
             s = model.score(statistics(raw_texts(batch, text_col)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
@@ -197,7 +197,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     """The rows of docs with a score of threshold or more, all columns as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, text_col):
+        for batch in blocks(batches, text_col, WIDE_BYTES):
             yield batch.filter(pa.array(model.score(statistics(raw_texts(batch, text_col))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
