@@ -28,9 +28,18 @@ def outcomes(sent: DataFrame, acked: DataFrame, window_ns: int = WINDOW_NS, skew
 
 def classified(pairs: DataFrame) -> DataFrame:
     """Outcomes of the rows that a full outer join of orders and answers gives, of a batch or of a stream that has ended."""
-    of_order = F.col("s_order").isNotNull()
+    return counted(told(pairs))
+
+
+def told(pairs: DataFrame) -> DataFrame:
+    """What an outcome needs of each of these rows, and no more."""
     fill = (F.col("fill_qty") > 0) & F.col("exec_type").isin("1", "2", "F")
-    seen = pairs.groupBy(F.coalesce("s_session", "session_id").alias("session_id"), F.coalesce("s_order", "order_id").alias("order_id"), of_order.alias("sent"))
-    told = seen.agg(F.count("t3").alias("n_acks"), F.coalesce(F.sum("fill_qty"), F.lit(0)).cast("long").alias("filled"), F.max("timed_out").alias("timed_out"), F.max(fill).alias("fills"))
+    return pairs.select(F.coalesce("s_session", "session_id").alias("session_id"), F.coalesce("s_order", "order_id").alias("order_id"), F.col("s_order").isNotNull().alias("sent"), F.col("t3").isNotNull().alias("answered"), "fill_qty", "timed_out", fill.alias("fill"))
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """Outcomes of the rows of told."""
+    seen = rows.groupBy("session_id", "order_id", "sent")
+    sums = seen.agg(F.count_if("answered").alias("n_acks"), F.coalesce(F.sum("fill_qty"), F.lit(0)).cast("long").alias("filled"), F.max("timed_out").alias("timed_out"), F.max("fill").alias("fills"))
     outcome = F.when(F.col("sent") & (F.col("n_acks") > 0), "matched").when(F.col("sent") & F.col("timed_out"), "lost").when(F.col("sent"), "gap").when(F.col("fills"), "phantom").otherwise("unsent")
-    return told.select("session_id", "order_id", outcome.alias("outcome"), "n_acks", "filled")
+    return sums.select("session_id", "order_id", outcome.alias("outcome"), "n_acks", "filled")
