@@ -8,9 +8,11 @@ it. It gives one row per order; reports are plain aggregates over these. An empt
 from __future__ import annotations
 
 import heapq
-from collections import Counter, OrderedDict, deque
+from bisect import bisect_left
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 from itertools import takewhile
+from math import inf
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,21 +20,21 @@ from pyspark.sql import functions as F
 
 from wavegrade.plans import catalog
 
-#: Under-reported orders that stay evidence of a queue jump, and the nearness of arrivals that counts as a tie.
-EVIDENCE, TIE_NS = 65_536, 100
+#: The nearness of arrivals of different flows that counts as a tie.
+TIE_NS = 100
 COUNTS = ("fills", "valid", "overfill", "price_wrong", "queue_jump", "replace_loss", "self_trade", "missed")
 OTHER = {"BUY": "SELL", "SELL": "BUY"}
 
 
 class Order:
-    """An order with its reported fills; owed and prices are what the reference filled; turn is its place in the queue once it has rested."""
+    """An order with its reported fills; owed and prices are what the reference filled; turn is its place in the queue once it has rested, kept whether an order that it replaced had it before."""
 
-    __slots__ = ("id", "side", "price", "qty", "kind", "ref", "smp", "eff", "flow", "fills", "owed", "prices", "turn", "repriced")
+    __slots__ = ("id", "side", "price", "qty", "kind", "ref", "smp", "eff", "flow", "fills", "owed", "prices", "turn", "kept", "repriced")
 
     def __init__(self, row: dict):
         self.id, self.side, self.price, self.qty, self.kind = row["order_id"], row["side"], row["price"], row["qty"], row["kind"]
         self.ref, self.smp, self.eff, self.flow, self.fills = row["ref_id"], row["smp_id"], row["eff_t3"], row["flow"], row["fills"] or []
-        self.owed, self.prices, self.turn, self.repriced = 0, set(), None, False
+        self.owed, self.prices, self.turn, self.kept, self.repriced = 0, set(), None, False, False
 
 
 class Resting:
@@ -42,6 +44,47 @@ class Resting:
         self.id, self.side, self.price, self.left, self.smp, self.turn = id, side, price, left, smp, turn
 
 
+class Steps:
+    """The least value of all turns before a turn: only turns whose value is less than that of each earlier one are held."""
+
+    __slots__ = ("turns", "values")
+
+    def __init__(self):
+        self.turns, self.values = [], []
+
+    def add(self, turn: int, value: int) -> None:
+        i = j = bisect_left(self.turns, turn)
+        if i and self.values[i - 1] <= value:
+            return
+        while j < len(self.turns) and self.values[j] >= value:
+            j += 1
+        self.turns[i:j], self.values[i:j] = [turn], [value]
+
+    def least(self, turn: int) -> float:
+        i = bisect_left(self.turns, turn)
+        return self.values[i - 1] if i else inf
+
+
+class Evidence:
+    """All under-reported orders of a side and price that have left the book, held as what an order behind them can ask: the first turn of each
+    flow, and the earliest and latest arrival before a turn. As orders come by arrival, one that has a turn of its own never arrived after those
+    behind it, so that the latest is sought among kept turns alone, and an earlier arrival on a later turn takes a kept turn too. What is held
+    grows with flows and replacements in place, not with the under-reported orders."""
+
+    def __init__(self):
+        self.flows, self.early, self.late = {}, Steps(), Steps()
+
+    def add(self, x: Order) -> None:
+        self.flows[x.flow] = min(x.turn, self.flows.get(x.flow, x.turn))
+        self.early.add(x.turn, x.eff)
+        if x.kept:
+            self.late.add(x.turn, -x.eff)
+
+    def before(self, o: Order) -> bool:
+        """Whether one had its turn before o and is no tie with it."""
+        return self.flows.get(o.flow, inf) < o.turn or self.early.least(o.turn) <= o.eff - TIE_NS or self.late.least(o.turn) <= -o.eff - TIE_NS
+
+
 class Session:
     def __init__(self):
         # price -> resting orders by turn, in the order of the queue, whose head is found at once however many have left it (a plain dict would step over their places)
@@ -49,7 +92,7 @@ class Session:
         self.owners = Counter()  # (side, price, smp) -> how many rest there
         self.heap = {"BUY": [], "SELL": []}
         self.resting, self.waiting, self.turns = {}, OrderedDict(), 0
-        self.evidence, self.recent = {}, deque()
+        self.evidence = {}  # (side, price) -> Evidence
 
     def rest(self, id, side, price, left, smp):
         self.turns += 1
@@ -114,7 +157,7 @@ class Session:
             if old is not None:
                 old.turn = None
             del self.resting[r.id]
-            r.left, r.id, o.turn = o.qty, o.id, r.turn
+            r.left, r.id, o.turn, o.kept = o.qty, o.id, r.turn, True
             self.resting[o.id] = r
             return []
         o.repriced = o.price != r.price
@@ -150,8 +193,10 @@ class Session:
             return False
         queue = takewhile(lambda r: r.turn < o.turn, self.levels[o.side].get(price, {}).values())
         live = (self.waiting[r.id] for r in queue if r.id in self.waiting)
-        past = self.evidence.get((o.side, price), {}).values()
-        return any(x.turn is not None and x.turn < o.turn and x.price == price and (x.flow == o.flow or abs(x.eff - o.eff) >= TIE_NS) for group in (live, past) for x in group)
+        if any(x.turn is not None and x.turn < o.turn and x.price == price and (x.flow == o.flow or abs(x.eff - o.eff) >= TIE_NS) for x in live):
+            return True
+        past = self.evidence.get((o.side, price))
+        return past is not None and past.before(o)
 
     def close(self, id: str) -> Iterator[tuple]:
         o = self.waiting.pop(id, None)
@@ -174,11 +219,7 @@ class Session:
         if told < o.owed:
             n["missed"] = 1
             if o.turn is not None:
-                self.evidence.setdefault((o.side, o.price), OrderedDict())[o.id] = o
-                self.recent.append(o)
-                if len(self.recent) > EVIDENCE:
-                    old = self.recent.popleft()
-                    self.evidence[old.side, old.price].pop(old.id, None)
+                self.evidence.setdefault((o.side, o.price), Evidence()).add(o)
         yield (o.id, *(n[c] for c in COUNTS))
 
 
